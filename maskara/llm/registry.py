@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op7_source_mixing": mixing.op7}
+    return {"op1_line_dedup": line_dedup.op1, "op7_source_mixing": mixing.op7}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
