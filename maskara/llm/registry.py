@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import langid, line_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.op1, "op7_source_mixing": mixing.op7}
+    return {"op1_line_dedup": line_dedup.op1, "op4_language_id": langid.op4, "op7_source_mixing": mixing.op7}
 
 
 def oracle_sql() -> dict[str, str]:

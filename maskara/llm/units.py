@@ -53,3 +53,14 @@ def gathered(codes: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> tuple[
     at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
     at += np.repeat(starts[codes] - (ends - each), each)
     return data[at], each
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+    """The batch in slices of rows of about ``most`` bytes of ``column`` (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most, prepend=0)) if len(sizes) else []
+    at = 0
+    for end in [*ends, batch.num_rows]:
+        if end > at:
+            yield batch.slice(at, end - at)
+            at = end
