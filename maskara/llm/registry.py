@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, langid, line_dedup, mixing, simhash, token_store, toxicity
+from . import bpe, embed_dedup, hilbert_ann, langid, line_dedup, mixing, simhash, token_store, toxicity
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.op1, "op2_toxicity": toxicity.op2, "op4_language_id": langid.op4, "op5_embedding_dedup": embed_dedup.op5, "op6_simhash": simhash.op6, "op7_source_mixing": mixing.op7, "op9_token_store": token_store.op9, "op10_bpe": bpe.op10}
+    return {"op1_line_dedup": line_dedup.op1, "op2_toxicity": toxicity.op2, "op3_hilbert_ann": hilbert_ann.op3, "op4_language_id": langid.op4, "op5_embedding_dedup": embed_dedup.op5, "op6_simhash": simhash.op6, "op7_source_mixing": mixing.op7, "op9_token_store": token_store.op9, "op10_bpe": bpe.op10}
 
 
 def oracle_sql() -> dict[str, str]:
