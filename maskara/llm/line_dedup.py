@@ -4,7 +4,8 @@ A line is what stands between line feeds, trimmed of spaces, tabs and carriage r
 of distinct sites (``source``) it occurs in. One HyperLogLog sketch per line key gathers the sites by partial
 aggregation, so a line that a third of all rows carry is a few sketches per key, not a group of rows. A line whose
 estimate is far from ``min_sites`` is decided by it; near the threshold (from half to twice) the sites are
-counted exactly. A line of at least ``min_chars`` characters and ``min_sites`` sites is boilerplate: its first
+counted exactly. The lines found are broadcast if they are few, and documents are rewritten where they stand; else
+positions to remove are joined to documents by doc_id. A line of at least ``min_chars`` characters and ``min_sites`` sites is boilerplate: its first
 occurrence, in the smallest doc_id, stays, so that no text leaves the corpus for good; all others go.
 
 Nulls and odd rows: a null text has no lines and stays null; a null source counts as no site; a null doc_id sorts
@@ -14,10 +15,14 @@ empty table gives an empty result. Further columns pass through.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from .store import cut, small
+from .store import cut, free, small
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 4
@@ -25,8 +30,9 @@ MIN_SITES = 4
 MIN_CHARS = 20
 #: log2 of the registers of a sketch.
 LG_K = 8
-#: Rows up to which the tables of lines and of removals are broadcast (16 bytes a line key and up to 100 a document).
-BROADCAST_ROWS = 50_000
+#: Boilerplate lines up to which their table is broadcast (under 200 bytes a line); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 100_000
+NEW = StructType().add("text", StringType()).add("gone", LongType())
 
 
 def trimmed(line: Column) -> Column:
@@ -51,39 +57,85 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
     return cut(spread.join(exact.select("h1", "h2").unionByName(sure), ["h1", "h2"], "left_semi").select("h1", "h2", "first"))
 
 
-def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(lines: DataFrame, spread: DataFrame) -> DataFrame:
     """doc_id, gone: the positions of the lines that go, one row per document that loses any."""
-    lines = line_rows(docs, min_chars)
-    spread = small(boilerplate(lines, min_sites), BROADCAST_ROWS)
     hits = lines.join(spread, ["h1", "h2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
     return hits.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
-@F.pandas_udf("string")
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def one(t, g):
-        g = set(g.tolist())
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
+def _without(text: str, gone) -> str:
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+
+def _rewritten(at: list, n: int) -> pa.StructArray:
+    """at: (row, new text, lines gone) of the rows that change."""
+    text, gone = [None] * n, [0] * n
+    for i, t, g in at:
+        text[i], gone[i] = t, g
+    return pa.StructArray.from_arrays([pa.array(text, pa.string()), pa.array(gone, pa.int64())], ["text", "gone"])
+
+
+def _in_map(docs: DataFrame, spread: DataFrame, min_chars: int, at: str) -> DataFrame:
+    """docs with a struct ``at`` of the new text (null: as given) and of how many lines went, from the broadcast table of lines."""
+    rows = spread.select("h1", "h2", "first.doc_id", "first.pos").toPandas()  # BROADCAST_ROWS at most
+    null = rows["doc_id"].isna()
+    shared = docs.sparkSession.sparkContext.broadcast({(a, b): (None if n else int(d), p) for a, b, d, p, n in zip(rows["h1"].tolist(), rows["h2"].tolist(), rows["doc_id"], rows["pos"].tolist(), null)})
+
+    @F.arrow_udf(NEW)
+    def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known, digest = shared.value, xxhash.xxh64_intdigest
+        second = digest(b"second", 42)
+        first_halves = {a for a, _ in known}
 
-    return pd.Series([None if t is None else one(t, g) for t, g in zip(text, gone)], dtype=object)
+        def signed(x):
+            return x - (1 << 64) if x >> 63 else x
 
+        for texts, doc_ids in batches:
+            changed = []
+            for i, (text, doc_id) in enumerate(zip(texts, doc_ids)):
+                t = text.as_py()
+                gone = set()
+                for pos, line in enumerate(t.split("\n") if t and known else ()):
+                    line = line.strip(" \t\r")
+                    if len(line) >= min_chars and (a := signed(digest(raw := line.encode(), 42))) in first_halves:
+                        first = known.get((a, signed(digest(raw, second))))
+                        if first and first != (doc_id.as_py(), pos):
+                            gone.add(pos)
+                if gone:
+                    changed.append((i, _without(t, gone), len(gone)))
+            yield _rewritten(changed, len(texts))
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with text rewritten, and _gone (positions of the lines that went; null if none did).
+    return docs.withColumn(at, rewrite("text", F.col("doc_id").cast("long")))
 
-    The table of removals is broadcast if it is small; else documents and removals meet by doc_id.
-    """
-    gone = small(cut(removals(docs, min_sites, min_chars)), BROADCAST_ROWS)
-    both = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", F.col("g.gone").alias("_gone"))
-    hit = F.col("_gone").isNotNull() & F.col("text").isNotNull()
-    return both.withColumn("text", F.when(hit, _without(F.when(hit, F.col("text")), F.when(hit, F.col("_gone")))).otherwise(F.col("text")))
+
+def _by_shuffle(docs: DataFrame, lines: DataFrame, spread: DataFrame, at: str) -> DataFrame:
+    """The same, where the table of lines is too large to broadcast: positions meet documents by doc_id."""
+
+    @F.arrow_udf(NEW)
+    def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, gone in batches:
+            rows = zip(texts.to_pylist(), gone.to_pylist())
+            yield _rewritten([(i, _without(t, set(g)), len(g)) for i, (t, g) in enumerate(rows) if t is not None and g], len(texts))
+
+    gone = removals(lines, spread)
+    both = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", F.col("g.gone").alias(at))
+    return both.withColumn(at, rewrite(F.when(F.col(at).isNotNull(), F.col("text")), F.col(at)))
+
+
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS, removed: str = "_removed") -> DataFrame:
+    """docs with text rewritten, and a column ``removed`` of how many lines went."""
+    lines = line_rows(docs, min_chars)
+    spread = boilerplate(lines, min_sites)
+    at = free(docs, "_new")
+    new = _in_map(docs, spread, min_chars, at) if spread.limit(broadcast_rows + 1).count() <= broadcast_rows else _by_shuffle(docs, lines, spread, at)
+    return new.withColumn("text", F.coalesce(f"{at}.text", "text")).withColumn(removed, F.col(f"{at}.gone")).drop(at)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines and n_removed of the given text, n_chars and text_md5 of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = drop_boilerplate(docs.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))))
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 ORACLE_SQL = """
