@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import cut, small
+from .store import cut, free, small
 
 #: Weights in the order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -97,7 +97,10 @@ def plan(words: DataFrame, seed: int = 7, **how) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, made: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with _source_size, _target and _copies (long) from a plan; a map over docs while the plan is small."""
+    """docs with _source_size, _target and _copies (long) from a plan; a map over docs while the plan is small.
+
+    docs must not have columns of these names.
+    """
     u, d = uniform(F.col("d.doc_id"), seed), F.col("d.doc_id")
     below = (u < F.col("m.cut_u")) | ((u == F.col("m.cut_u")) & F.col("m.cut_on_row") & (d.isNull() | (d <= F.col("m.cut_id"))))
     return docs.alias("d").join(small(made, BROADCAST_SOURCES).alias("m"), F.col("d.source").eqNullSafe(F.col("m.source")), "left").select("d.*", F.col("m.source_size").alias("_source_size"), F.col("m.target").alias("_target"), (F.coalesce(F.col("m.copies"), F.lit(0)) + F.when(below, 1).otherwise(0)).cast("long").alias("_copies"))
@@ -113,9 +116,11 @@ def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
 
     Documents without words are worth no copy and are left out.
     """
-    words = measured(docs)
-    chosen = with_copies(docs, plan(words, seed, **how), seed)
-    return chosen.filter(n_words(F.col("text")) > 0).withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    made = plan(measured(docs), seed, **how)
+    row = free(docs, "_row")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), "doc_id", "source", (n_words(F.col("text")) > 0).alias("_some"))
+    chosen = with_copies(whole.filter("_some"), made, seed)
+    return chosen.select(row, F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).select(f"{row}.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

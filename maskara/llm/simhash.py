@@ -38,7 +38,7 @@ SEED = 42
 SHARD = 4096
 #: Hashes summed at a time, and pairs of a query and a node held at a time.
 HASHES_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 21
-#: Rows up to which the table of linked fingerprints is broadcast (16 bytes a row).
+#: Rows up to which the tables of fingerprints and of documents that stay are broadcast (16 bytes a row).
 BROADCAST_ROWS = 500_000
 
 
@@ -188,7 +188,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     their component has no other.
     """
     kept = near_duplicates(docs, radius).filter("component_id <=> doc_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.alias("d").join(small(cut(kept), BROADCAST_ROWS).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,3 +31,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     df must be cheap to count: a checkpoint or a small aggregate.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def scratch(spark, name: str) -> str:
+    """A folder of this run in the shared one, removed when the driver's JVM ends."""
+    at = f"{ensure_shared(spark)}/maskara-{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if df has a column of that name (column names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

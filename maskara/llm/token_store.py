@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import SLICE_BYTES, UnitEncoder, default_tokenizer
-from .store import ensure_shared, small
+from .store import scratch, small
 from .units import by_bytes, cut_units
 
 END_ID = 2
@@ -284,14 +284,6 @@ def export(files: DataFrame, folder: str) -> DataFrame:
     return files.select("shard", "part", "file").mapInArrow(copies, "name string, bytes long")
 
 
-def scratch(spark, name: str) -> str:
-    """A folder of this run in the shared one, removed when the driver's JVM ends."""
-    at = f"{ensure_shared(spark)}/maskara-{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
-
-
 def op9(spark, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
