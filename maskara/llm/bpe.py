@@ -2,13 +2,13 @@
 
 Documents are split in Spark into units (``units.py``), the pieces of text that byte-level BPE encodes on their own.
 Each task keeps one table of the distinct units of a block of documents and writes the documents as positions in
-it. Over all blocks the units meet by a hash of their text and each distinct unit is encoded once; its ids join
-back to the block by position. For decoding, the distinct ids of a block join the vocabulary's id-to-piece table, and a
+it. Over all blocks the units meet in buckets by a hash of their text, each distinct unit is encoded once, and its ids
+join back to its block by position. For decoding, the distinct ids of a block join the vocabulary's id-to-piece table, and a
 document is its ids' pieces end to end, read as UTF-8 with U+FFFD for what isn't.
 
-What is shuffled is the distinct units of a block, not the words of the texts; what is broadcast is the vocabulary.
-A block is about ``BLOCK_BYTES`` of text (a longer document is a block of its own), so no task holds more than
-a block, however long or frequent anything is.
+What is shuffled is the distinct units of a block, a compressed row for each bucket, and the documents as positions; what
+is broadcast is the vocabulary. A block is about ``BLOCK_BYTES`` of text (a longer document is a block of its own), so no task
+holds more than a block or a bucket's distinct units, however long or frequent anything is.
 
 Nulls and odd rows: a null text is encoded like the empty one, to no ids; the added tokens' strings in a text become
 their ids, as the tokenizers library does by default. Rows are told apart by their place in a block, so a repeated or
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .store import cut
 from .units import by_bytes, cut_units, gathered
 
 #: Bytes of text in a block, about.
@@ -35,6 +35,12 @@ BLOCK_BYTES = 24_000_000
 SLICE_BYTES = 3_000_000
 #: Rows in an output batch.
 BATCH = 2000
+#: Documents for each bucket of distinct units, and most buckets; distinct units of a bucket held at a time.
+BUCKET_DOCS, MOST_BUCKETS, KEPT_UNITS = 2500, 4096, 1_000_000
+#: Level of compression of what is shuffled and kept.
+LEVEL = 3
+#: A block may hold repeats far apart: the window covers all of it.
+WINDOW_LOG = 26
 
 
 def default_tokenizer() -> str:
@@ -73,7 +79,7 @@ class UnitEncoder:
         at = np.flatnonzero(joint)
         for i in range(0, len(at), 20_000):
             part = at[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode("".join([units[k] for k in part]), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([units[k] for k in part])], add_special_tokens=False)[0].ids, dtype=np.uint32)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):
                 raise ValueError("the vocabulary encodes a unit's first space apart")
@@ -81,7 +87,7 @@ class UnitEncoder:
             for k, x in zip(part.tolist(), np.split(ids, starts[1:])):
                 out[k] = x
         at = np.flatnonzero(~joint).tolist()
-        for k, e in zip(at, self.tokenizer.encode_batch([units[k] for k in at], add_special_tokens=False)):
+        for k, e in zip(at, self.tokenizer.encode_batch_fast([units[k] for k in at], add_special_tokens=False)):
             out[k] = np.array(e.ids, dtype=np.uint32)
             lengths[k] = len(e.ids)
         return lengths, np.concatenate(out)
@@ -104,133 +110,181 @@ def pieces_of(source: str) -> list[bytes]:
     return [x if i not in added else (tokenizer.id_to_token(i) or "").encode() for i, x in enumerate(out)]
 
 
+def _squeezed(data: bytes) -> bytes:
+    how = zstandard.ZstdCompressionParameters.from_level(LEVEL, enable_ldm=True, window_log=min(WINDOW_LOG, max(10, len(data).bit_length())))
+    return zstandard.ZstdCompressor(compression_params=how).compress(data)
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _packed(a: np.ndarray) -> bytes:
-    """Unsigned numbers, seven bits a byte and the smallest first, compressed."""
-    a = a.astype(np.uint32)
-    n = 1 + (a >= 1 << 7) + (a >= 1 << 14) + (a >= 1 << 21) + (a >= 1 << 28)
-    ends = np.cumsum(n)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    at = ends - n
-    for k in range(5):
-        has = n > k
-        if not has.any():
-            break
-        out[at[has] + k] = ((a[has] >> np.uint32(7 * k)) & 127) | ((n[has] > k + 1) << 7)
-    return zstandard.ZstdCompressor(level=1).compress(out.tobytes())
+    """Numbers below 2**32: how many bytes each needs, then their lowest bytes, their second ones and so on, compressed."""
+    a = np.asarray(a).astype(np.uint32)
+    n = ((a >= 1 << 8).astype(np.uint8) + (a >= 1 << 16) + (a >= 1 << 24)).astype(np.uint8)
+    planes = [((a[n >= k] >> np.uint32(8 * k)) & 255).astype(np.uint8).tobytes() for k in range(4)]
+    return np.uint64(len(a)).tobytes() + _squeezed(n.tobytes() + b"".join(planes))
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
-    last = np.flatnonzero(raw < 128)
-    first = np.append(0, last[:-1] + 1) if len(last) else last
-    out = np.zeros(len(last), dtype=np.uint32)
-    n = last - first
-    for k in range(int(n.max()) + 1 if len(n) else 0):
+    size, raw = int(np.frombuffer(b[:8], dtype=np.uint64)[0]), np.frombuffer(_whole(b[8:]), dtype=np.uint8)
+    n, at = raw[:size], size
+    out = np.zeros(size, dtype=np.uint32)
+    for k in range(4):
         has = n >= k
-        out[has] |= (raw[first[has] + k].astype(np.uint32) & 127) << np.uint32(7 * k)
+        count = int(has.sum())
+        out[has] |= raw[at : at + count].astype(np.uint32) << np.uint32(8 * k)
+        at += count
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> blocks. A row holds a block's documents (doc_ids, the number of units of each, positions) and,
-    in order of position, its distinct units."""
-    from pyspark import TaskContext
+UNITS = pa.schema([("block", pa.int64()), ("stamp", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
+UNITS_SQL = "block long, stamp long, bucket int, places binary, lengths binary, data binary"
+TEXTS = pa.schema([("block", pa.int64()), ("stamp", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary())])
+TEXTS_SQL = "block long, stamp long, doc_ids array<long>, sizes binary, codes binary"
 
-    task = TaskContext.get().partitionId()
-    block, held, seen, rows = 0, 0, {}, []
 
-    def written():
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """doc_id, text, part (the partition) -> (block, stamp, distinct units as bytes, the commonest first, and of the documents: doc_ids, how many
+    units each has, the units' places among the distinct ones). The stamp tells one content of a block from another."""
+    task, block, held, seen, rows = 0, 0, 0, {}, []
+
+    def whole():
         nonlocal block, held, seen, rows
-        ids = pa.concat_arrays([r[0] for r in rows])
-        out = {
-            "block": [(task << 32) + block],
-            "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-            "sizes": [_packed(np.concatenate([r[1] for r in rows]))],
-            "codes": [_packed(np.concatenate([r[2] for r in rows]))],
-            "units": [list(seen)],
-        }
+        codes = np.concatenate([r[2] for r in rows])
+        order = np.argsort(-np.bincount(codes, minlength=len(seen)), kind="stable")
+        place = np.empty(len(seen), dtype=np.uint32)
+        place[order] = np.arange(len(seen))
+        units = [u.encode() for u in seen]
+        units = [units[i] for i in order.tolist()]
+        stamp = zlib.crc32(b"\0".join(units), len(codes))
+        out = (task << 32) + block, stamp, units, pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), place[codes]
         block, held, seen, rows = block + 1, 0, {}, []
-        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary()), ("units", pa.list_(pa.string()))]))
+        return out
 
     for batch in batches:
         for part in by_bytes(batch, "text", SLICE_BYTES):
+            task = part.column("part")[0].as_py()
             offsets, codes, units = cut_units(part.column("text"))
             place = np.array([seen.setdefault(u, len(seen)) for u in units], dtype=np.int64)
-            rows.append((part.column("doc_id"), np.diff(offsets), place[codes] if len(units) else codes))
+            rows.append((part.column("doc_id"), np.diff(offsets), place[codes] if len(units) else codes.astype(np.int64)))
             held += part.column("text").nbytes
             if held >= BLOCK_BYTES:
-                yield written()
+                yield whole()
     if rows:
-        yield written()
+        yield whole()
+
+
+def _split_units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each block and each bucket that a hash deals its distinct units to: their places, lengths in bytes, and bytes."""
+    for block, stamp, units, *_ in _blocks(batches):
+        bucket = np.fromiter(map(zlib.crc32, units), dtype=np.int64, count=len(units)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        out: dict = {f.name: [] for f in UNITS}
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            own = [units[i] for i in at.tolist()]
+            for f, v in zip(out, (block, stamp, int(bucket[at[0]]), _packed(np.diff(at, prepend=0)), _packed(np.fromiter(map(len, own), dtype=np.int64, count=len(own))), _squeezed(b"".join(own)))):
+                out[f].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=UNITS)
+
+
+def _split_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block its documents, as places of units."""
+    for block, stamp, _, doc_ids, sizes, codes in _blocks(batches):
+        yield pa.RecordBatch.from_pydict({"block": [block], "stamp": [stamp], "doc_ids": pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), "sizes": [_packed(sizes)], "codes": [_packed(codes)]}, schema=TEXTS)
+
+
+def _encoded_buckets(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
+    """Rows of distinct units sorted by bucket -> block, places, lengths (ids of each unit) and data (the ids)."""
+    encoder, now = UnitEncoder(source), None
+    seen: dict[bytes, int] = {}
+    sizes, ids = [], []
+    for batch in batches:
+        out: dict = {"block": [], "stamp": [], "places": [], "lengths": [], "data": []}
+        for row in batch.to_pylist():
+            if row["bucket"] != now or len(seen) > KEPT_UNITS:
+                now, seen, sizes, ids = row["bucket"], {}, [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+            ends = np.cumsum(_unpacked(row["lengths"]), dtype=np.int64).tolist()
+            data = _whole(row["data"])
+            units = [data[i:j] for i, j in zip([0, *ends], ends)]
+            new = [u for u in units if u not in seen]
+            if new:
+                lengths, flat = encoder([u.decode() for u in new])
+                seen.update(zip(new, range(len(seen), len(seen) + len(new))))
+                sizes.append(lengths), ids.append(flat)
+                sizes, ids = [np.concatenate(sizes)], [np.concatenate(ids)]
+            got, each = gathered(np.array([seen[u] for u in units], dtype=np.int64), sizes[0], ids[0])
+            for k, v in (("block", row["block"]), ("stamp", row["stamp"]), ("places", row["places"]), ("lengths", _packed(each)), ("data", _packed(got))):
+                out[k].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())]))
+
+
+UNSTABLE = "the documents changed between two reads; give encode() a checkpoint of them"
+TABLE = pa.schema([("block", pa.int64()), ("id", pa.int32()), ("lengths", pa.binary()), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary())])
+TABLE_SQL = "block long, id int, lengths binary, data binary, doc_ids array<long>, sizes binary, codes binary"
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks, encoded buckets first -> for each block a row per distinct id, then one with the ids of its table of
+    units (lengths, data, by place) and its documents."""
+    now, parts, stamp = None, [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["block"] != now:
+                now, parts, stamp = row["block"], [], None
+            if row["kind"] == 0:
+                if parts and row["stamp"] != stamp:
+                    raise RuntimeError(UNSTABLE)
+                stamp = row["stamp"]
+                parts.append((np.cumsum(_unpacked(row["places"]), dtype=np.int64), _unpacked(row["lengths"]).astype(np.int64), _unpacked(row["data"])))
+                continue
+            places = np.concatenate([p for p, _, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
+            lengths = np.concatenate([n for _, n, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
+            data = np.concatenate([d for _, _, d in parts]) if parts else np.zeros(0, dtype=np.uint32)
+            by_place = np.argsort(places)
+            if (parts and row["stamp"] != stamp) or not (places[by_place] == np.arange(len(places))).all():
+                raise RuntimeError(UNSTABLE)
+            flat, each = gathered(by_place, lengths, data)
+            ids = np.unique(data).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"block": np.full(len(ids), now), "id": ids, **{f.name: pa.nulls(len(ids), f.type) for f in list(TABLE)[2:]}}, schema=TABLE)
+            yield pa.RecordBatch.from_pydict({"block": [now], "id": [None], "lengths": [_packed(each)], "data": [_packed(flat)], "doc_ids": [row["doc_ids"]], "sizes": [row["sizes"]], "codes": [row["codes"]]}, schema=TABLE)
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, text -> rows of blocks, to be read in the order of (block, kind, at):
+    """doc_id, text -> rows of blocks, to be read in their order: first one per distinct id of the block with its piece, then
+    one with the ids of the block's units and its documents as positions among them.
 
-    kind 0, a distinct id of the block and its piece (id, bytes); kind 1, a distinct unit's ids at its position (at, ids);
-    kind 2, the block's documents (doc_ids, sizes, codes).
+    docs is read twice and must give the same rows in the same order both times, as a scan of files does; a change
+    stops the run. Give ``cut(docs)`` where that does not hold.
     """
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         source = f.read()
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(source)
-    blocks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_split, "block long, doc_ids array<long>, sizes binary, codes binary, units array<string>"))
-
-    def encode_units(batches):
-        encoder, last, ids = UnitEncoder(shared.value), None, None
-        sent: set = set()
-        schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("ids", pa.list_(pa.int32())), ("id", pa.int32())])
-        for batch in batches:
-            units = batch.column("unit").to_pylist()
-            new = [u for u, before in zip(units, [last, *units]) if u != before]
-            lengths, flat = encoder(new)
-            each = [x.tolist() for x in np.split(flat.astype(np.int32), np.cumsum(lengths)[:-1])] if new else []
-            out, k = [], -1
-            for u, before in zip(units, [last, *units]):
-                if u != before:
-                    k += 1
-                    ids = each[k]
-                out.append(ids)
-            last = units[-1] if units else last
-            blocks_ = batch.column("block").to_pylist()
-            yield pa.RecordBatch.from_pydict({"block": blocks_, "kind": np.ones(len(units), dtype=np.int32), "at": batch.column("at"), "ids": out, "id": pa.nulls(len(units), pa.int32())}, schema=schema)
-            fresh = {(b, i) for b, x in zip(blocks_, out) for i in x} - sent
-            sent = fresh | sent if len(sent) < 500_000 else fresh  # ids that come twice do no harm
-            pairs = list(fresh)
-            yield pa.RecordBatch.from_pydict({"block": [p[0] for p in pairs], "kind": np.zeros(len(pairs), dtype=np.int32), "at": np.zeros(len(pairs), dtype=np.int64), "ids": pa.nulls(len(pairs), pa.list_(pa.int32())), "id": [p[1] for p in pairs]}, schema=schema)
-
-    units = blocks.select("block", F.posexplode("units").alias("at", "unit")).select("block", F.col("at").cast("long").alias("at"), "unit")
-    encoded = units.repartition(F.xxhash64("unit")).sortWithinPartitions("unit").mapInArrow(encode_units, "block long, kind int, at long, ids array<int>, id int")
-    table = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(pieces_of(source))], "id int, piece binary")
-    pieced = encoded.join(F.broadcast(table), "id", "left").select("block", "kind", "at", "id", "ids", "piece", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("codes"))
-    whole = blocks.select("block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("piece"), "doc_ids", "sizes", "codes")
-    return pieced.unionByName(whole).repartition("block").sortWithinPartitions("block", "kind", "at")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    buckets = max(16, min(MOST_BUCKETS, docs.count() // BUCKET_DOCS))
+    units = docs.mapInArrow(lambda batches: _split_units(batches, buckets), UNITS_SQL).repartition("bucket").sortWithinPartitions("bucket")
+    ids = units.mapInArrow(lambda batches: _encoded_buckets(batches, shared.value), "block long, stamp long, places binary, lengths binary, data binary")
+    texts = docs.mapInArrow(_split_texts, TEXTS_SQL)
+    none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    rows = ids.select("block", "stamp", F.lit(0).alias("kind"), "places", "lengths", "data", *none(doc_ids="array<long>", sizes="binary", codes="binary")).unionByName(texts.select("block", "stamp", F.lit(1).alias("kind"), *none(places="binary", lengths="binary", data="binary"), "doc_ids", "sizes", "codes"))
+    tables = rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_tables, TABLE_SQL)
+    pieces = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(pieces_of(source))], "id int, piece binary")
+    return tables.join(F.broadcast(pieces), "id", "left")  # a map over tables: the vocabulary's size is fixed
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of encode(), in its order -> (doc_id, ids as uint32, the pieces by id) of each document."""
-    pieces: dict[int, bytes] = {}
-    lengths, flat, now = [], [], None
+    now, pieces = None, {}
     for batch in batches:
-        blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
-        for i, j in zip([0, *edges], [*edges, len(blocks)]):
-            if i == j:
-                continue
-            part = batch.slice(int(i), int(j - i))
-            if blocks[i] != now:
-                now, pieces, lengths, flat = blocks[i], {}, [], []
-            if kinds[i] == 0:
-                pieces.update(zip(part.column("id").to_pylist(), part.column("piece").to_pylist()))
-            elif kinds[i] == 1:
-                ids = part.column("ids")
-                lengths.append(np.diff(np.asarray(ids.offsets)))
-                flat.append(ids.flatten().to_numpy(zero_copy_only=False))
+        for row in batch.to_pylist():
+            if row["block"] != now:
+                now, pieces = row["block"], {}
+            if row["id"] is not None:
+                pieces[row["id"]] = row["piece"]
             else:
-                size = np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.int64)
-                data = np.concatenate(flat).astype(np.uint32) if flat else np.zeros(0, dtype=np.uint32)
-                for row in part.to_pylist():
-                    yield from _rows(row, size.astype(np.int64), data, pieces)
+                yield from _rows(row, _unpacked(row["lengths"]).astype(np.int64), _unpacked(row["data"]), pieces)
 
 
 def _rows(row: dict, size: np.ndarray, data: np.ndarray, pieces: dict) -> Iterator[tuple]:
