@@ -4,7 +4,7 @@ matchings need augmenting paths and run in Python, an image at a time."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .pairs import ranked
@@ -84,87 +84,104 @@ def evaluated(rows: DataFrame, grid: DataFrame, match_iou: float = 0.5) -> DataF
     return done.select(*keep, *grid.columns, "n_gt", F.size("kept").alias("n_kept"), "tp", (F.size("kept") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
 
 
-def _augment(adjacent: list[list[int]], p: int, owner: dict[int, int], tried: set[int]) -> bool:
-    for g in adjacent[p]:
-        if g not in tried:
-            tried.add(g)
-            if g not in owner or _augment(adjacent, owner[g], owner, tried):
-                owner[g] = p
-                return True
+def _augment(adjacent: dict[int, list[int]], start: int, owner: dict[int, int]) -> bool:
+    """Gives start a truth if some chain of reassignments allows it; a walk without recursion."""
+    came: dict[int, int] = {}
+    todo = [start]
+    while todo:
+        p = todo.pop()
+        for g in adjacent.get(p, ()):
+            if g in came:
+                continue
+            came[g] = p
+            if g not in owner:
+                while True:  # along the chain, back to start
+                    p = came[g]
+                    before = next((x for x, q in owner.items() if q == p), None)
+                    owner[g] = p
+                    if p == start:
+                        return True
+                    g = before
+            todo.append(owner[g])
     return False
 
 
-def maximum_matching(edges: pd.DataFrame, order: list[int]) -> dict[int, int]:
-    """truth -> prediction of a maximum matching; edges p_idx, g_idx, iou."""
-    adjacent = {p: d.sort_values(["iou", "g_idx"], ascending=[False, True])["g_idx"].tolist() for p, d in edges.groupby("p_idx")}
+def maximum_matching(adjacent: dict[int, list[int]], order) -> dict[int, int]:
+    """truth -> prediction of a maximum matching, by augmenting paths from each prediction in order."""
     owner: dict[int, int] = {}
     for p in order:
         if p in adjacent:
-            _augment(adjacent, p, owner, set())
+            _augment(adjacent, p, owner)
     return owner
 
 
-def maximum_tp(pairs: DataFrame, threshold: float) -> DataFrame:
-    """image, tp: size of the maximum matching over pairs at the threshold or more."""
+def _adjacent(preds: list[dict], threshold: float) -> dict[int, list[int]]:
+    out = {p["idx"]: [g["idx"] for g in p["gts"] or () if g["iou"] >= threshold] for p in preds}
+    return {p: g for p, g in out.items() if g}
 
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image": pdf["image"].iloc[:1], "tp": [len(maximum_matching(pdf, sorted(set(pdf["p_idx"]))))]})
 
-    return pairs.filter(F.col("iou") >= threshold).groupBy("image").applyInPandas(per, "image long, tp long")
+def maximum_tp(rows: DataFrame, threshold: float) -> DataFrame:
+    """per_image() rows -> image, tp: size of the maximum matching over pairs at the threshold or more."""
 
+    def count(batches):
+        for batch in batches:
+            tp = [len(maximum_matching(a := _adjacent(p, threshold), a)) for p in batch.column("preds").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(tp, pa.int64())], names=["image", "tp"])
 
-def matching_curve(preds: DataFrame, pairs: DataFrame, n_gt: int, threshold: float) -> DataFrame:
-    """score, tp, fp, fn at every distinct score: predictions enter by falling score, and each adds a true positive if the
-    matching can be augmented. Per image one pass; then sums by score and a running total."""
+    return rows.select("image", "preds").mapInArrow(count, "image long, tp long")
 
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores = pdf.drop_duplicates("p_idx").sort_values(["conf", "p_idx"], ascending=[False, True])
-        hit = pdf[pdf["iou"] >= threshold]
-        adjacent = {p: d.sort_values(["iou", "g_idx"], ascending=[False, True])["g_idx"].astype(int).tolist() for p, d in hit.groupby("p_idx")}
-        owner: dict[int, int] = {}
-        gains = [int(p in adjacent and _augment(adjacent, p, owner, set())) for p in scores["p_idx"]]
-        return pd.DataFrame({"score": scores["conf"].to_numpy(), "gain": gains, "n": 1})
 
-    rows = preds.select("image", F.col("idx").alias("p_idx"), "conf").join(pairs, ["image", "p_idx"], "left")
-    each = rows.groupBy("image").applyInPandas(per, "score double, gain long, n long").groupBy("score").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"))
-    from ..operators.metrics import running
+def matching_curve(rows: DataFrame, threshold: float) -> DataFrame:
+    """per_image() rows -> score, tp, fp, fn at every distinct score: predictions enter by falling score, and each adds a
+    true positive if the matching can be augmented. Per image one pass; then sums by score and a running total."""
 
+    def gains(batches):
+        for batch in batches:
+            scores, gain = [], []
+            for preds in batch.column("preds").to_pylist():
+                adjacent, owner = _adjacent(preds, threshold), {}
+                for p in preds:  # in order of rank
+                    scores.append(p["conf"])
+                    gain.append(int(p["idx"] in adjacent and _augment(adjacent, p["idx"], owner)))
+            yield pa.RecordBatch.from_pydict({"score": pa.array(scores, pa.float64()), "gain": pa.array(gain, pa.int64())})
+
+    from .metrics import running
+
+    each = rows.select("preds").mapInArrow(gains, "score double, gain long").groupBy("score").agg(F.sum("gain").alias("gain"), F.count("*").alias("n")).persist()
+    n_gt = rows.agg(F.sum("n_gt")).first()[0] or 0
     return running(each, "score", {"tp": "gain", "chosen": "n"}).select("score", "tp", (F.col("chosen") - F.col("tp")).alias("fp"), (F.lit(n_gt) - F.col("tp")).alias("fn"))
 
 
 def perfect_matching(edges: DataFrame, sizes: DataFrame, threshold: float = 0.99) -> DataFrame:
     """group, perfect: whether two sets of equal size (sizes: group, n_left, n_right) match one to one at the threshold."""
+    lists = edges.filter(F.col("iou") >= threshold).groupBy("group", "p_idx").agg(F.array_sort(F.collect_list("g_idx")).alias("gs")).groupBy("group").agg(F.collect_list(F.struct("p_idx", "gs")).alias("ps"))
 
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"group": pdf["group"].iloc[:1], "n": [len(maximum_matching(pdf, sorted(set(pdf["p_idx"]))))]})
+    def count(batches):
+        for batch in batches:
+            n = [len(maximum_matching(a := {p["p_idx"]: p["gs"] for p in ps}, sorted(a))) for ps in batch.column("ps").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(n, pa.int64())], names=["group", "n"])
 
-    found = edges.filter(F.col("iou") >= threshold).groupBy("group").applyInPandas(per, "group string, n long")
+    found = lists.mapInArrow(count, "group string, n long")
     return sizes.join(found, "group", "left").select("group", ((F.col("n_left") == F.col("n_right")) & (F.coalesce("n", F.lit(0)) == F.col("n_left"))).alias("perfect"))
 
 
-def coco_matches(preds: DataFrame, pairs: DataFrame, thresholds: list[float], most: int = 100) -> DataFrame:
-    """threshold, image, idx, conf, hit by the COCO rule: by falling confidence, the best free truth at or over the
-    threshold; of equal IoUs the later truth wins."""
-    top = ranked(preds).filter(F.col("rank") <= most).select("image", F.col("idx").alias("p_idx"), "conf", "rank")
-    rows = top.join(pairs, ["image", "p_idx"], "left")
-
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores = pdf.drop_duplicates("p_idx").sort_values("rank")
-        truths = {p: d.sort_values("g_idx")[["g_idx", "iou"]].dropna().to_numpy() for p, d in pdf.groupby("p_idx")}
-        out = []
-        for t in thresholds:
-            taken: set = set()
-            for p, c in zip(scores["p_idx"], scores["conf"]):
-                best, at = min(t, 1 - 1e-10), None
-                for g, v in truths[p]:
-                    if g not in taken and v >= best:
-                        best, at = v, g
-                if at is not None:
-                    taken.add(at)
-                out.append((t, pdf["image"].iloc[0], p, c, at is not None))
-        return pd.DataFrame(out, columns=["threshold", "image", "idx", "conf", "hit"])
-
-    return rows.groupBy("image").applyInPandas(per, "threshold double, image long, idx int, conf double, hit boolean")
+def coco_hits(preds: Column, threshold: Column, most: int = 100) -> Column:
+    """(conf, hit) of an image's first ``most`` predictions by the COCO rule: by falling confidence, the best free truth
+    at or over the threshold; of equal IoUs the later truth wins. A fold."""
+    kind = "array<struct<conf: double, gt: int>>"
+    t = F.least(threshold, F.lit(1 - 1e-10))
+
+    def step(done, p):
+        free = F.filter(F.coalesce(p["gts"], F.array().cast("array<struct<iou: double, idx: int>>")), lambda z: (z["iou"] >= t) & ~F.array_contains(F.transform(done, lambda d: d["gt"]), z["idx"]))
+        best = F.array_max(F.transform(free, lambda z: F.struct(z["iou"].alias("iou"), z["idx"].alias("idx"))))
+        return F.array_append(done, F.struct(p["conf"].alias("conf"), F.coalesce(best["idx"], F.lit(-1)).alias("gt")))
+
+    return F.transform(F.aggregate(F.slice(preds, 1, most), F.array().cast(kind), step), lambda d: F.struct(d["conf"].alias("conf"), (d["gt"] >= 0).alias("hit")))
+
+
+def coco_matches(rows: DataFrame, thresholds: DataFrame, most: int = 100) -> DataFrame:
+    """per_image() rows x thresholds -> threshold, image, conf, hit."""
+    return rows.crossJoin(F.broadcast(thresholds)).select("threshold", "image", F.explode(coco_hits(F.col("preds"), F.col("threshold"), most)).alias("h")).select("threshold", "image", "h.conf", "h.hit")
 
 
 def packed_iou(a: np.ndarray, b: np.ndarray) -> float:

@@ -77,6 +77,23 @@ def average_precision(curve: DataFrame, points: int = 101) -> DataFrame:
     return grid.join(reach, "k", "left").select(F.coalesce(F.max("precision").over(right), F.lit(0.0)).alias("p")).agg(F.avg("p").alias("ap"))
 
 
+def average_precisions(hits: DataFrame, n_gt: int, points: int = 101) -> DataFrame:
+    """threshold, conf, hit -> threshold, ap (interpolated at evenly spaced recalls) and ar (the last recall).
+
+    Scores are distinct values of each threshold, ties together; the running totals are over them, not over predictions.
+    """
+    each = hits.groupBy("threshold", "conf").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
+    falling = Window.partitionBy("threshold").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = each.withColumn("tp", F.sum("hits").over(falling)).withColumn("chosen", F.sum("n").over(falling)).withColumn("recall", ratio(F.col("tp"), F.lit(n_gt)))
+    step = points - 1
+    reach = curve.groupBy("threshold", F.floor(F.col("recall") * step + 1e-9).cast("int").alias("k")).agg(F.max(F.when(F.col("tp") > 0, F.col("tp") / F.col("chosen"))).alias("precision"), F.max("recall").alias("recall"))
+    right = Window.partitionBy("threshold").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    # a row stands for the points after the row before it, up to its own
+    before = F.coalesce(F.lag("k").over(Window.partitionBy("threshold").orderBy("k")), F.lit(-1))
+    parts = reach.withColumn("best", F.coalesce(F.max("precision").over(right), F.lit(0.0))).withColumn("held", F.col("k") - before)
+    return parts.groupBy("threshold").agg((F.sum(F.col("best") * F.col("held")) / points).alias("ap"), F.max("recall").alias("ar"))
+
+
 def nearest_rank(values: Column, share: float) -> Column:
     """Of an array: the value at place min(n - 1, max(0, int(share * n) - 1)) in ascending order; 0 if empty."""
     ordered, n = F.array_sort(values), F.size(values)

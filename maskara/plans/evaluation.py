@@ -219,25 +219,24 @@ ERROR_PIVOT = _ERRORS + " SELECT source, count(*) FILTER (WHERE type = 'FP') AS
 
 
 def max_cardinality_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.maximum_tp(pairs.pred_gt(views.preds(spark, sf_dir), views.truths(spark, sf_dir)), MATCH_IOU)
+    return matching.maximum_tp(views.image_rows(spark, sf_dir), MATCH_IOU)
 
 
 def matching_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, t = views.preds(spark, sf_dir), views.truths(spark, sf_dir)
-    return matching.matching_curve(p, pairs.pred_gt(p, t), t.count(), MATCH_IOU)
+    return matching.matching_curve(views.image_rows(spark, sf_dir), MATCH_IOU)
+
+
+#: The thresholds over which average precision is averaged.
+COCO_STEPS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
 def coco_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """threshold, ap over ten thresholds with at most 100 predictions an image."""
-    p, t = views.preds(spark, sf_dir), views.truths(spark, sf_dir)
-    steps = [0.5, 0.75]
-    hits = matching.coco_matches(p, pairs.pred_gt(p, t), steps).withColumn("target", F.col("hit").cast("int"))
-    hits = hits.select("threshold", F.col("conf").alias("score"), "target").persist()
-    n, out = t.count(), None
-    for s in steps:
-        one = metrics.average_precision(metrics.precision_recall(hits.filter(F.col("threshold") == s), n)).select(F.lit(s).alias("threshold"), F.round("ap", 6).alias("ap"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """threshold, ap, ar with at most 100 predictions an image."""
+    rows = views.image_rows(spark, sf_dir).persist()
+    steps = spark.createDataFrame([(t,) for t in COCO_STEPS], "threshold double")
+    n = rows.agg(F.sum("n_gt")).first()[0] or 0
+    hits = matching.coco_matches(rows, steps)
+    return metrics.average_precisions(hits, n).select("threshold", F.round("ap", 6).alias("ap"), F.round("ar", 6).alias("ar"))
 
 
 def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:

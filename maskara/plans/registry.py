@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation
+from . import curation, evaluation
 
 FLAGSHIP = "grid_metrics"
-MODULES = (evaluation,)
+MODULES = (evaluation, curation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
