@@ -109,7 +109,7 @@ def _curves(points: DataFrame, width: int) -> Curves:
 
 
 def ranked(points: DataFrame, width: int) -> DataFrame:
-    """point, ids, v -> the same for each curve, with rank: the place in the order of all curves' keys, one after another."""
+    """point, ids, v -> the same for each curve, with rank: the place in the order of all curves' keys, one curve after another."""
     shared = points.sparkSession.sparkContext.broadcast(_curves(points, width))
 
     def keyed(batches):
@@ -191,12 +191,15 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, recall: float
     points = cut(firsts.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("least"), "h", "ids", "v").withColumn("point", F.xxhash64("h", "least")))
     if not width:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    placed = cut(ranked(points, width))
-    reach = window(points, placed, k, recall, sample)
+    n = points.count()
+    placed = cut(ranked(points, width).withColumn("rank", F.col("rank") - F.col("curve") * n))  # every curve holds every point once
+    reach = max(window(points, placed, k, recall, sample), 2 * (k + 1))  # no fewer, so that a result is full
     asked = keyed.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "h", "v").join(points.select("h", "v", "point"), ["h", "v"]).select("vec_id", "point")
     asked = cut(asked)
-    sites = placed.join(asked.select("point").distinct(), "point", "left_semi").select("curve", F.col("point").alias("query"), F.col("v").alias("q"), F.explode(F.sequence(F.floor((F.greatest(F.col("rank") - reach, F.lit(0))) / BLOCK), F.floor((F.col("rank") + reach) / BLOCK))).alias("block"))
-    per_block = placed.select("point", "ids", "v", F.floor(F.col("rank") / BLOCK).alias("block"))
+    sites = placed.join(asked.select("point").distinct(), "point", "left_semi").select("curve", F.col("point").alias("query"), F.col("v").alias("q"), F.explode(F.sequence(F.floor((F.greatest(F.col("rank") - reach, F.lit(0))) / BLOCK), F.floor(F.least(F.col("rank") + reach, F.lit(n - 1)) / BLOCK))).alias("block"))
+    named = F.shiftleft(F.col("curve").cast("long"), 40) + F.col("block")  # a block holds a point once
+    sites = sites.select("query", "q", named.alias("block"))
+    per_block = placed.select("point", "ids", "v", "curve", F.floor(F.col("rank") / BLOCK).alias("block")).select("point", "ids", "v", named.alias("block"))
     # a block met by many queries is met in turns of about QUERIES, each a group of its own
     turns = sites.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
     left = per_block.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("role"), "point", "ids", "v")
@@ -207,7 +210,7 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, recall: float
         key, stored = None, []
         points_ = v = None
         for batch in batches:
-            marks = batch.column("block").to_numpy() * 1_000_003 + batch.column("turn").to_numpy()
+            marks = batch.column("block").to_numpy() * 65_537 + batch.column("turn").to_numpy()
             roles = batch.column("role").to_numpy()
             edges = np.flatnonzero((np.diff(marks) != 0) | (np.diff(roles) != 0)) + 1
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(marks)]):
