@@ -109,7 +109,7 @@ def strict_instances(lines: DataFrame, confident: bool, keys=("stem",)) -> tuple
     prediction, which goes to the errors as invalid_coordinate_count or fewer_than_3_points."""
     n = F.size(tokens(F.col("text"))) - (2 if confident else 1)
     code = F.when(n % 2 != 0, "invalid_coordinate_count").when(n < 6, "fewer_than_3_points")
-    marked = lines.filter(F.trim("text") != "").withColumn("code", code)
+    marked = lines.withColumn("code", F.when(F.trim("text") != "", code))
     if not confident:
         marked = marked.withColumn("text", F.when(F.col("code").isNull(), F.col("text")).otherwise(F.raise_error(F.concat_ws(": ", F.col("code"), F.col("text")))))
     return instances(marked.filter(F.col("code").isNull()), confident, keys=keys), marked.filter(F.col("code").isNotNull()).select(*keys, "line", "code", "text")
@@ -118,10 +118,10 @@ def strict_instances(lines: DataFrame, confident: bool, keys=("stem",)) -> tuple
 def benchmark_instances(lines: DataFrame, class_id: int = 0, keys=("stem",)) -> DataFrame:
     """One class; other classes are skipped, and lines of it that are malformed, not finite or out of range stop the read."""
     words = tokens(F.regexp_replace("text", "^﻿", ""))
-    own = lines.filter(F.trim("text") != "").filter(F.get(words, F.lit(0)).try_cast("int") == class_id)
+    own = (F.trim("text") != "") & F.coalesce(F.get(words, F.lit(0)).try_cast("int") == class_id, F.lit(False))
     xy = _numbers(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))
     fine = (F.size(xy) >= 6) & (F.size(xy) % 2 == 0) & F.forall(xy, lambda x: F.coalesce(x.between(0.0, 1.0), F.lit(False)))
-    checked = own.withColumn("text", F.when(fine, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("bad label line: "), F.col("text")))))
+    checked = lines.withColumn("text", F.when(own, F.when(fine, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("bad label line: "), F.col("text"))))))
     return instances(checked, False, clip=False, keys=keys)
 
 
@@ -133,7 +133,8 @@ def training_instances(lines: DataFrame, width: Column, height: Column, toleranc
     words = tokens(F.col("text"))
     xy = _numbers(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))
     fine = (F.get(words, F.lit(0)) == "0") & (F.size(xy) >= 6) & (F.size(xy) % 2 == 0) & F.forall(xy, lambda x: F.coalesce(x.between(-tolerance, 1 + tolerance), F.lit(False)))
-    checked = lines.filter(F.trim("text") != "").withColumn("text", F.when(fine, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("bad label line: "), F.col("text")))))
+    # blank lines become null, not filtered: a filter may be moved after the check
+    checked = lines.withColumn("text", F.when(F.trim("text") != "", F.when(fine, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("bad label line: "), F.col("text"))))))
     rows = instances(checked, False, keys=keys).withColumn("pixels", F.transform("points", lambda p: F.struct(F.round(p["x"] * width, 6).alias("x"), F.round(p["y"] * height, 6).alias("y"))))
     box = bounds(F.col("pixels"))
     good = (F.size(F.array_distinct("points")) >= 3) & (polygon_area(F.col("pixels")) > 0) & (box["x1"] > box["x0"]) & (box["y1"] > box["y0"])
