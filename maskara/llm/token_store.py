@@ -33,15 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import SLICE_BYTES, UnitEncoder, default_tokenizer
+from .bpe import UnitEncoder, default_tokenizer
 from .store import scratch, small
-from .units import by_bytes, cut_units
+from .units import Places, by_bytes, cut_units, tidy
 
 END_ID = 2
 #: Documents in a shard, about; most shards; tokens in a file, about.
-SHARD_DOCS, MOST_SHARDS, FILE_TOKENS = 8192, 4096, 2_000_000
-#: Distinct units that a worker keeps.
-KEPT_UNITS = 600_000
+SHARD_DOCS, MOST_SHARDS, FILE_TOKENS = 8192, 4096, 500_000
+#: Bytes of text cut at a time; distinct units that a worker keeps.
+SLICE_BYTES = 2_000_000
+KEPT_UNITS = 700_000
 #: Every so many ones the position is stored.
 SAMPLE = 256
 #: Rows up to which the table of files is broadcast.
@@ -148,27 +149,30 @@ class _Encoder:
 
     def __init__(self, source: str):
         self.encode = UnitEncoder(source)
-        self.seen: dict[str, int] = {}
-        self.pool, self.starts, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1, dtype=np.int64), 0
+        self.seen = Places(KEPT_UNITS)
+        self.starts = np.zeros(KEPT_UNITS + 1, dtype=np.int64)
+        self.pool = np.zeros(4 * KEPT_UNITS, dtype=np.uint32 if len(self.encode.opens) > 1 << 16 else np.uint16)
 
     def rows(self, units: list[str]) -> np.ndarray:
-        seen = self.seen
-        got = [seen.get(u, -1) for u in units]
-        new = [u for u, k in zip(units, got) if k < 0]
-        if new and len(seen) + len(new) > KEPT_UNITS:
+        """The numbers of units in starts."""
+        seen, h = self.seen, Places.hashes(units)
+        got = seen.find(h)
+        new = np.flatnonzero(got < 0)
+        if len(new) and seen.n + len(new) > seen.most:
             seen.clear()
-            self.starts, self.used, new = self.starts[:1], 0, units
-        if new:
-            lengths, flat = self.encode(new)
-            first = len(seen)
-            if self.used + len(flat) > len(self.pool):
-                self.pool = np.append(self.pool[: self.used], np.zeros(self.used + 2 * len(flat), dtype=np.uint32))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.starts = np.append(self.starts[: first + 1], self.used + np.cumsum(lengths))
-            self.used += len(flat)
-            seen.update(zip(new, range(first, first + len(new))))
-            got = [seen[u] for u in units]
-        return np.array(got, dtype=np.int64)
+            new = np.arange(len(units))
+        if len(new):
+            lengths, flat = self.encode([units[i] for i in new.tolist()])
+            first, used = seen.n, int(self.starts[seen.n])
+            seen.add(h[new])
+            if seen.n >= len(self.starts):
+                self.starts = np.append(self.starts, np.zeros(seen.n + 1 - len(self.starts), dtype=np.int64))
+            if used + len(flat) > len(self.pool):
+                self.pool = np.append(self.pool, np.zeros(used + len(flat) - len(self.pool) + len(self.pool) // 4, dtype=self.pool.dtype))
+            self.pool[used : used + len(flat)] = flat
+            self.starts[first + 1 : seen.n + 1] = used + np.cumsum(lengths)
+            got = seen.find(h)
+        return got
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each text)."""
@@ -201,6 +205,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
     shared = docs.sparkSession.sparkContext.broadcast((source, np.array(cuts or [], dtype=np.int64)))
 
+    @tidy
     def encode(batches):
         source, cuts = shared.value
         encoder = _Encoder(source)
@@ -214,6 +219,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                 binary = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(at), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(shard), doc_ids, binary], schema=schema)
 
+    @tidy
     def files(batches):
         schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("file", pa.binary())])
         shard, part, doc_ids, sizes, data, held = None, 0, [], [], [], 0
@@ -253,6 +259,7 @@ def read(spark, folder: str) -> DataFrame:
 def documents(files: DataFrame) -> DataFrame:
     """read()'s rows -> doc_id, start, n_tokens, ids_crc32."""
 
+    @tidy
     def rows(batches):
         for batch in batches:
             for start, data in zip(batch.column("start").to_pylist(), batch.column("file")):

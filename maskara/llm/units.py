@@ -7,40 +7,49 @@ So the ids of a text are the ids of its units in order, and a unit is encoded on
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-#: A space before more white space: such texts are cut by STARTS, the others at every space. Python's white space
-#: includes all of Unicode's, so a cut is never put where the pattern would not start a match.
-ODD = re.compile(r" (?:\s|\Z)")
+#: Where a unit starts. Python's white space includes all of Unicode's, so a cut is never put where the pattern would not
+#: start a match.
 STARTS = re.compile(r" (?=\S)")
 
 
 def cut_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Texts -> (offsets by text, a code for each unit, the distinct units in the order of codes). Null: empty."""
+    """Texts -> (offsets by text, a code for each unit, the distinct units in the order of codes). Null: empty.
+
+    Every space is a cut, but for texts in which white space follows one: these are told by their parts and cut again.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    odd = pc.match_substring_regex(texts, r" (?:[\s\pZ\x0b\x1c-\x1f\x{85}]|$|\n)").to_numpy(zero_copy_only=False).astype(bool)
-    if odd.any():
-        parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ").to_pylist() if odd.all() else None
-        pieces = parts or pc.split_pattern(texts, " ").to_pylist()
-        for i in np.flatnonzero(odd):
-            pieces[i] = STARTS.split(texts[int(i)].as_py())
-        lists = pa.array(pieces, pa.large_list(pa.large_string()))
-    else:
-        lists = pc.split_pattern(texts, " ")
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    blank = np.array([not w or w[0].isspace() for w in words], dtype=bool)
+    if blank.any():
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        hits = np.append(0, np.cumsum(blank[coded.indices.to_numpy(zero_copy_only=False)]))
+        odd = np.flatnonzero(hits[offsets[1:] - offsets[0]] > hits[offsets[:-1] - offsets[0]])
+        again = pa.array([STARTS.split(texts[int(i)].as_py()) for i in odd], lists.type)
+        order = np.arange(len(texts))
+        order[odd] = len(texts) + np.arange(len(odd))
+        lists = pa.concat_arrays([lists, again]).take(pa.array(order))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
     offsets = np.asarray(lists.offsets, dtype=np.int64)
-    flat = lists.flatten()
-    coded = flat.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + 1
     offsets = offsets - offsets[0]
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + 1
     codes[offsets[:-1][np.diff(offsets) > 0]] -= 1  # a text's first unit has no space before it
-    known = np.zeros(2 * len(coded.dictionary), dtype=bool)
+    known = np.zeros(2 * len(words), dtype=bool)
     known[codes] = True
     place = np.cumsum(known) - 1
-    words = coded.dictionary.to_pylist()
     units = [(" " + words[c >> 1]) if c & 1 else words[c >> 1] for c in np.flatnonzero(known).tolist()]
     return offsets, place[codes].astype(np.int32), units
 
@@ -55,6 +64,55 @@ def gathered(codes: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> tuple[
     return data[at], each
 
 
+class Places:
+    """A table from strings, by their 128-bit hash, to numbers: two dozen bytes an entry, looked up many at a time."""
+
+    def __init__(self, most: int):
+        size = 1 << (2 * most - 1).bit_length()
+        self.most, self.mask, self.n = most, np.uint64(size - 1), 0
+        self.keys, self.values = np.zeros((size, 2), dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+
+    @staticmethod
+    def hashes(strings: list[str]) -> np.ndarray:
+        digest = xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([digest(s.encode()) for s in strings]), dtype=np.uint64).reshape(-1, 2)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers, -1 where there is none."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        open_, at = np.arange(len(h)), h[:, 0] & self.mask
+        while len(open_):
+            v = self.values[at]
+            same = (v >= 0) & (self.keys[at] == h[open_]).all(1)
+            out[open_[same]] = v[same]
+            on = (v >= 0) & ~same
+            open_, at = open_[on], (at[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers new strings on, in order."""
+        if 4 * (self.n + len(h)) > 3 * len(self.values):
+            known = self.values >= 0
+            old = self.keys[known][np.argsort(self.values[known])]
+            self.__init__(2 * (self.n + len(h)))
+            self.add(old)
+        number, at = np.arange(self.n, self.n + len(h), dtype=np.int32), h[:, 0] & self.mask
+        self.n += len(h)
+        left = np.arange(len(h))
+        while len(left):
+            free = np.flatnonzero(self.values[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            took = free[first]
+            self.keys[at[took]], self.values[at[took]] = h[left[took]], number[left[took]]
+            on = np.ones(len(left), dtype=bool)
+            on[took] = False
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+
+    def clear(self) -> None:
+        self.n = 0
+        self.values.fill(-1)
+
+
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     """The batch in slices of rows of about ``most`` bytes of ``column`` (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -64,3 +122,22 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
         if end > at:
             yield batch.slice(at, end - at)
             at = end
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that Spark reuses would keep what its largest task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f):
+    """f, a generator over batches, that gives its memory back when it ends."""
+
+    @functools.wraps(f)
+    def whole(batches, *more):
+        yield from f(batches, *more)
+        gc.collect()
+        give_back()
+
+    return whole
