@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .units import by_bytes, cut_units, gathered
+from .units import by_bytes, cut_units, gathered, tidy
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24_000_000
@@ -176,6 +176,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield whole()
 
 
+@tidy
 def _split_units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """For each block and each bucket that a hash deals its distinct units to: their places, lengths in bytes, and bytes."""
     for block, stamp, units, *_ in _blocks(batches):
@@ -189,12 +190,14 @@ def _split_units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         yield pa.RecordBatch.from_pydict(out, schema=UNITS)
 
 
+@tidy
 def _split_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block its documents, as places of units."""
     for block, stamp, _, doc_ids, sizes, codes in _blocks(batches):
         yield pa.RecordBatch.from_pydict({"block": [block], "stamp": [stamp], "doc_ids": pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), "sizes": [_packed(sizes)], "codes": [_packed(codes)]}, schema=TEXTS)
 
 
+@tidy
 def _encoded_buckets(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
     """Rows of distinct units sorted by bucket -> block, places, lengths (ids of each unit) and data (the ids)."""
     encoder, now = UnitEncoder(source), None
@@ -225,6 +228,7 @@ TABLE = pa.schema([("block", pa.int64()), ("id", pa.int32()), ("lengths", pa.bin
 TABLE_SQL = "block long, id int, lengths binary, data binary, doc_ids array<long>, sizes binary, codes binary"
 
 
+@tidy
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of blocks, encoded buckets first -> for each block a row per distinct id, then one with the ids of its table of
     units (lengths, data, by place) and its documents."""
@@ -306,6 +310,7 @@ def _rows(row: dict, size: np.ndarray, data: np.ndarray, pieces: dict) -> Iterat
 def round_trip(encoded: DataFrame) -> DataFrame:
     """encode()'s rows -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
+    @tidy
     def digests(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         rows, table, last = [], None, None

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .store import cut
-from .units import by_bytes
+from .units import by_bytes, tidy
 
 #: The model is fitted on about so many labelled rows, drawn by a hash of doc_id.
 SAMPLE_ROWS = 6000
@@ -155,6 +155,7 @@ def fit(labelled: DataFrame, vocabulary: str | None = None, sample_rows: int = S
     share = min(1.0, sample_rows / max(n, 1))
     drawn = labelled.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
 
+    @tidy
     def count_words(batches):
         found: dict[str, Counter] = {}
         rows: Counter = Counter()
@@ -183,6 +184,7 @@ def fit(labelled: DataFrame, vocabulary: str | None = None, sample_rows: int = S
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((pieces, langs, p))
 
+        @tidy
         def expect(batches):
             own_pieces, own_langs, own_p = shared.value
             lattice, padded, total = Lattice(own_pieces), _with_extra(own_p), np.zeros(own_p.shape)
@@ -251,6 +253,7 @@ def with_language(docs: DataFrame, model: dict, at: str = "_language") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @tidy
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(shared.value)
         for texts in batches:

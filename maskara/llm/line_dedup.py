@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from .store import cut, free, small
+from .units import tidy
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 4
@@ -82,6 +83,7 @@ def _in_map(docs: DataFrame, spread: DataFrame, min_chars: int, at: str) -> Data
     shared = docs.sparkSession.sparkContext.broadcast({(a, b): (None if n else int(d), p) for a, b, d, p, n in zip(rows["h1"].tolist(), rows["h2"].tolist(), rows["doc_id"], rows["pos"].tolist(), null)})
 
     @F.arrow_udf(NEW)
+    @tidy
     def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known, digest = shared.value, xxhash.xxh64_intdigest
         second = digest(b"second", 42)
@@ -112,6 +114,7 @@ def _by_shuffle(docs: DataFrame, lines: DataFrame, spread: DataFrame, at: str) -
     """The same, where the table of lines is too large to broadcast: positions meet documents by doc_id."""
 
     @F.arrow_udf(NEW)
+    @tidy
     def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, gone in batches:
             rows = zip(texts.to_pylist(), gone.to_pylist())

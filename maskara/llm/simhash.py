@@ -30,6 +30,7 @@ from pyspark.sql.types import LongType
 
 from .graph import components, stars
 from .store import cut, small
+from .units import tidy
 
 RADIUS = 2
 WORDS = 3
@@ -58,6 +59,7 @@ def fingerprint(text: str | None) -> int:
 
 
 @F.arrow_udf(LongType())
+@tidy
 def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array(np.array([fingerprint(x.as_py()) for x in texts], dtype=np.uint64).view(np.int64))
@@ -113,6 +115,7 @@ def block_keys(fp: str, radius: int) -> list:
     return [F.struct(F.lit(i).alias("block"), F.shiftright(F.shiftleft(F.col(fp), 64 - b), 64 - (b - a)).alias("bits")) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
+@tidy
 def _search(batches, radius: int):
     """Rows sorted by shard (block, bits, tree), the tree's own rows first -> the star of the links in each tree."""
 
