@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .langid import fold, words_of
-from .units import by_bytes
+from .units import by_bytes, tidy
 
 #: Labelled rows that the lexicon and the model are fitted on, about.
 SAMPLE_ROWS = 10_000
@@ -216,6 +216,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
 def fit(labelled: DataFrame) -> dict:
     """A model from rows of text, toxic (0 or 1), at most a bounded sample: they are counted in Spark, and the driver gets the best terms and one row of inputs for each."""
 
+    @tidy
     def count(batches):
         both = (Counter(), Counter())
         rows = [0, 0]
@@ -244,6 +245,7 @@ def fit(labelled: DataFrame) -> dict:
     best = counted.filter((F.col("term") != "") & (F.col("toxic") >= LEAST_SHARE * toxic) & (odds >= LEAST_ODDS)).orderBy((-F.col("toxic") * odds), "term").limit(20 * MOST_TERMS)
     terms = _terms([(r["term"], r["toxic"], r["clean"]) for r in best.collect()], toxic, clean)  # a bounded number
 
+    @tidy
     def inputs(batches):
         lexicon = Lexicon(terms)
         for batch in batches:
@@ -251,7 +253,7 @@ def fit(labelled: DataFrame) -> dict:
                 x = features(part.column("text"), lexicon)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(x.shape[1])] + [part.column("toxic").cast(pa.int32())], names=[*FEATURES, "y"])
 
-    rows = labelled.mapInArrow(inputs, ", ".join(f"{n} double" for n in FEATURES) + ", y int").orderBy(*FEATURES, "y").toPandas()  # SAMPLE_ROWS, about
+    rows = labelled.mapInArrow(inputs, ", ".join(f"{n} double" for n in FEATURES) + ", y int").toPandas().sort_values([*FEATURES, "y"])  # SAMPLE_ROWS, about
     w, b = _logistic(rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy(dtype=float))
     return {"terms": terms, "w": w, "b": b}
 
@@ -261,6 +263,7 @@ def with_score(docs: DataFrame, model: dict, at: str = "_toxicity") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         lexicon = Lexicon(own["terms"])
