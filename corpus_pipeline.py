@@ -20,9 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the boilerplate lines; n_chars follows the text."""
+    """Every document, without the boilerplate lines, however short (blank lines stay); n_chars follows the text."""
     at = free(docs, "_removed")
-    out = line_dedup.drop_boilerplate(docs, removed=at)
+    out = line_dedup.drop_boilerplate(docs, min_chars=1, removed=at)
     n_chars = F.when(F.col(at) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
