@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskara.llm import bpe, langid, line_dedup, mixing, simhash
+from maskara.llm import bpe, langid, line_dedup, mixing, shingles
 from maskara.llm.store import free, scratch
 
 
@@ -28,8 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group linked by a similarity of 0.8 in shingles of five words, that with the smallest doc_id."""
+    return shingles.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

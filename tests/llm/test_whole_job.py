@@ -12,3 +12,44 @@ def test_short_lines(spark):
     docs = spark.createDataFrame([(i, f"own words of {i}\nLes.\n\nx", "en", f"s{i % 5 if i < 5 else 0}", 0) for i in range(6)], DOCS)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert got[0] == "own words of 0\nLes.\n\nx" and all(got[i] == f"own words of {i}\n" for i in range(1, 6))
+
+
+def test_near_copies(spark):
+    """The pipeline's near-dedup is by shingles of five words at 0.8: against all pairs, with copies that SimHash at 2 bits leaves."""
+    import numpy as np
+
+    from maskara.llm import shingles, simhash
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(words, int(rng.integers(6, 150))))
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 5):
+            own = list(base)
+            for i in rng.integers(0, len(own), edits):
+                own[i] = str(rng.choice(words))
+            texts.append(" ".join(own))
+    texts += ["same line " * 30 + f"x{i}" for i in range(9)] + ["", None, " ", "one two", "One  two", "one two three", texts[0].upper()]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 0), (None, "alone here", "en", "s", 0)], DOCS)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(len(texts)):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    want = sorted({*root})
+    out = corpus_pipeline.dedup_documents(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == want
+    # rows without a doc_id stay only by a component of their own; then all rows of that id do, as before
+    assert "alone here" in {r["text"] for r in rows if r["doc_id"] is None}
+    assert simhash.keep_one(docs).filter("doc_id IS NOT NULL").count() > len(want)
+    assert shingles.keep_one(docs.limit(0)).count() == 0
