@@ -27,7 +27,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .units import by_bytes, cut_units, gathered, tidy
+from .store import bounded_batches
+from .units import Cut, Places, by_bytes, gathered, tidy
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24_000_000
@@ -36,7 +37,7 @@ SLICE_BYTES = 3_000_000
 #: Rows in an output batch.
 BATCH = 2000
 #: Documents for each bucket of distinct units, and most buckets; distinct units of a bucket held at a time.
-BUCKET_DOCS, MOST_BUCKETS, KEPT_UNITS = 2500, 4096, 1_000_000
+BUCKET_DOCS, MOST_BUCKETS, KEPT_UNITS = 2500, 65_536, 1_000_000
 #: Level of compression of what is shuffled and kept.
 LEVEL = 3
 #: A block may hold repeats far apart: the window covers all of it.
@@ -69,28 +70,32 @@ class UnitEncoder:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.opens = np.array([x.startswith("Ġ") for x in names])  # the byte 0x20 opens a unit
 
-    def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids end to end) of the units."""
-        if not units:
+    def __call__(self, cut: Cut, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids end to end) of the units at those places of a cut."""
+        if not len(at):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-        joint = np.array([u[:1] == " " and u.rfind(" ") == 0 and len(u) > 1 for u in units])
-        lengths = np.zeros(len(units), dtype=np.int64)
-        out: list = [None] * len(units)
-        at = np.flatnonzero(joint)
-        for i in range(0, len(at), 20_000):
-            part = at[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([units[k] for k in part])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        joint = cut.joint(at)
+        lengths = np.zeros(len(at), dtype=np.int64)
+        one, other = np.flatnonzero(joint), np.flatnonzero(~joint)
+        found = []
+        for i in range(0, len(one), 20_000):
+            part = one[i : i + 20_000]
+            text = cut.bytes_of(at[part]).tobytes().decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):
                 raise ValueError("the vocabulary encodes a unit's first space apart")
             lengths[part] = np.diff(np.append(starts, len(ids)))
-            for k, x in zip(part.tolist(), np.split(ids, starts[1:])):
-                out[k] = x
-        at = np.flatnonzero(~joint).tolist()
-        for k, e in zip(at, self.tokenizer.encode_batch_fast([units[k] for k in at], add_special_tokens=False)):
-            out[k] = np.array(e.ids, dtype=np.uint32)
-            lengths[k] = len(e.ids)
-        return lengths, np.concatenate(out)
+            found.append(ids)
+        for i in range(0, len(other), 2_000):
+            part = other[i : i + 2_000]
+            for k, e in zip(part.tolist(), self.tokenizer.encode_batch_fast(cut.strings(at[part]), add_special_tokens=False)):
+                lengths[k] = len(e.ids)
+                found.append(np.array(e.ids, dtype=np.uint32))
+        order = np.append(one, other)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return lengths, gathered(back, lengths[order], np.concatenate(found))[0]
 
 
 def pieces_of(source: str) -> list[bytes]:
@@ -145,30 +150,45 @@ TEXTS = pa.schema([("block", pa.int64()), ("stamp", pa.int64()), ("doc_ids", pa.
 TEXTS_SQL = "block long, stamp long, doc_ids array<long>, sizes binary, codes binary"
 
 
+class _Table:
+    """The distinct units of a block: their bytes end to end, lengths and hashes, in the order in which they came."""
+
+    def __init__(self):
+        self.places, self.bytes, self.lengths, self.hashes = Places(1 << 16), [], [], []
+
+    def codes(self, cut: Cut) -> np.ndarray:
+        h = cut.hashes()
+        got, new = self.places.numbers(h)
+        self.bytes.append(cut.bytes_of(new))
+        self.lengths.append(cut.ends[new] - cut.starts[new])
+        self.hashes.append(h[new, 1])
+        return got.astype(np.uint32)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """doc_id, text, part (the partition) -> (block, stamp, distinct units as bytes, the commonest first, and of the documents: doc_ids, how many
-    units each has, the units' places among the distinct ones). The stamp tells one content of a block from another."""
-    task, block, held, seen, rows = 0, 0, 0, {}, []
+    """doc_id, text, part (the partition) -> (block, stamp, the distinct units, the commonest first, as a cut and one half of their hashes, and of
+    the documents: doc_ids, how many units each has, the units' places among the distinct ones). The stamp tells one content of a block from another."""
+    task, block, held, table, rows = 0, 0, 0, _Table(), []
 
     def whole():
-        nonlocal block, held, seen, rows
+        nonlocal block, held, table, rows
         codes = np.concatenate([r[2] for r in rows])
-        order = np.argsort(-np.bincount(codes, minlength=len(seen)), kind="stable")
-        place = np.empty(len(seen), dtype=np.uint32)
-        place[order] = np.arange(len(seen))
-        units = [u.encode() for u in seen]
-        units = [units[i] for i in order.tolist()]
-        stamp = zlib.crc32(b"\0".join(units), len(codes))
-        out = (task << 32) + block, stamp, units, pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), place[codes]
-        block, held, seen, rows = block + 1, 0, {}, []
+        lengths, hashes = np.concatenate(table.lengths), np.concatenate(table.hashes)
+        order = np.argsort(-np.bincount(codes, minlength=len(lengths)), kind="stable")
+        place = np.empty(len(lengths), dtype=np.uint32)
+        place[order] = np.arange(len(lengths))
+        data, lengths = gathered(order, lengths, np.concatenate(table.bytes))
+        data = data.tobytes()
+        stamp = zlib.crc32(lengths.tobytes(), zlib.crc32(data, len(codes)))
+        out = (task << 32) + block, stamp, (Cut.end_to_end(data, lengths), hashes[order]), pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), place[codes]
+        block, held, table, rows = block + 1, 0, _Table(), []
         return out
 
     for batch in batches:
         for part in by_bytes(batch, "text", SLICE_BYTES):
             task = part.column("part")[0].as_py()
-            offsets, codes, units = cut_units(part.column("text"))
-            place = np.array([seen.setdefault(u, len(seen)) for u in units], dtype=np.int64)
-            rows.append((part.column("doc_id"), np.diff(offsets), place[codes] if len(units) else codes.astype(np.int64)))
+            cut = Cut.of(part.column("text"))
+            rows.append((pa.array(part.column("doc_id").to_pylist(), pa.int64()), np.diff(cut.offsets), table.codes(cut)))  # a copy, not a view of the batch
             held += part.column("text").nbytes
             if held >= BLOCK_BYTES:
                 yield whole()
@@ -179,13 +199,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 @tidy
 def _split_units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """For each block and each bucket that a hash deals its distinct units to: their places, lengths in bytes, and bytes."""
-    for block, stamp, units, *_ in _blocks(batches):
-        bucket = np.fromiter(map(zlib.crc32, units), dtype=np.int64, count=len(units)) % buckets
+    for block, stamp, (units, hashes), *_ in _blocks(batches):
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         out: dict = {f.name: [] for f in UNITS}
         for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            own = [units[i] for i in at.tolist()]
-            for f, v in zip(out, (block, stamp, int(bucket[at[0]]), _packed(np.diff(at, prepend=0)), _packed(np.fromiter(map(len, own), dtype=np.int64, count=len(own))), _squeezed(b"".join(own)))):
+            for f, v in zip(out, (block, stamp, int(bucket[at[0]]), _packed(np.diff(at, prepend=0)), _packed(units.ends[at] - units.starts[at]), _squeezed(units.bytes_of(at).tobytes()))):
                 out[f].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=UNITS)
 
@@ -194,35 +213,30 @@ def _split_units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
 def _split_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block its documents, as places of units."""
     for block, stamp, _, doc_ids, sizes, codes in _blocks(batches):
-        yield pa.RecordBatch.from_pydict({"block": [block], "stamp": [stamp], "doc_ids": pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), "sizes": [_packed(sizes)], "codes": [_packed(codes)]}, schema=TEXTS)
+        doc_ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+        yield pa.RecordBatch.from_pydict({"block": [block], "stamp": [stamp], "doc_ids": doc_ids, "sizes": [_packed(sizes)], "codes": [_packed(codes)]}, schema=TEXTS)
 
 
 @tidy
 def _encoded_buckets(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
     """Rows of distinct units sorted by bucket -> block, places, lengths (ids of each unit) and data (the ids)."""
-    encoder, now = UnitEncoder(source), None
-    seen: dict[bytes, int] = {}
-    sizes, ids = [], []
+    encoder, now, seen = UnitEncoder(source), None, Places(1 << 16)
+    sizes = ids = None
     for batch in batches:
-        out: dict = {"block": [], "stamp": [], "places": [], "lengths": [], "data": []}
         for row in batch.to_pylist():
-            if row["bucket"] != now or len(seen) > KEPT_UNITS:
-                now, seen, sizes, ids = row["bucket"], {}, [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
-            ends = np.cumsum(_unpacked(row["lengths"]), dtype=np.int64).tolist()
-            data = _whole(row["data"])
-            units = [data[i:j] for i, j in zip([0, *ends], ends)]
-            new = [u for u in units if u not in seen]
-            if new:
-                lengths, flat = encoder([u.decode() for u in new])
-                seen.update(zip(new, range(len(seen), len(seen) + len(new))))
-                sizes.append(lengths), ids.append(flat)
-                sizes, ids = [np.concatenate(sizes)], [np.concatenate(ids)]
-            got, each = gathered(np.array([seen[u] for u in units], dtype=np.int64), sizes[0], ids[0])
-            for k, v in (("block", row["block"]), ("stamp", row["stamp"]), ("places", row["places"]), ("lengths", _packed(each)), ("data", _packed(got))):
-                out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())]))
-
-
+            if row["bucket"] != now or seen.n > KEPT_UNITS:
+                now, sizes, ids = row["bucket"], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+                seen.clear()
+            units = Cut.end_to_end(_whole(row["data"]), _unpacked(row["lengths"]).astype(np.int64))
+            codes, new = seen.numbers(units.hashes())
+            if len(new):
+                lengths, flat = encoder(units, new)
+                sizes, ids = [np.concatenate([*sizes, lengths])], [np.concatenate([*ids, flat])]
+            got, each = gathered(codes, sizes[0], ids[0])
+            yield pa.RecordBatch.from_pydict({"block": [row["block"]], "stamp": [row["stamp"]], "places": [row["places"]], "lengths": [_packed(each)], "data": [_packed(got)]}, schema=ENCODED)
+
+
+ENCODED = pa.schema([("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 UNSTABLE = "the documents changed between two reads; give encode() a checkpoint of them"
 TABLE = pa.schema([("block", pa.int64()), ("id", pa.int32()), ("lengths", pa.binary()), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary())])
 TABLE_SQL = "block long, id int, lengths binary, data binary, doc_ids array<long>, sizes binary, codes binary"
@@ -265,6 +279,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         source = f.read()
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(source)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
     buckets = max(16, min(MOST_BUCKETS, docs.count() // BUCKET_DOCS))

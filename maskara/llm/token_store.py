@@ -15,11 +15,12 @@ committer writes them, once each even if tasks are repeated, to any store that S
 out as plain files where the folder is mounted.
 
 Documents go to shards by ranges of doc_id, and a shard is cut into files of about ``FILE_TOKENS``, so no task holds
-more than a file and a slice of text. Ids come from the tokenizers library, each distinct unit (``units.py``) being
-encoded once a worker while its table has room.
+more than a file and a slice of text. Rows of one doc_id, or of none, that fill several shards are dealt among them by a
+hash of the text. Ids come from the tokenizers library, each distinct unit (``units.py``) being encoded once a worker
+while its table has room; the table outlives a task and goes when another operator's task starts.
 
 Nulls and odd rows: a null text is encoded as empty, to the end id alone; a null doc_id sorts first; repeated doc_ids
-stand next to each other, ordered by their ids. An empty table gives no file and an empty result.
+stand next to each other, ordered by a hash of their text. An empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -34,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import UnitEncoder, default_tokenizer
-from .store import scratch, small
-from .units import Places, by_bytes, cut_units, tidy
+from .store import bounded_batches, scratch, small
+from .units import Cut, Places, by_bytes, kept, tidy
 
 END_ID = 2
-#: Documents in a shard, about; most shards; tokens in a file, about.
-SHARD_DOCS, MOST_SHARDS, FILE_TOKENS = 8192, 4096, 500_000
+#: Documents in a shard, about; most shards (beyond, they hold more documents; a task holds one file of them at a time); tokens in a file, about.
+SHARD_DOCS, MOST_SHARDS, FILE_TOKENS = 8192, 65_536, 500_000
 #: Bytes of text cut at a time; distinct units that a worker keeps.
-SLICE_BYTES = 2_000_000
-KEPT_UNITS = 700_000
+SLICE_BYTES = 1_500_000
+KEPT_UNITS = 1_200_000
 #: Every so many ones the position is stored.
 SAMPLE = 256
 #: Rows up to which the table of files is broadcast.
@@ -145,48 +146,38 @@ class TokenFile:
 
 
 class _Encoder:
-    """Ids of texts; keeps those of distinct units."""
+    """Ids of texts; keeps those of distinct units, from one task to the next of a worker."""
 
     def __init__(self, source: str):
         self.encode = UnitEncoder(source)
-        self.seen = Places(KEPT_UNITS)
-        self.starts = np.zeros(KEPT_UNITS + 1, dtype=np.int64)
-        self.pool = np.zeros(4 * KEPT_UNITS, dtype=np.uint32 if len(self.encode.opens) > 1 << 16 else np.uint16)
-
-    def rows(self, units: list[str]) -> np.ndarray:
-        """The numbers of units in starts."""
-        seen, h = self.seen, Places.hashes(units)
-        got = seen.find(h)
-        new = np.flatnonzero(got < 0)
-        if len(new) and seen.n + len(new) > seen.most:
-            seen.clear()
-            new = np.arange(len(units))
-        if len(new):
-            lengths, flat = self.encode([units[i] for i in new.tolist()])
-            first, used = seen.n, int(self.starts[seen.n])
-            seen.add(h[new])
-            if seen.n >= len(self.starts):
-                self.starts = np.append(self.starts, np.zeros(seen.n + 1 - len(self.starts), dtype=np.int64))
-            if used + len(flat) > len(self.pool):
-                self.pool = np.append(self.pool, np.zeros(used + len(flat) - len(self.pool) + len(self.pool) // 4, dtype=self.pool.dtype))
-            self.pool[used : used + len(flat)] = flat
-            self.starts[first + 1 : seen.n + 1] = used + np.cumsum(lengths)
-            got = seen.find(h)
-        return got
+        self.seen = Places(1 << 16)
+        self.starts = np.zeros(1, dtype=np.int64)
+        self.pool = np.zeros(1 << 18, dtype=np.uint32 if len(self.encode.opens) > 1 << 16 else np.uint16)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each text)."""
-        offsets, codes, units = cut_units(texts)
-        if not len(codes):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
-        rows = self.rows(units)[codes]
+        units = Cut.of(texts)
+        if not len(units):
+            return np.zeros(0, dtype=self.pool.dtype), np.zeros(len(texts), dtype=np.int64)
+        if self.seen.n > KEPT_UNITS:
+            self.seen.clear()
+        if not self.seen.n:
+            self.starts = self.starts[:1].copy()
+        rows, new = self.seen.numbers(units.hashes())
+        if len(new):
+            lengths, flat = self.encode(units, new)
+            used = int(self.starts[-1])
+            if used + len(flat) > len(self.pool):
+                self.pool = np.append(self.pool, np.zeros(used + len(flat) - len(self.pool) + len(self.pool) // 2, dtype=self.pool.dtype))
+            self.pool[used : used + len(flat)] = flat
+            self.starts = np.append(self.starts, used + np.cumsum(lengths))
         starts = self.starts[rows]
         each = self.starts[rows + 1] - starts
         ends = np.cumsum(each)
         at = np.arange(int(ends[-1]), dtype=np.int64)
         at += np.repeat(starts - (ends - each), each)
         total = np.append(0, ends)
-        return self.pool[at], total[offsets[1:]] - total[offsets[:-1]]
+        return self.pool[at], np.diff(total[units.offsets])
 
 
 def _with_end(ids: np.ndarray, each: np.ndarray, end_id: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -194,30 +185,41 @@ def _with_end(ids: np.ndarray, each: np.ndarray, end_id: int, dtype: str) -> tup
     return np.insert(ids, ends, end_id).astype(dtype), each + 1
 
 
+def _shards(doc_ids: np.ndarray, nulls: np.ndarray, ties: np.ndarray, cuts: np.ndarray, null_shards: int) -> np.ndarray:
+    """Shards ascend with (doc_id, tie), nulls first. A doc_id that several cuts fall on has the shards between them, by the tie."""
+    low, high = np.searchsorted(cuts, doc_ids, side="left"), np.searchsorted(cuts, doc_ids, side="right")
+    part = ties.astype(np.float64) / 2.0**64 + 0.5
+    among = np.minimum((part * (high - low)).astype(np.int64), np.maximum(high - low - 1, 0))
+    own = np.where(high - low > 1, low + 1 + among, high)
+    return np.where(nulls, np.minimum((part * null_shards).astype(np.int64), max(null_shards - 1, 0)), null_shards + own).astype(np.int32)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encodes doc_id, text, ends each document with end_id and writes the files' table to the folder."""
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         source = f.read()
+    bounded_batches(docs.sparkSession)
     width = 2 if max(len(UnitEncoder(source).opens), end_id + 1) <= 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = docs.count()
-    shards = min(MOST_SHARDS, max(1, -(-n // SHARD_DOCS)))
+    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    shards, null_shards = (min(MOST_SHARDS, -(-x // SHARD_DOCS)) for x in (known, n - known))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
     shared = docs.sparkSession.sparkContext.broadcast((source, np.array(cuts or [], dtype=np.int64)))
 
     @tidy
     def encode(batches):
         source, cuts = shared.value
-        encoder = _Encoder(source)
-        schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+        encoder = kept("token_store", source, lambda: _Encoder(source))
+        schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 ids, each = _with_end(*encoder(part.column("text")), end_id, f"<u{width}")
-                doc_ids = part.column("doc_id")
-                shard = np.searchsorted(cuts, doc_ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+                doc_ids, ties = part.column("doc_id"), part.column("tie")
+                nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
+                shard = _shards(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), nulls, ties.to_numpy(), cuts, null_shards)
                 at = (np.append(0, np.cumsum(each)) * width).astype(np.int32)
                 binary = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(at), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), doc_ids, binary], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), doc_ids, ties, binary], schema=schema)
 
     @tidy
     def files(batches):
@@ -240,9 +242,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         if doc_ids:
             yield written()
 
-    encoded = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.mapInArrow(files, "shard int, part int, n_tokens long, file binary").write.mode("overwrite").parquet(folder)
+    encoded = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
+    dealt = encoded.repartition(max(shards + null_shards, 1), "shard").sortWithinPartitions("shard", "doc_id", "tie", "ids")
+    dealt.select("shard", "doc_id", "ids").mapInArrow(files, "shard int, part int, n_tokens long, file binary").write.mode("overwrite").parquet(folder)
 
 
 def read(spark, folder: str) -> DataFrame:

@@ -3,6 +3,8 @@
 A unit starts at a space that a character other than white space follows. The split pattern of byte-level BPE
 always starts a new match there: of a run of white space before a word, all but the last character match alone.
 So the ids of a text are the ids of its units in order, and a unit is encoded once however often it occurs.
+
+Texts are cut, hashed and told apart as arrays of bytes, a slice at a time; no string is made for a unit.
 """
 
 from __future__ import annotations
@@ -11,47 +13,136 @@ import contextlib
 import ctypes
 import functools
 import gc
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Where a unit starts. Python's white space includes all of Unicode's, so a cut is never put where the pattern would not
-#: start a match.
-STARTS = re.compile(r" (?=\S)")
-
-
-def cut_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Texts -> (offsets by text, a code for each unit, the distinct units in the order of codes). Null: empty.
-
-    Every space is a cut, but for texts in which white space follows one: these are told by their parts and cut again.
-    """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.split_pattern(texts, " ")
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    blank = np.array([not w or w[0].isspace() for w in words], dtype=bool)
-    if blank.any():
-        offsets = np.asarray(lists.offsets, dtype=np.int64)
-        hits = np.append(0, np.cumsum(blank[coded.indices.to_numpy(zero_copy_only=False)]))
-        odd = np.flatnonzero(hits[offsets[1:] - offsets[0]] > hits[offsets[:-1] - offsets[0]])
-        again = pa.array([STARTS.split(texts[int(i)].as_py()) for i in odd], lists.type)
-        order = np.arange(len(texts))
-        order[odd] = len(texts) + np.arange(len(odd))
-        lists = pa.concat_arrays([lists, again]).take(pa.array(order))
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
-    offsets = offsets - offsets[0]
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + 1
-    codes[offsets[:-1][np.diff(offsets) > 0]] -= 1  # a text's first unit has no space before it
-    known = np.zeros(2 * len(words), dtype=bool)
-    known[codes] = True
-    place = np.cumsum(known) - 1
-    units = [(" " + words[c >> 1]) if c & 1 else words[c >> 1] for c in np.flatnonzero(known).tolist()]
-    return offsets, place[codes].astype(np.int32), units
+#: Bytes that no unit starts before: ASCII white space, and the first bytes of the other white space characters, which are looked at again.
+_ASCII_WHITE = np.zeros(256, dtype=bool)
+_ASCII_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Units up to so many bytes are hashed as arrays, longer ones one by one.
+MOST_HASHED = 4096
+_rng = np.random.default_rng(20240607)
+_LETTER = _rng.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(0, 2**63, (2, MOST_HASHED + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _white(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the characters of those three bytes, of which a is in _LEADS, are white space (U+180E counts as such)."""
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    ogham = (a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))
+    general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    return two | ogham | general | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+
+
+def _opens(data: np.ndarray, spaces: np.ndarray) -> np.ndarray:
+    """Whether another character than white space follows each space; data has three bytes more than the texts."""
+    follow = data[spaces + 1]
+    opens = ~_ASCII_WHITE[follow]
+    wide = np.flatnonzero(opens & _LEADS[follow])
+    opens[wide] = ~_white(follow[wide], data[spaces[wide] + 2], data[spaces[wide] + 3])
+    return opens
+
+
+class Cut:
+    """Bytes, and where units start and end in them; ``offsets``: the units before each text, and in all."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray):
+        self.data, self.starts, self.ends, self.offsets = data, starts, ends, offsets
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Cut:
+        """The units of texts; null: none, as of an empty one."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        _, at, values = texts.buffers()
+        offsets = np.frombuffer(at, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        size = int(offsets[-1] - offsets[0])
+        data = np.zeros(size + 3, dtype=np.uint8)  # padded, so that a look ahead stays inside
+        if size:
+            data[:size] = np.frombuffer(values, dtype=np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        spaces = np.flatnonzero(data[:size] == 0x20)
+        last = np.zeros(size + 1, dtype=bool)
+        last[offsets] = True  # where texts begin or end
+        opens = _opens(data, spaces) & ~last[spaces + 1]
+        first = np.zeros(size + 1, dtype=bool)
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        first[spaces[opens]] = True
+        starts = np.flatnonzero(first[:size])
+        return cls(data, starts, np.append(starts[1:], size) if len(starts) else starts, np.searchsorted(starts, offsets))
+
+    @classmethod
+    def runs(cls, texts: pa.Array) -> Cut:
+        """The runs of other bytes than spaces in each text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        _, at, values = texts.buffers()
+        offsets = np.frombuffer(at, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        size = int(offsets[-1] - offsets[0])
+        data = np.frombuffer(values, dtype=np.uint8)[offsets[0] : offsets[-1]] if size else np.zeros(0, dtype=np.uint8)
+        offsets = offsets - offsets[0]
+        edge = np.zeros(size + 1, dtype=bool)
+        edge[offsets] = True
+        inside = np.append(data != 0x20, False)
+        before = np.append(False, inside[:-1])
+        starts = np.flatnonzero(inside & (~before | edge))
+        return cls(data, starts, np.flatnonzero(before & (~inside | edge)), np.searchsorted(starts, offsets))
+
+    @classmethod
+    def end_to_end(cls, data: bytes, lengths: np.ndarray) -> Cut:
+        """Units that stand end to end."""
+        ends = np.cumsum(lengths, dtype=np.int64)
+        return cls(np.frombuffer(data + bytes(3), dtype=np.uint8), ends - lengths, ends, np.array([0, len(ends)]))
+
+    def hashes(self) -> np.ndarray:
+        """[unit, 2] 128 bits: twice a sum of random numbers of letters times such of places."""
+        n = self.ends - self.starts
+        out = np.zeros((len(n), 2), dtype=np.uint64)
+        if not len(n):
+            return out
+        long = np.flatnonzero(n > MOST_HASHED)
+        begin, size = int(self.starts[0]), int(self.ends[-1])
+        upto = np.append(self.starts[1:], size)
+        place = np.arange(begin, size, dtype=np.int64)
+        place -= np.repeat(self.starts, upto - self.starts)
+        gaps = len(n) > 0 and bool((upto != self.ends).any())
+        if len(long) or gaps:
+            np.minimum(place, MOST_HASHED, out=place)
+        data = self.data[begin:size]
+        for k in range(2):
+            product = _LETTER[k][data] * _PLACE[k][place]
+            if gaps:  # what stands between units counts for nothing
+                product[data == 0x20] = 0
+            out[:, k] = np.add.reduceat(product, self.starts - begin)
+            out[:, k] ^= out[:, k] >> np.uint64(29)
+        for i in long.tolist():
+            digest = xxhash.xxh3_128_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
+            out[i] = digest & (2**64 - 1), digest >> 64
+        return out
+
+    def joint(self, at: np.ndarray) -> np.ndarray:
+        """Whether those units are a space and more without another one, and would start a unit after any other."""
+        spaces = np.append(0, np.cumsum(self.data == 0x20))
+        s, e = self.starts[at], self.ends[at]
+        return (self.data[s] == 0x20) & (spaces[e] - spaces[s] == 1) & (e - s > 1) & _opens(self.data, s)
+
+    def bytes_of(self, at: np.ndarray) -> np.ndarray:
+        """Those units' bytes, end to end."""
+        s = self.starts[at]
+        n = self.ends[at] - s
+        ends = np.cumsum(n)
+        where = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        where += np.repeat(s - (ends - n), n)
+        return self.data[where]
+
+    def strings(self, at: np.ndarray) -> list[str]:
+        return [self.data[s:e].tobytes().decode() for s, e in zip(self.starts[at].tolist(), self.ends[at].tolist())]
 
 
 def gathered(codes: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,33 +155,37 @@ def gathered(codes: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> tuple[
     return data[at], each
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an index of each distinct row of 128-bit hashes, the place of every row among them)."""
+    _, first, which = np.unique(h[:, 0], return_index=True, return_inverse=True)
+    if (h[first, 1][which] != h[:, 1]).any():  # equal in the first half alone
+        _, first, which = np.unique(h, axis=0, return_index=True, return_inverse=True)
+    return first, which.reshape(-1)
+
+
 class Places:
-    """A table from strings, by their 128-bit hash, to numbers: two dozen bytes an entry, looked up many at a time."""
+    """A table from 128-bit hashes to numbers: two dozen bytes an entry, looked up many at a time. It grows as needed."""
 
     def __init__(self, most: int):
-        size = 1 << (2 * most - 1).bit_length()
+        size = 1 << max(4, (2 * most - 1).bit_length())
         self.most, self.mask, self.n = most, np.uint64(size - 1), 0
         self.keys, self.values = np.zeros((size, 2), dtype=np.uint64), np.full(size, -1, dtype=np.int32)
 
-    @staticmethod
-    def hashes(strings: list[str]) -> np.ndarray:
-        digest = xxhash.xxh3_128_digest
-        return np.frombuffer(b"".join([digest(s.encode()) for s in strings]), dtype=np.uint64).reshape(-1, 2)
-
     def find(self, h: np.ndarray) -> np.ndarray:
         """The numbers, -1 where there is none."""
         out = np.full(len(h), -1, dtype=np.int64)
         open_, at = np.arange(len(h)), h[:, 0] & self.mask
         while len(open_):
             v = self.values[at]
-            same = (v >= 0) & (self.keys[at] == h[open_]).all(1)
+            keys = self.keys[at]
+            same = (v >= 0) & (keys[:, 0] == h[open_, 0]) & (keys[:, 1] == h[open_, 1])
             out[open_[same]] = v[same]
             on = (v >= 0) & ~same
             open_, at = open_[on], (at[on] + np.uint64(1)) & self.mask
         return out
 
     def add(self, h: np.ndarray) -> None:
-        """Numbers new strings on, in order."""
+        """Numbers new, distinct hashes on, in order."""
         if 4 * (self.n + len(h)) > 3 * len(self.values):
             known = self.values >= 0
             old = self.keys[known][np.argsort(self.values[known])]
@@ -108,6 +203,17 @@ class Places:
             on[took] = False
             left, at = left[on], (at[on] + np.uint64(1)) & self.mask
 
+    def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of all hashes, the indices of those that are new, one of each, in the order of their numbers)."""
+        got = self.find(h)
+        new = np.flatnonzero(got < 0)
+        if not len(new):
+            return got, new
+        first, which = distinct(h[new])
+        got[new] = self.n + which
+        self.add(h[new[first]])
+        return got, new[first]
+
     def clear(self) -> None:
         self.n = 0
         self.values.fill(-1)
@@ -131,11 +237,28 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What a worker keeps from one task to the next: (owner, key) and the object, one at most.
+_KEPT: dict = {}
+
+
+def kept(owner: str, key, make):
+    """The object that this worker made for the key, made anew if it has none; others are let go."""
+    if (owner, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner, key] = make()
+    return _KEPT[owner, key]
+
+
 def tidy(f):
-    """f, a generator over batches, that gives its memory back when it ends."""
+    """f, a generator over batches, that gives its memory back when it ends. What other operators' tasks kept goes before it starts."""
+    owner = f.__module__.rpartition(".")[2]
 
     @functools.wraps(f)
     def whole(batches, *more):
+        if any(o != owner for o, _ in _KEPT):
+            _KEPT.clear()
+            gc.collect()
+            give_back()
         yield from f(batches, *more)
         gc.collect()
         give_back()
