@@ -3,12 +3,13 @@
 The pieces of a fixed public vocabulary carry, in each language, a probability. A word's probability in a language
 is the sum over all its segmentations into pieces, by a forward pass over its letters; a text's is the product over
 its words. The probabilities are fitted by a few rounds of expectation-maximisation (forward and backward passes
-give each piece's expected count over all segmentations) on the words of a bounded sample of labelled rows.
+give each piece's expected count over all segmentations) on the words of a bounded sample of labelled rows of each language.
 
-Words are maximal runs of letters, in lower case, with a mark for their start; a run of over ``MOST_LETTERS``
-letters is scored in consecutive parts of that length, so nothing is left out. A letter outside the vocabulary
-has a small fixed probability in every language. Each distinct word is scored once a worker, as long as its table
-of ``CACHED_WORDS`` has room.
+Words are maximal runs of letters, in lower case, with a mark for their start, of whatever length: beyond
+``MOST_LETTERS`` the forward pass is scaled as it goes, so that nothing underflows. Only for learning is a longer word cut
+into parts of that length, of which the first alone has the mark. A letter outside the vocabulary has a small fixed probability
+in every language. Each distinct word is scored once a worker, as long as its table of ``CACHED_WORDS`` has room; the table
+outlives a task and goes when another operator's task starts.
 
 Nulls and odd rows: a null text, or one without a letter, is ``und`` with score 0, and so is every text if no row
 could be learned from; a null doc_id is learned from like others, if lang is not null. Ties go to the smallest
@@ -17,6 +18,8 @@ language name. Repeated rows get equal results. Any further columns pass through
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,17 +28,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .store import cut
-from .units import by_bytes, tidy
+from .store import bounded_batches, cut, free
+from .units import Cut, Places, by_bytes, kept, tidy
 
-#: The model is fitted on about so many labelled rows, drawn by a hash of doc_id.
-SAMPLE_ROWS = 6000
+#: The model is fitted on about so many labelled rows of each language, drawn by a hash of doc_id.
+SAMPLE_ROWS = 1500
 ROUNDS = 3
 MOST_LETTERS = 24
-MOST_PIECE = 10
 #: Probability of a letter outside the vocabulary; weight of the distribution over all languages in each one's.
 UNKNOWN, SHARED = 1e-7, 0.02
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+#: Bytes of text looked at at a time.
+SLICE_BYTES = 1_500_000
 UNDETERMINED = "und"
 #: Below this posterior a document is rejected by the pipeline.
 MIN_SCORE = 0.5
@@ -54,37 +58,48 @@ def read_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.vocab_size()))
-    return sorted({p for p in pieces if len(p) <= MOST_PIECE and (p.removeprefix(START).isalpha() or p == START)})
+    return sorted({p for p in pieces if p.removeprefix(START).isalpha() or p == START})
+
+
+def bare(texts: pa.Array) -> pa.Array:
+    """Lower case, with a space for each run of other characters than letters."""
+    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"\PL+", " ")
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Texts -> (offsets by text, codes, distinct words); the word "" stands between runs and counts for nothing."""
-    bare = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"\PL+", " ")
-    lists = pc.split_pattern(bare, " ")
+    lists = pc.split_pattern(bare(texts), " ")
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     coded = lists.flatten().dictionary_encode()
     return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
 class Lattice:
-    """All segmentations of words into pieces, in batches of similar length."""
+    """All segmentations of words into pieces, in batches of similar length. Words have their START mark, if any, before them."""
 
     def __init__(self, pieces: list[str]):
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
+        # for every beginning of a piece its number, or none
+        self.begins = {p[:k]: self.none for p in pieces for k in range(1, len(p))} | self.ids
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths, and the piece from letter i that is k + 1 long as [word, i, k]. Words are at most MOST_LETTERS long."""
-        marked = [START + w for w in words]
-        sizes = np.array([len(w) for w in marked])
-        out = np.full((len(words), int(sizes.max()), MOST_PIECE), self.none, dtype=np.int32)
-        get, none = self.ids.get, self.none
-        for w, row in zip(marked, out):
+        """Lengths, and the piece from letter i that is k + 1 long as [word, i, k]."""
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        out = np.full((len(words), width, min(self.longest, width)), self.none, dtype=np.int32)
+        get, none = self.begins.get, self.none
+        for w, row in zip(words, out):
             n = len(w)
             for i in range(n):
-                row[i, : min(MOST_PIECE, n - i)] = [get(w[i:j], none) for j in range(i + 1, min(i + MOST_PIECE, n) + 1)]
+                for j in range(i + 1, n + 1):
+                    if (found := get(w[i:j])) is None:
+                        break
+                    if found != none:
+                        row[i, j - i - 1] = found
         one = out[:, :, 0]
-        one[(one == none) & (np.arange(out.shape[1]) < sizes[:, None])] = self.unknown
+        one[(one == none) & (np.arange(width) < sizes[:, None])] = self.unknown
         return sizes, out
 
     @staticmethod
@@ -115,19 +130,31 @@ class Lattice:
             at = order[i : i + most]
             yield at, *self.arcs([words[k] for k in at])
 
+    def scaled(self, word: str, p: np.ndarray) -> np.ndarray:
+        """The log probability of a word of any length in each language: forward, with what is summed so far kept near 1."""
+        window, log = [np.ones(p.shape[1])], np.zeros(p.shape[1])  # of the last letters, the latest first
+        for j in range(1, len(word) + 1):
+            total = np.zeros(p.shape[1])
+            for k, a in enumerate(window):
+                found = self.ids.get(word[j - k - 1 : j], self.unknown if k == 0 else self.none)
+                if found != self.none:
+                    total += a * p[found]
+            window = [total, *window[: self.longest - 1]]
+            most = np.maximum(np.max(window, axis=0), 1e-300)
+            window = [a / most for a in window]
+            log += np.log(most)
+        return log + np.log(np.maximum(window[0], 1e-300))
+
     def log_probabilities(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """[word, language]. Words of over MOST_LETTERS letters are the sum of their parts."""
-        cut_ = [[w[i : i + MOST_LETTERS] for i in range(0, len(w), MOST_LETTERS)] for w in words]
-        parts = [x for w in cut_ for x in w]
-        out = np.zeros((len(parts), p.shape[1]))
-        for at, sizes, arcs in self.batches(parts):
-            out[at] = np.log(np.maximum(self.forward(arcs, p)[sizes, np.arange(len(at))], 1e-300))
-        if len(parts) == len(words):
-            return out
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in cut_])
-        total = np.zeros((len(words), p.shape[1]))
-        np.add.at(total, owner, out)
-        return total
+        """[word, language]."""
+        out = np.zeros((len(words), p.shape[1]))
+        short = [i for i, w in enumerate(words) if len(w) <= MOST_LETTERS + 1]
+        for at, sizes, arcs in self.batches([words[i] for i in short]):
+            out[[short[i] for i in at.tolist()]] = np.log(np.maximum(self.forward(arcs, p)[sizes, np.arange(len(at))], 1e-300))
+        for i, w in enumerate(words):
+            if len(w) > MOST_LETTERS + 1:
+                out[i] = self.scaled(w, p)
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected count of every piece over the segmentations of the words, for one language's p[:, 1]."""
@@ -136,7 +163,7 @@ class Lattice:
             a, b = self.forward(arcs, p)[:, :, 0], self.backward(sizes, arcs, p)[:, :, 0]
             whole = np.maximum(b[0], 1e-300)
             for i in range(arcs.shape[1]):
-                for k in range(min(MOST_PIECE, arcs.shape[1] - i)):
+                for k in range(min(arcs.shape[2], arcs.shape[1] - i)):
                     ids = arcs[:, i, k]
                     total += np.bincount(ids, a[i] * p[ids, 0] * b[i + k + 1] / whole * counts[at], minlength=len(total))
         return total[: len(self.ids)]
@@ -147,35 +174,38 @@ def _with_extra(p: np.ndarray) -> np.ndarray:
     return np.vstack([p, np.full((1, p.shape[1]), UNKNOWN), np.zeros((1, p.shape[1]))])
 
 
+def _parts(word: str) -> list[str]:
+    """What is learned from a word."""
+    word = START + word
+    return [word[: MOST_LETTERS + 1], *(word[i : i + MOST_LETTERS] for i in range(MOST_LETTERS + 1, len(word), MOST_LETTERS))]
+
+
 def fit(labelled: DataFrame, vocabulary: str | None = None, sample_rows: int = SAMPLE_ROWS) -> dict:
     """A model from rows of doc_id, text, lang (lang not null): pieces, languages, p[piece, language], prior."""
     pieces = read_pieces(vocabulary or default_vocabulary())
     spark = labelled.sparkSession
-    n = labelled.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    drawn = labelled.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    bounded_batches(spark)
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    shares = spark.createDataFrame([(lang, max(1, math.ceil(min(1.0, sample_rows / n) * (1 << 50)))) for lang, n in rows.items()], "lang string, upto long")
+    drawn = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 50)) < F.col("upto")).select("lang", "text")
 
     @tidy
     def count_words(batches):
         found: dict[str, Counter] = {}
-        rows: Counter = Counter()
         for batch in batches:
             for piece in by_bytes(batch, "text"):
                 offsets, codes, words = words_of(piece.column("text"))
                 for lang, i, j in zip(piece.column("lang").to_pylist(), offsets[:-1], offsets[1:]):
                     at, each = np.unique(codes[i:j], return_counts=True)
                     own = found.setdefault(lang, Counter())
-                    rows[lang] += 1
                     for k, c in zip(at.tolist(), each.tolist()):
-                        w = words[k]
-                        for x in range(0, len(w), MOST_LETTERS):
-                            own[w[x : x + MOST_LETTERS]] += c
+                        if words[k]:
+                            for part in _parts(words[k]):
+                                own[part] += c
         for lang, own in found.items():
-            own[""] = rows[lang]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "word": list(own), "n": list(own.values())}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     words = cut(drawn.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    rows = {r["lang"]: r["n"] for r in words.filter("word = ''").collect()}  # one row a language
     langs = sorted(rows)
     p = np.full((len(pieces), max(len(langs), 1)), 1.0 / len(pieces))
     model = {"pieces": pieces, "langs": langs, "p": p, "prior": np.log(np.array([rows[x] for x in langs]) / max(sum(rows.values()), 1)) if langs else np.zeros(0)}
@@ -197,7 +227,7 @@ def fit(labelled: DataFrame, vocabulary: str | None = None, sample_rows: int = S
             i, k = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(i, pa.int32()), "k": pa.array(k, pa.int32()), "c": total[i, k]})
 
-        got = words.filter("word <> ''").mapInArrow(expect, "piece int, k int, c double").groupBy("piece", "k").agg(F.sum("c").alias("c")).toPandas()  # at most pieces x languages
+        got = words.mapInArrow(expect, "piece int, k int, c double").groupBy("piece", "k").agg(F.sum("c").alias("c")).toPandas()  # at most pieces x languages
         counts = np.zeros(p.shape)
         counts[got["piece"], got["k"]] = got["c"]
         each = (counts + 1e-3) / (counts + 1e-3).sum(0)
@@ -212,52 +242,54 @@ class _Scorer:
 
     def __init__(self, model: dict):
         self.model, self.lattice, self.p = model, Lattice(model["pieces"]), _with_extra(model["p"])
-        self.seen: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model["langs"])))
-
-    def table(self, words: list[str]) -> np.ndarray:
-        seen = self.seen
-        new = [w for w in words if w not in seen]
-        if len(seen) + len(new) > CACHED_WORDS and new:
-            seen.clear()
-            new = words
-        if new:
-            first, need = len(seen), len(seen) + len(new)
+        self.seen = Places(1 << 14)
+        self.rows = np.zeros((1 << 14, len(model["langs"])))
+
+    def table(self, words: Cut) -> np.ndarray:
+        """The number in self.rows of each word."""
+        if self.seen.n > CACHED_WORDS:
+            self.seen.clear()
+        first = self.seen.n
+        got, new = self.seen.numbers(words.hashes())
+        if len(new):
+            need = first + len(new)
             if need > len(self.rows):
-                self.rows = np.vstack([self.rows[:first], np.zeros((max(need, 2 * len(self.rows)) - first, self.rows.shape[1]))])
-            self.rows[first:need] = self.lattice.log_probabilities(new, self.p)
-            seen.update(zip(new, range(first, need)))
-        return self.rows[[seen[w] for w in words]]
+                self.rows = np.vstack([self.rows[:first], np.zeros((max(need, len(self.rows) * 3 // 2) - first, self.rows.shape[1]))])
+            self.rows[first:need] = self.lattice.log_probabilities([START + w for w in words.strings(new)], self.p)
+        return got
 
     def scored(self, texts: pa.Array) -> pa.StructArray:
         langs = self.model["langs"]
-        offsets, codes, words = words_of(texts)
         n = len(texts)
         if not langs:
             return pa.StructArray.from_arrays([pa.array([UNDETERMINED] * n, pa.string()), pa.array(np.zeros(n))], ["lang_pred", "score"])
-        blank = np.array([w == "" for w in words])
-        table = np.zeros((len(words), len(langs)))
-        table[~blank] = self.table([w for w in words if w])
-        owner = np.repeat(np.arange(n), np.diff(offsets))
-        total = np.stack([np.bincount(owner, table[codes, k], minlength=n) for k in range(len(langs))], axis=1) + self.model["prior"]
-        some = np.bincount(owner, ~blank[codes], minlength=n) > 0
+        words = Cut.runs(bare(texts))
+        table = self.table(words)
+        each = np.diff(words.offsets)
+        owner = np.repeat(np.arange(n), each)
+        total = np.stack([np.bincount(owner, self.rows[table, k], minlength=n) for k in range(len(langs))], axis=1) + self.model["prior"]
         best = total.argmax(1)
         with np.errstate(under="ignore"):
             score = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(1)
-        names = [langs[b] if s else UNDETERMINED for b, s in zip(best, some)]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))], ["lang_pred", "score"])
+        names = [langs[b] if s else UNDETERMINED for b, s in zip(best, each)]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(each > 0, score, 0.0))], ["lang_pred", "score"])
 
 
 def with_language(docs: DataFrame, model: dict, at: str = "_language") -> DataFrame:
-    """docs with a struct ``at`` of lang_pred and score. The model is at most vocabulary x languages numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """docs with, as the last column, a struct ``at`` (or a longer name where docs has one of that name) of lang_pred and score.
+
+    The model is at most vocabulary x languages numbers.
+    """
+    bounded_batches(docs.sparkSession)
+    at = free(docs, at)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     @tidy
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = _Scorer(shared.value)
+        scorer = kept("langid", name, lambda: _Scorer(shared.value))
         for texts in batches:
-            parts = [scorer.scored(x.column(0)) for x in by_bytes(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+            parts = [scorer.scored(x.column(0)) for x in by_bytes(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES)]
             yield pa.concat_arrays(parts) if parts else scorer.scored(texts)
 
     return docs.withColumn(at, predict(F.col("text")))

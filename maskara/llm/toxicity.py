@@ -1,7 +1,7 @@
 """Toxicity scores from a lexicon trie run through Levenshtein automata.
 
 Lexicon: terms that mark toxic documents among labelled ones. Every word (letters, lower case) and every prefix of
-four letters or more is counted by document and label over a bounded sample of labelled rows; those far commoner in
+four to forty letters is counted by document and label over a bounded sample of labelled rows; those far commoner in
 toxic documents become whole-word terms or stems, the best ``MOST_TERMS`` of them.
 
 Matching: the terms form a trie, and its product with the Levenshtein automaton for one edit is made deterministic as
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .langid import fold, words_of
+from .store import bounded_batches, cut, drawn, free
 from .units import by_bytes, tidy
 
 #: Labelled rows that the lexicon and the model are fitted on, about.
@@ -37,7 +38,8 @@ MOST_TERMS = 400
 #: Least documents of a term, as a share of the toxic ones and as a number; least log odds ratio.
 LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 0.01, 4, 2.5
 STEM_LETTERS, FUZZY_LETTERS = 4, 5
-MOST_WORD = 40
+#: Letters of the longest stem; whole words have no such limit.
+STEM_MOST = 40
 THRESHOLD = 0.7
 #: Characters looked at on each side of a hit.
 WINDOW = 80
@@ -107,15 +109,13 @@ class Lexicon:
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best term, fewest edits first; None if there is none."""
         state, steps, stem = self.start, self.steps, None
-        for i, c in enumerate(word):
+        for c in word:
             nxt = steps[state].get(c)
             state = self._step(state, c) if nxt is None else nxt
             if state == self.dead:
                 return stem
             if self.stems[state]:
                 stem = (self.stems[state][0], 0)
-            if i > MOST_WORD and stem is None and not self.accepts[state]:
-                return None
         if self.accepts[state]:
             t, e = min(self.accepts[state], key=lambda x: (x[1], x[0]))
             if e == 0 or stem is None:
@@ -172,6 +172,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
                 said += 1
             elif found[1]:
                 fuzzy += 1
+                terms.add(found[0])
             else:
                 exact += 1
                 terms.add(found[0])
@@ -196,7 +197,9 @@ def _terms(counts: list, toxic: int, clean: int) -> list[tuple[str, bool, float]
         out.append((bare, term.endswith("$"), odds))
         if len(out) >= MOST_TERMS:
             break
-    return out
+    # a stem hides its own word, which still takes misspellings
+    words = {term.removesuffix("$"): odds for _, _, term, odds in scored if term.endswith("$")}
+    return out + [(bare, True, words[bare]) for bare, whole, _ in out if not whole and len(bare) >= FUZZY_LETTERS and bare in words]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -223,7 +226,7 @@ def fit(labelled: DataFrame) -> dict:
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 offsets, codes, words = words_of(part.column("text"))
-                forms = [[] if not w or len(w) > MOST_WORD else [*(w[:i] for i in range(STEM_LETTERS, len(w) + 1)), *([w + "$"] if len(w) >= 3 else [])] for w in words]
+                forms = [[*(w[:i] for i in range(STEM_LETTERS, min(len(w), STEM_MOST) + 1)), *([w + "$"] if len(w) >= 3 else [])] for w in words]
                 for y, i, j in zip(part.column("toxic").to_pylist(), offsets[:-1], offsets[1:]):
                     rows[y] += 1
                     both[y].update({f for k in set(codes[i:j].tolist()) for f in forms[k]})
@@ -233,8 +236,7 @@ def fit(labelled: DataFrame) -> dict:
             yield pa.RecordBatch.from_pydict({"term": pa.array(own, pa.string()), "toxic": pa.array([both[1][t] for t in own], pa.int64()), "clean": pa.array([both[0][t] for t in own], pa.int64())})
         yield pa.RecordBatch.from_pydict({"term": pa.array([""]), "toxic": pa.array([rows[1]]), "clean": pa.array([rows[0]])})
 
-    from .store import cut
-
+    bounded_batches(labelled.sparkSession)
     labelled = cut(labelled)
     counted = cut(labelled.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter((F.col("toxic") >= LEAST_DOCS) | (F.col("term") == "")))
     total = counted.filter("term = ''").first()
@@ -259,7 +261,9 @@ def fit(labelled: DataFrame) -> dict:
 
 
 def with_score(docs: DataFrame, model: dict, at: str = "_toxicity") -> DataFrame:
-    """docs with the score, a double, as column ``at``."""
+    """docs with the score, a double, as the last column ``at``, or a longer name where docs has one of that name."""
+    bounded_batches(docs.sparkSession)
+    at = free(docs, at)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -278,9 +282,8 @@ def with_score(docs: DataFrame, model: dict, at: str = "_toxicity") -> DataFrame
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """text, toxic of about sample_rows labelled documents outside the held-out fold, drawn by a hash of doc_id."""
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 3) != 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    share = min(1.0, sample_rows / max(labels.count(), 1))
-    drawn = labels.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id", "toxic"])
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    chosen = drawn(labels, sample_rows, labels.count(), "toxicity", "doc_id").dropDuplicates(["doc_id", "toxic"])
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
