@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .graph import components
-from .store import cut, small
+from .store import bounded_batches, cut, drawn, free, one_row_each, small
 from .units import by_bytes, tidy
 
 WORDS = 5
@@ -90,8 +90,7 @@ def with_shingles(docs: DataFrame, common: np.ndarray, words: int, least: float,
 
 def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted: shingles that a sample of the documents has often."""
-    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
-    drawn = docs.filter(F.pmod(F.xxhash64(F.lit("shingles"), "doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("text")
+    some = drawn(docs, SAMPLE_ROWS, docs.count(), "shingles", "doc_id").select("text")
 
     @tidy
     def every(batches):
@@ -102,17 +101,18 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h), "n": pa.array(n.astype(np.int64))})
 
-    counted = drawn.mapInArrow(every, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    counted = some.mapInArrow(every, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toPandas()  # MOST_COMMON at most
     return np.sort(rows["h"].to_numpy(dtype=np.int64))
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, fps: DataFrame, **how) -> DataFrame:
-    """sig, n, shingles of the sets in pairs (a, b), made again from one document of each (a set can come more than once)."""
+    """sig, n, shingles of the sets in pairs (a, b), made again from the documents of their smallest doc_ids."""
     sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = small(cut(fps.join(sigs, "sig", "left_semi").select("least", F.col("sig").alias("own"))), BROADCAST_ROWS)
-    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "own")
-    return with_shingles(rows, at="made", **how).filter("made.sig = own").select("made.sig", "made.n", "made.shingles")
+    wanted = cut(fps.join(sigs, "sig", "left_semi").select("least", "sig"))
+    rows = docs.join(small(wanted.select("least").distinct(), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    made = with_shingles(rows, at="made", **how).select("made.sig", "made.n", "made.shingles")
+    return made.join(small(wanted.select("sig"), BROADCAST_ROWS), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -122,8 +122,8 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.filter(F.col("both") >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("both")) - 1e-9).select("a", "b").distinct()
 
 
-def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(sig, least, n: the smallest doc_id and the size of each set), (node, root: the components of all sets that are similar enough)."""
+def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, sig of every row), (sig, least, n: the smallest doc_id and the size of each set), (node, root: the components of all sets that are similar enough)."""
     docs = docs.select("doc_id", "text")
     how = {"common": common_shingles(docs, words), "words": words, "least": least}
     # only the prefixes are kept: whole sets are larger than the texts
@@ -145,15 +145,21 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[D
     rest = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root")) & fits).select("a", "b").distinct()
     rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     more = cut(similar(rest, sets_of(docs, rest, fps, **how), least))
-    return fps, components(found.unionByName(more))
+    return marked.select("doc_id", "sig"), fps, components(found.unionByName(more))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The documents that have their component's smallest doc_id, columns as given.
+    """One row of each component, columns as given: that with the smallest doc_id, a null one being the largest.
 
-    Of rows that repeat that doc_id, all stay. Rows with a null doc_id stay only where their component has no other.
+    Of rows that share that doc_id in a component, the one with the least signature stays, and of equal ones any, the same in every run.
     """
-    fps, found = groups(docs, words, least)
+    bounded_batches(docs.sparkSession)
+    marked, fps, found = groups(docs, words, least)
     by_sig = fps.join(cut(found).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    kept = by_sig.groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
-    return docs.alias("d").join(small(cut(kept), BROADCAST_ROWS).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    kept = by_sig.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "sig")).alias("k")).select(F.col("k.least").alias("doc_id"), F.col("k.sig").alias("mark"))
+
+    def mark(df, at):
+        made = free(df, "_made")
+        return with_shingles(df, np.zeros(0, dtype=np.int64), words, least, made, whole=False).withColumn(at, F.col(f"{made}.sig")).drop(made)
+
+    return one_row_each(docs, marked.select("doc_id", F.col("sig").alias("mark")), cut(kept), mark, BROADCAST_ROWS)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from .graph import components, stars
-from .store import cut, small
+from .store import bounded_batches, cut, one_row_each, small
 from .units import tidy
 
 RADIUS = 2
@@ -169,29 +169,39 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     # a query visits the trees of its shard up to its own: of two trees, the later one's rows search the earlier
     visits = keyed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("own"))))
     rows = visits.select(F.xxhash64("block", "bits", "tree").alias("shard"), (F.col("tree") != F.col("own")).cast("int").alias("role"), "fp")
-    return rows.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
+    # with a count, so that partitions of few bytes and much work are not put together
+    return rows.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "role").mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: a row per row of docs, without the text."""
+    bounded_batches(docs.sparkSession)
     marked = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
+    return marked.join(small(cut(by_fingerprint(marked, radius)), BROADCAST_ROWS), "fp")
+
+
+def by_fingerprint(marked: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp -> fp, component_id."""
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = cut(components(links(fps, radius)))
     linked = fps.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(linked.join(least, "root").select("fp", "component_id"))
-    by_fp = fps.join(by_fp, "fp", "left").select("fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(small(cut(by_fp), BROADCAST_ROWS), "fp")
+    return fps.join(by_fp, "fp", "left").select("fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that have their component's smallest doc_id, columns as given.
+    """One row of each component, columns as given: that with the smallest doc_id, a null one being the largest.
 
-    Of rows that repeat that doc_id, all stay unless they are equal in text. Rows with a null doc_id stay only where
-    their component has no other.
+    Of rows that share that doc_id in a component, the one with the least fingerprint stays, and of equal ones any, the same in every run.
     """
-    kept = near_duplicates(docs, radius).filter("component_id <=> doc_id").select("doc_id").distinct()
-    return docs.alias("d").join(small(cut(kept), BROADCAST_ROWS).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    bounded_batches(docs.sparkSession)
+    marked = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("mark")))
+    fps = cut(marked.select(F.col("mark").alias("fp")).distinct())
+    found = cut(components(links(fps, radius))).withColumnRenamed("node", "mark")
+    rooted = marked.join(small(found, BROADCAST_ROWS), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("k")).select("k.doc_id", "k.mark")
+    return one_row_each(docs, marked, cut(kept), lambda df, at: df.withColumn(at, fingerprints(F.col("text"))), BROADCAST_ROWS)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
