@@ -7,15 +7,17 @@ is calibrated: partners at exactly the threshold, in random directions, are made
 of cells is the least that reaches ``RECALL`` of them. A link is found if either vector visits the other's cell, and
 every candidate is verified by its cosine in double precision on the given vectors.
 
-Only vectors of equal label meet. A cell's vectors are cut into blocks of about ``BLOCK``, and so are its visitors; each
-pair of blocks is a group of its own, so that a label or cell with a third of all rows is many bounded tasks. A
-group returns how many links each vector has there and a spanning star of the links, not the pairs. A link that is
-found in both cells is counted once: by the visit to the cell of the vector with the smaller vec_id if that visit
-is made, else by the other one.
-
-Nulls and odd rows: vectors that are null, empty or zero or hold null or non-finite components, those of another
-length than the commonest and those without a label link with nothing and have a row of their own. Rows that repeat a vec_id are
-one node, and not linked to each other. A null vec_id takes no part and gets a null component. An empty table gives an empty result.
+Only vectors of equal label and length meet; each length has codebooks of its own, whose size follows the number of its
+vectors. A cell's vectors are cut into blocks of about ``BLOCK``, and so are its visitors; each pair of blocks is a
+group of its own, so that a label or cell with a third of all rows is many bounded tasks. A group returns how many links
+each vector has there and a spanning star of the links, not the pairs. A link that is found in both cells is counted
+once: by the visit to the cell of the vector with the smaller vec_id if that visit is made, else by the other one. Vectors
+travel in the precision in which they are given.
+
+Nulls and odd rows: vectors that are null, empty or zero or hold null or non-finite components and those without a label
+link with nothing and have a row of their own. Equal rows are one. A vec_id that has several vectors is one node, not linked to
+itself, and links with whatever one of them links with; other vec_ids count it once. A null vec_id takes no part and gets a null
+component. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components, stars
-from .store import cut
-from .vectors import common_width, matrix, usable
+from .store import cut, drawn
+from .vectors import matrix, usable
 
 THRESHOLD = 0.93
 #: Target recall of the traversal; vectors that codebooks and traversal are fitted on, at most, about.
 RECALL, SAMPLE = 0.995, 8192
-#: Vectors in a cell, about, and most centroids of a codebook.
-CELL, MOST_CENTROIDS = 64, 256
+#: Vectors in a cell, about; those in the sample for a centroid, at least; most vectors of a length that meet without an index.
+CELL, SAMPLED, FEW = 64, 16, 2048
 #: Vectors of a block.
 BLOCK = 2048
 
@@ -108,17 +110,24 @@ class MultiIndex:
 
 
 def fit(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sample: int = SAMPLE) -> MultiIndex | None:
+    """The index of vectors of one length. Its centroids grow with the root of the table, and the sample with them."""
     n = vectors.count()
     if not n:
         return None
-    share = min(1.0, sample / n)
-    drawn = vectors.filter(F.pmod(F.xxhash64(F.lit("multi-index"), "vec_id"), F.lit(1_000_000)) <= int(share * 1_000_000)).select("vec_id", "v").limit(4 * sample).toPandas().sort_values("vec_id")  # about SAMPLE rows
-    x = np.array(drawn["v"].tolist() or vectors.select("v").first()[0], dtype=np.float64).reshape(max(len(drawn), 1), -1)
-    return MultiIndex(x, max(1, min(MOST_CENTROIDS, round((n / CELL) ** 0.5))), threshold, recall)
+    k = max(1, round((n / CELL) ** 0.5))
+    wanted = max(sample, SAMPLED * k)
+    some = drawn(vectors, wanted, n, "multi-index", "vec_id").select("vec_id", "v").toPandas().sort_values("vec_id")  # about so many rows
+    x = np.array(some["v"].tolist() or vectors.select("v").first()[0], dtype=np.float64).reshape(max(len(some), 1), -1)
+    return MultiIndex(x, k, threshold, recall)
 
 
-def visits(vectors: DataFrame, index: MultiIndex) -> DataFrame:
-    """vec_id, label, v -> label, cell, role (0: stored there, 1: visits), vec_id, v, home (the vector's own cell), cells (all it visits)."""
+PLACED = "label string, cell long, role int, vec_id long, v array<{}>, home long, again boolean"
+
+
+def visits(vectors: DataFrame, index: MultiIndex | None) -> DataFrame:
+    """vec_id, label, v, again -> label, cell, role (0: stored there, 1: visits), vec_id, v, home (the vector's own cell), again, for all it visits."""
+    if index is None:  # few vectors: one cell
+        return vectors.select("label", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("role"), "vec_id", "v", F.lit(0).cast("long").alias("home"), "again")
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def place(batches):
@@ -132,66 +141,73 @@ def visits(vectors: DataFrame, index: MultiIndex) -> DataFrame:
                 for role, cells in ((0, home[:, None]), (1, near)):
                     rows, at = np.nonzero(cells != home[:, None]) if role else (np.arange(len(home)), np.zeros(len(home), dtype=int))
                     taken = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(cells[rows, at].astype(np.int64)), pa.array(np.full(len(rows), role, dtype=np.int32)), taken.column("vec_id"), taken.column("v"), pa.array(home[rows].astype(np.int64))], names=["label", "cell", "role", "vec_id", "v", "home"])
+                    yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(cells[rows, at].astype(np.int64)), pa.array(np.full(len(rows), role, dtype=np.int32)), taken.column("vec_id"), taken.column("v"), pa.array(home[rows].astype(np.int64)), taken.column("again")], names=["label", "cell", "role", "vec_id", "v", "home", "again"])
+
+    kind = vectors.schema["v"].dataType.elementType.simpleString()
+    return vectors.select("vec_id", "label", "v", "again").mapInArrow(place, PLACED.format(kind))
 
-    return vectors.select("vec_id", "label", "v").mapInArrow(place, "label string, cell long, role int, vec_id long, v array<double>, home long")
 
+GROUP = ("label", "cell", "block", "turn")
 
-def _compare(batches, index: MultiIndex, threshold: float):
-    """Rows sorted by group, the cell's own block first -> n (links of a vector here) and star (a, b) rows."""
+
+def _compare(batches, index: MultiIndex | None, threshold: float):
+    """Rows sorted by group, the cell's own block first -> n (links of a vector here) and star (a, b) rows; links of vec_ids that have
+    several vectors are rows of their own, with the other vec_id, so that they can be told apart."""
 
     def group(stored, visiting):
-        ids = np.concatenate([x[0] for x in stored])
-        v = np.concatenate([x[1] for x in stored])
+        ids, v, again = (np.concatenate([x[k] for x in stored]) for k in range(3))
         norm = np.linalg.norm(v, axis=1)
         unit = _unit(v)
         out = []
-        for qids, qv, qhome, own in visiting:
+        for qids, qv, qagain, qhome, own in visiting:
             cos = (qv @ v.T) / (np.linalg.norm(qv, axis=1)[:, None] * norm[None, :])
             i, j = np.nonzero(cos >= threshold)
             if own:  # both stored in this cell: each pair from one side
                 keep = qids[i] < ids[j]
             else:
                 # the stored vector's visit to the visitor's cell finds the pair too: it counts if its vec_id is the larger
-                keep = np.ones(len(i), dtype=bool)
+                keep = qids[i] != ids[j]
                 if len(i):
                     js, inverse = np.unique(j, return_inverse=True)
                     walks = index.traversal(unit[js])
                     back = (walks[inverse] == qhome[i][:, None]).any(1)
-                    keep = ~back | (ids[j] < qids[i])
-            out.append((qids[i[keep]], ids[j[keep]]))
-        a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    keep &= ~back | (ids[j] < qids[i])
+            out.append((qids[i[keep]], ids[j[keep]], qagain[i[keep]] | again[j[keep]]))
+        a, b, several = (np.concatenate(x) for x in zip(*out))
         if not len(a):
             return None
         every, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        n = np.bincount(place)
+        n = np.bincount(np.concatenate([place[: len(a)][~several], place[len(a) :][~several]]), minlength=len(every))
         root = stars(len(every), place[: len(a)], place[len(a) :])
-        return pa.RecordBatch.from_arrays([pa.array(every), pa.array(n.astype(np.int64)), pa.array(every[root])], names=["vec_id", "n", "root"])
+        pairs = np.unique(np.stack([a[several], b[several]]), axis=1)
+        ends = np.concatenate([pairs, pairs[::-1]], axis=1)
+        none = pa.nulls(ends.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), y]) for x, y in ((every, pa.array(ends[0])), (n.astype(np.int64), none), (every[root], pa.array(ends[0])))] + [pa.concat_arrays([pa.nulls(len(every), pa.int64()), pa.array(ends[1])])], names=["vec_id", "n", "root", "other"])
 
     key, stored, visiting = None, [], []
     for batch in batches:
-        groups, roles = batch.column("group").to_numpy(), batch.column("role").to_numpy()
-        edges = np.flatnonzero((np.diff(groups) != 0) | (np.diff(roles) != 0)) + 1
-        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(groups)]):
+        columns = [batch.column(c).dictionary_encode().indices.to_numpy() if c == "label" else batch.column(c).to_numpy() for c in (*GROUP, "role")]
+        edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             if i == j:
                 continue
-            if groups[i] != key:
+            part = batch.slice(i, j - i)
+            this = tuple(part.column(c)[0].as_py() for c in GROUP)
+            if this != key:
                 if stored and visiting and (found := group(stored, visiting)) is not None:
                     yield found
-                key, stored, visiting = groups[i], [], []
-            part = batch.slice(i, j - i)
-            ids, v = part.column("vec_id").to_numpy(), matrix(part.column("v"))
-            if roles[i] == 0:
-                stored.append((ids, v))
+                key, stored, visiting = this, [], []
+            ids, v, again = part.column("vec_id").to_numpy(), matrix(part.column("v")), part.column("again").to_numpy(zero_copy_only=False)
+            if part.column("role")[0].as_py() == 0:
+                stored.append((ids, v, again))
             else:
-                own = bool(part.column("own")[0].as_py())
-                visiting.append((ids, v, part.column("home").to_numpy(), own))
+                visiting.append((ids, v, again, part.column("home").to_numpy(), bool(part.column("own")[0].as_py())))
     if stored and visiting and (found := group(stored, visiting)) is not None:
         yield found
 
 
-def links(vectors: DataFrame, index: MultiIndex, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n, root: rows whose n add up to a vector's links, and a star that connects what is linked."""
+def links(vectors: DataFrame, index: MultiIndex | None, threshold: float = THRESHOLD) -> DataFrame:
+    """vec_id, n, root, other of vectors of one length: rows whose n add up to a vector's links, or that name one, and a star that connects what is linked."""
     placed = cut(visits(vectors, index))
     sizes = placed.groupBy("label", "cell").agg(F.count_if(F.col("role") == 0).alias("stored"), F.count("*").alias("all")).filter("stored > 0 AND all > 1")
     sized = placed.join(sizes.withColumn("blocks", F.ceil(F.col("stored") / BLOCK).cast("int")).withColumn("turns", F.ceil(F.col("all") / BLOCK).cast("int")).drop("stored", "all"), ["label", "cell"])
@@ -199,22 +215,31 @@ def links(vectors: DataFrame, index: MultiIndex, threshold: float = THRESHOLD) -
     # a stored vector is in one block, met by every turn; a visitor, and each stored vector as one, is in one turn, and meets every block
     stored = sized.filter("role = 0").withColumn("block", pick("blocks")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("own", F.lit(False))
     meeting = sized.withColumn("own", F.col("role") == 0).withColumn("turn", pick("turns")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.when(F.col("own"), 1).otherwise(2))
-    rows = stored.unionByName(meeting).select(F.xxhash64("label", "cell", "block", "turn").alias("group"), "role", "own", "vec_id", "v", "home")
+    rows = stored.unionByName(meeting).select(*GROUP, "role", "own", "vec_id", "v", "home", "again")
     shared = vectors.sparkSession.sparkContext.broadcast(index)
-    return rows.repartition("group").sortWithinPartitions("group", "role").mapInArrow(lambda batches: _compare(batches, shared.value, threshold), "vec_id long, n long, root long")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "role").mapInArrow(lambda batches: _compare(batches, shared.value, threshold), "vec_id long, n long, root long, other long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, index: MultiIndex | None = None) -> DataFrame:
-    """vec_id, embedding, label -> vec_id, n_links, component_id, kept."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    vectors, _ = common_width(rows.filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
-    index = index or fit(vectors, threshold)
-    ids = rows.select("vec_id")
-    if index is None:
+    """vec_id, embedding, label -> vec_id, n_links, component_id, kept. An index that is given is of vectors of one length."""
+    given = embeddings.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if given in ("float", "double") else F.col("embedding").cast("array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
+    vectors = rows.filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    vectors = cut(vectors.withColumn("n", F.size("v")).distinct())
+    several = vectors.groupBy("vec_id").agg(F.count("*").alias("c")).filter("c > 1").select("vec_id", F.lit(True).alias("again"))
+    vectors = vectors.join(several, "vec_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    ids, found = rows.select("vec_id"), None
+    for r in vectors.groupBy("n").count().orderBy("n").collect():  # a row a length
+        own = vectors.filter(F.col("n") == r["n"]).drop("n")
+        more = links(own, index or (fit(own, threshold) if r["count"] > FEW else None), threshold)
+        found = more if found is None else found.unionByName(more)
+    if found is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = cut(links(vectors, index, threshold))
-    n = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
+    found = cut(found)
+    told = found.filter("other IS NOT NULL").select("vec_id", "other").distinct().groupBy("vec_id").agg(F.count("*").alias("n"))
+    n = found.filter("n IS NOT NULL").select("vec_id", "n").unionByName(told).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).unionByName(found.filter("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))))
     known = cut(n.join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left"))
     out = ids.join(known, "vec_id", "left").withColumn("component_id", F.coalesce("root", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
