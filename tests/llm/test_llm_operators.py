@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from maskara.llm import bpe, embed_dedup, graph, hilbert_ann, langid, license_scan, line_dedup, mixing, simhash, token_store, toxicity, units
+from maskara.llm import bpe, embed_dedup, graph, hilbert_ann, langid, license_scan, line_dedup, mixing, shingles, simhash, token_store, toxicity, units
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -28,11 +28,26 @@ def test_units():
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
-    offsets, codes, found = units.cut_units(pa.array(ODD))
-    for i, x in enumerate(ODD):
-        parts = [found[c] for c in codes[offsets[i] : offsets[i + 1]]]
-        assert "".join(parts) == (x or "")
-        assert [k for p in parts for k in t.encode(p, add_special_tokens=False).ids] == t.encode(x or "", add_special_tokens=False).ids
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    odd = ODD + [f"a{x} b {x}c{x}{x} d\n {x}" for x in white] + [f" {x}lead" for x in white]
+    cut = units.Cut.of(pa.array([None, *odd]).slice(1))
+    texts = cut.strings(np.arange(len(cut)))
+    encoder = bpe.UnitEncoder(open(bpe.default_tokenizer(), encoding="utf-8").read())
+    lengths, ids = encoder(cut, np.arange(len(cut)))
+    ids = np.split(ids, np.cumsum(lengths)[:-1])
+    for i, x in enumerate(odd):
+        parts = slice(cut.offsets[i], cut.offsets[i + 1])
+        assert "".join(texts[parts]) == (x or "")
+        assert [int(k) for p in ids[parts] for k in p] == t.encode(x or "", add_special_tokens=False).ids, x
+    # hashes tell the same units apart as their texts do, also end to end, and so does the table
+    h = cut.hashes()
+    assert len({tuple(x) for x in h.tolist()}) == len(set(texts))
+    again = units.Cut.end_to_end(cut.bytes_of(np.arange(len(cut))).tobytes(), cut.ends - cut.starts)
+    assert (again.hashes() == h).all() and again.strings(np.arange(len(cut))) == texts
+    table = units.Places(2)
+    numbers, new = table.numbers(h)
+    assert len(new) == table.n == len(set(texts)) and (table.numbers(h)[0] == numbers).all()
+    assert len({(n, x) for n, x in zip(numbers.tolist(), texts)}) == table.n
 
 
 def test_bpe(spark, odd):
@@ -121,6 +136,11 @@ def test_simhash(spark, odd, monkeypatch):
     assert {(0, 0), (1, 0), (2, 0), (3, 0)} <= out and (None, None) in out
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id IN (1, 2, 3)").count() == 0
+    # one row of each group, whatever shares its doc_id
+    t, u = "one text of some words for all", "quite another text, long enough to differ in many bits of it"
+    rows = spark.createDataFrame([(9, t), (9, t), (3, u), (5, u), (5, t), (None, u), (None, "alone"), (None, "alone"), (4, "repeated"), (4, "repeated")], "doc_id long, text string")
+    for keep in (simhash.keep_one, shingles.keep_one):
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in keep(rows).collect()) == [(0, "alone"), (3, u), (4, "repeated"), (5, t)], keep
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -129,8 +149,15 @@ def test_line_dedup(spark, odd):
     docs = spark.createDataFrame(rows, DOCS).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
     for limit in (100, 0):
         got = {r["doc_id"]: (r["text"], r["_removed"]) for r in line_dedup.drop_boilerplate(docs.filter("n_chars = 0 AND (lang = 'en') AND source <> 's'"), broadcast_rows=limit).collect()}
-        assert got[0] == (rows[0][1], 0) and got[3] == ("own 3\r\nshort\n", 1) and got[9][1] == 0
+        assert got[0] == (rows[0][1], 0) and got[3] == ("own 3\r\n", 2) and got[9][1] == 0
+    # large ids beside none: the line stays in the first document, whatever its id
+    big = [(2**53 + 1 + i, f"a line of many sites\nown {i}", "en", f"s{i}", 0) for i in range(5)] + [(None, "another line\nin none", "en", "s0", 0)] + [(7 + i, f"another line\n{i}", "en", f"s{i}", 0) for i in range(5)]
+    for limit in (100, 0):
+        got = line_dedup.drop_boilerplate(spark.createDataFrame(big, DOCS), broadcast_rows=limit).collect()
+        assert sorted(r["text"] for r in got) == sorted(["a line of many sites\nown 0", *(f"own {i}" for i in range(1, 5)), "another line\nin none", *map(str, range(5))])
+    odd = odd.withColumn("_removed", F.lit("given"))
     out = line_dedup.drop_boilerplate(odd)
+    assert out.select("_removed").distinct().count() == 1 and out.columns[-1] == "_removed_"
     assert set(odd.columns) <= set(out.columns) and out.count() == odd.count() and line_dedup.drop_boilerplate(odd.limit(0)).count() == 0
 
 
@@ -151,10 +178,22 @@ def test_mixing(spark, odd):
             free.remove(s)
     got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in got)
+    # the same with so few ratios held at a time that ranges are cut again
+    many = [(f"s{i:03}", 1, (i * 7919) % 997 + 1) for i in range(300)]
+    weighed = [(2 * n / [5, 2, 1][i % 3], 2 * n, [5, 2, 1][i % 3]) for i, (_, _, n) in enumerate(many)]
+    left, weights = 1.5 * sum(n for *_, n in many), sum(w for *_, w in weighed)
+    for ratio, cap, w in sorted(weighed):
+        if w * left / weights >= cap:
+            left, weights = left - cap, weights - w
+    table = spark.createDataFrame(weighed, "ratio double, cap long, weight int")
+    assert mixing.level(table, 1.5 * sum(n for *_, n in many), 4, 5) == mixing.level(table, 1.5 * sum(n for *_, n in many)) == (left, weights)
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "en", "xyz"[i % 3], 0) for i in range(3000)], DOCS)
     made = mixing.plan(mixing.measured(docs))
     rows = mixing.with_copies(mixing.measured(docs), made).groupBy("source").agg(F.sum(F.col("size") * F.col("_copies")).alias("taken"), F.max("_copies").alias("most"), F.first("_target").alias("target")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 7 and r["most"] <= 2 for r in rows)
+    # probabilities are unequal: of a source that is sampled, longer documents come more often
+    each = mixing.with_copies(mixing.measured(docs), made).join(made.select("source", "copies", "p"), "source").filter("p BETWEEN 0.2 AND 0.8").groupBy((F.col("size") > 4).alias("long")).agg(F.avg(F.col("_copies") - F.col("copies")).alias("p")).collect()
+    assert {r["long"] for r in each} == {True, False} and dict((r["long"], r["p"]) for r in each)[True] > dict((r["long"], r["p"]) for r in each)[False] + 0.05
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns and mixed.filter("text IS NULL OR trim(text) = ''").count() == 0 and mixing.mix(odd.limit(0)).count() == 0
     assert [r[0] for r in odd.select(mixing.n_words(F.col("text"))).collect()] == [len(WORD.findall(r["text"] or "")) for r in odd.select("text").collect()]
@@ -180,10 +219,14 @@ def test_lattice():
         """The sum over all segmentations, by recursion."""
         return 1.0 if not w else sum(p[pieces.index(w[:k])][0] * every(w[k:]) for k in range(1, len(w) + 1) if w[:k] in pieces)
 
-    words = ["a", "ab", "abab", "baab", "ababababab"]
-    got = lattice.log_probabilities(words, langid._with_extra(p))[:, 0]
+    words = ["a", "ab", "abab", "baab", "ababababab", "ab" * 9, "abba" * 6 + "a"]
+    got = lattice.log_probabilities(["▁" + w for w in words], langid._with_extra(p))[:, 0]
     assert np.allclose(np.exp(got), [every("▁" + w) for w in words])
-    counts = lattice.expected(["ab"], np.array([1.0]), langid._with_extra(p))
+    # a word of any length, in one go: the same as scaled, and no underflow
+    assert np.allclose([lattice.scaled("▁" + w, langid._with_extra(p))[0] for w in words], got)
+    long = [lattice.log_probabilities(["▁" + "ab" * n], langid._with_extra(p))[0, 0] for n in (100, 2000, 3900)]
+    assert np.allclose((long[2] - long[1]) / 1900, (long[1] - long[0]) / 1900) and long[2] < -800
+    counts = lattice.expected(["▁ab"], np.array([1.0]), langid._with_extra(p))
     assert np.isclose(counts @ np.array([len(x) for x in pieces]), 3)  # letters covered, the mark included
 
 
@@ -225,7 +268,9 @@ def test_toxicity(spark, odd):
     assert toxicity.fit(toxicity.training_rows(docs, labels.limit(0)))["terms"] == []
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("few", [2048, 0])
+def test_vectors(spark, monkeypatch, few):
+    monkeypatch.setattr(embed_dedup, "FEW", few)  # with and without an index
     rng = np.random.default_rng(0)
     base = rng.normal(size=(20, 16))
     v = np.vstack([base, base[:8] + 0.05 * rng.normal(size=(8, 16)), base[:1]]).astype(np.float32)
@@ -238,6 +283,10 @@ def test_vectors(spark):
     got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df).collect()}
     assert len(got) == len(rows) + len(bad) and [got[i]["n_links"] for i in range(len(v))] == link.sum(1).tolist()
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (100, 101, 102, 103, 104, 105)) and not got[None]["kept"]
+    root = list(range(len(v)))
+    for _ in root:
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(link[i]))]) for i in range(len(v))]
+    assert [got[i]["component_id"] for i in range(len(v))] == root
     found = hilbert_ann.search(df, every=5).collect()
     taking = {**{i: v[i].astype(float) for i in range(len(v))}, 104: v[0].astype(float)}
     hit = total = 0
@@ -245,11 +294,42 @@ def test_vectors(spark):
         want = sorted((float(np.sqrt(((taking[q] - x) ** 2).sum())), i) for i, x in taking.items() if i != q)[:10]
         own = [r for r in found if r["query_id"] == q]
         assert [r["rank"] for r in sorted(own, key=lambda r: r["rank"])] == list(range(1, 11))
+        x = {i: d for d, i in sorted((float(np.sqrt(((taking[q] - y) ** 2).sum())), i) for i, y in taking.items() if i != q)}
+        assert all(np.isclose(r["score"], x[r["vec_id"]], rtol=1e-15) for r in own)
         hit, total = hit + len({i for _, i in want} & {r["vec_id"] for r in own}), total + 10
     assert hit >= 0.9 * total
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0 and hilbert_ann.search(df.limit(0)).count() == 0
 
 
+def test_odd_vectors(spark, monkeypatch):
+    """Against brute force: vec_ids with several vectors, repeated rows, two lengths; links counted once, results full, scores exact."""
+    rng = np.random.default_rng(1)
+    rows = [(0, [float(x) for x in 0.01 * rng.normal(size=4) + 1], "a") for _ in range(14)] + [(i, [float(x) for x in rng.normal(size=4) + 1], "a") for i in range(1, 30)]
+    rows += [(1, [3.0, 1.0, 0.0, 0.5], "a")] * 2 + [(2, [3.0, 1.0, 0.0, 0.5], "a"), (3, [6.0, 2.0, 0.0, 1.0], "b")] + [(100 + i, [float(x) for x in rng.normal(size=2)], "a") for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    linked: dict = {i: set() for i, _, _ in rows}
+    for i, x, a in rows:
+        linked[i] |= {j for j, y, b in rows if i != j and a == b and len(x) == len(y) and unit(x) @ unit(y) >= 0.93}
+    root = {i: i for i in linked}
+    for _ in linked:
+        root = {i: min([root[i], *(root[j] for j in linked[i])]) for i in root}
+    monkeypatch.setattr(embed_dedup, "FEW", 0)
+    got = embed_dedup.near_duplicates(df).distinct().collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (len(linked[i]), root[i], root[i] == i) for i in linked} and len(got) == len(linked)
+    found = hilbert_ann.search(df, every=10, k=5).collect()
+    for q in {i for i in linked if i % 10 == 0}:
+        best: dict = {}
+        for i, x, _ in rows:
+            for j, y, _ in rows:
+                if i == q != j and len(x) == len(y):
+                    d = float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum()))
+                    best[j] = min(best.get(j, d), d)
+        want = sorted((d, j) for j, d in best.items())[:5]
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert [(n + 1, j) for n, (_, j) in enumerate(want)] == [x[:2] for x in own] and np.allclose([d for d, _ in want], [x[2] for x in own], rtol=1e-15)
+
+
 def test_hilbert():
     grid = np.array([(x, y) for x in range(8) for y in range(8)])
     order = grid[np.argsort(hilbert_ann.hilbert_keys(grid, 3))]
@@ -257,8 +337,46 @@ def test_hilbert():
 
 
 def test_licenses(spark, odd):
-    docs = spark.createDataFrame([(1, "text\nReleased under the MIT License!\nmore"), (2, "licensed under cc by-nc 4.0"), (3, "nothing of the kind here at all"), (None, "Released under the MIT License.")], "doc_id long, text string")
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 900)
+    words = mit.split(" ")
+    wrapped = "\n * ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    docs = spark.createDataFrame(
+        [(1, "text\nReleased under the MIT License!\nmore"), (2, "licensed under cc by-nc 4.0"), (3, "nothing of the kind here at all"), (None, "Released under the MIT License."), (4, f"import os\n/*\n * {wrapped}\n */\ndef f(x):\n    return x\n" * 2), (5, "A long line. It goes on and on. Released under the MIT License. And on it goes, word by word.")],
+        "doc_id long, text string",
+    )
     got = {r["doc_id"]: (r["license"], r["dice"]) for r in license_scan.with_license(docs).collect()}
-    assert got == {1: ("MIT", 1.0), 2: ("CC-BY-NC-4.0", 1.0), 3: (None, 0.0), None: ("MIT", 1.0)}
+    assert got.pop(4)[1] > 0.97 and got == {1: ("MIT", 1.0), 2: ("CC-BY-NC-4.0", 1.0), 3: (None, 0.0), None: ("MIT", 1.0), 5: ("MIT", 1.0)}
     assert license_scan.with_license(odd).count() == odd.count() and license_scan.with_license(odd.limit(0)).count() == 0
-    assert license_scan.scan(docs, spark.createDataFrame([], "license string, text string")).count() == 0
+    assert {r["license"] for r in license_scan.with_license(docs, templates=spark.createDataFrame([], "license string, text string")).collect()} == {None}
+
+
+def test_licenses_brute_force(spark, monkeypatch):
+    """Every run of segments against every template; and templates in chunks."""
+    rng = np.random.default_rng(5)
+    templates = [(f"L{i % 7}", " ".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 9))))) for i in range(12)]
+    seam = lambda: str(rng.choice([" ", ". ", "\n", ", ", "\n\n"], p=[0.7, 0.1, 0.1, 0.05, 0.05]))
+    texts = []
+    for _ in range(60):
+        parts = [x for _ in range(int(rng.integers(0, 5))) for x in (list(rng.choice(list("abcdefgh"), 4)) if rng.random() < 0.5 else templates[int(rng.integers(0, 12))][1].split())]
+        texts.append("".join(str(x) + seam() for x in parts))
+    sets = {(n, frozenset(zip(w, w[1:]))) for n, t in templates for w in [t.split(" ")]}
+
+    def best(text):
+        segments = [w for x in re.split(r"[.!?][ \t\r]|\n", text) if (w := re.findall("[a-z0-9]+", x))]
+        found = []
+        for i in range(len(segments)):
+            for j in range(i, len(segments)):
+                w = [x for s in segments[i : j + 1] for x in s]
+                a = set(zip(w, w[1:]))
+                for name, b in sets:
+                    if a and 3 * (len(w) - 1) >= 2 * len(b) and 2 * (len(w) - 1) <= 3 * len(b) and (d := 2.0 * len(a & b) / (len(a) + len(b))) >= 0.8:
+                        found.append((-d, name, i))
+        return (min(found)[1], -min(found)[0], len({i for _, _, i in found})) if found else (None, 0.0, 0)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = spark.createDataFrame(templates, "license string, text string")
+    want = {i: best(t) for i, t in enumerate(texts)}
+    assert sum(n > 0 for *_, n in want.values()) > 10
+    for chunk in (5_000, 4):
+        monkeypatch.setattr(license_scan, "CHUNK", chunk)
+        assert {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in license_scan.with_license(docs, templates=given).collect()} == want
