@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import UnitEncoder, default_tokenizer
-from .store import bounded_batches, scratch, small
+from .store import bounded_batches, dealing_keys, scratch, small
 from .units import Cut, Places, by_bytes, kept, tidy
 
 END_ID = 2
@@ -43,7 +43,7 @@ END_ID = 2
 SHARD_DOCS, MOST_SHARDS, FILE_TOKENS = 8192, 65_536, 500_000
 #: Bytes of text cut at a time; distinct units that a worker keeps.
 SLICE_BYTES = 1_500_000
-KEPT_UNITS = 1_200_000
+KEPT_UNITS = 720_000
 #: Every so many ones the position is stored.
 SAMPLE = 256
 #: Rows up to which the table of files is broadcast.
@@ -204,13 +204,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
     shards, null_shards = (min(MOST_SHARDS, -(-x // SHARD_DOCS)) for x in (known, n - known))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
-    shared = docs.sparkSession.sparkContext.broadcast((source, np.array(cuts or [], dtype=np.int64)))
+    n_shards = max(shards + null_shards, 1)
+    shared = docs.sparkSession.sparkContext.broadcast((source, np.array(cuts or [], dtype=np.int64), dealing_keys(n_shards)))
 
     @tidy
     def encode(batches):
-        source, cuts = shared.value
+        source, cuts, keys = shared.value
         encoder = kept("token_store", source, lambda: _Encoder(source))
-        schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("deal", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 ids, each = _with_end(*encoder(part.column("text")), end_id, f"<u{width}")
@@ -219,7 +220,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                 shard = _shards(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), nulls, ties.to_numpy(), cuts, null_shards)
                 at = (np.append(0, np.cumsum(each)) * width).astype(np.int32)
                 binary = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(at), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), doc_ids, ties, binary], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[shard]), pa.array(shard), doc_ids, ties, binary], schema=schema)
 
     @tidy
     def files(batches):
@@ -242,8 +243,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         if doc_ids:
             yield written()
 
-    encoded = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
-    dealt = encoded.repartition(max(shards + null_shards, 1), "shard").sortWithinPartitions("shard", "doc_id", "tie", "ids")
+    encoded = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(encode, "deal int, shard int, doc_id long, tie long, ids binary")
+    dealt = encoded.repartition(n_shards, "deal")  # a partition for each shard.sortWithinPartitions("shard", "doc_id", "tie", "ids")
     dealt.select("shard", "doc_id", "ids").mapInArrow(files, "shard int, part int, n_tokens long, file binary").write.mode("overwrite").parquet(folder)
 
 
