@@ -37,9 +37,9 @@ ROUNDS = 3
 MOST_LETTERS = 24
 #: Probability of a letter outside the vocabulary; weight of the distribution over all languages in each one's.
 UNKNOWN, SHARED = 1e-7, 0.02
-CACHED_WORDS = 600_000
+CACHED_WORDS = 360_000
 #: Bytes of text looked at at a time.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 UNDETERMINED = "und"
 #: Below this posterior a document is rejected by the pipeline.
 MIN_SCORE = 0.5

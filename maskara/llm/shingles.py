@@ -38,7 +38,7 @@ SEED = 42
 #: Bands, and bins in each; least shingles of sets that are told apart by their bits, and the bits.
 BANDS, ROWS, SURE, FAR = 26, 4, 32, 24
 #: Rounds in which a group's sets are compared with one of them.
-ROUNDS = 3
+ROUNDS = 2
 #: Bytes up to which the sets that others are compared with are broadcast.
 BROADCAST_BYTES = 32 << 20
 KEPT_WORDS = 200_000
@@ -126,7 +126,8 @@ def sets_of(docs: DataFrame, pairs: DataFrame, fps: DataFrame, **how) -> DataFra
     sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = cut(fps.join(sigs, "sig", "left_semi").select("least", "sig"))
     rows = docs.join(small(wanted.select("least").distinct(), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
-    made = with_shingles(rows, at="made", **how).select("made.sig", "made.n", F.col("made.hashes").alias("shingles"))
+    # coalesce: else a filter for signatures that are not null would go below the join and make the sets of all documents
+    made = with_shingles(rows, at="made", **how).select(F.coalesce("made.sig", F.lit(0)).alias("sig"), "made.n", F.col("made.hashes").alias("shingles"))
     return made.join(small(wanted.select("sig"), BROADCAST_ROWS), "sig", "left_semi").dropDuplicates(["sig"])
 
 
@@ -144,7 +145,7 @@ def similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, least: float, **h
 
 
 def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, sig of every row), (sig, least, n, fp: the smallest doc_id, size and fingerprint of each set), (node, root: the components of all sets that are similar enough)."""
+    """(doc_id, sig of every row), (sig, least, n, fp: the smallest doc_id, size and fingerprint of each set), (sig, root: the component of each set, by all that are similar enough)."""
     docs = docs.select("doc_id", "text")
     how = {"words": words}
     marked = cut(with_shingles(docs, at="made", whole=False, **how).select("doc_id", "made.sig", "made.n", "made.fp", "made.hashes"))
@@ -162,10 +163,9 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[D
     of_fp = cut(fps.groupBy("fp").agg(F.min("sig").alias("sig")))
     tree = links(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("sig").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b")
     pairs = tree.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(fps.select(F.col("sig").alias("b"), "fp").join(of_fp.withColumnRenamed("sig", "a"), "fp").filter("a <> b").select("a", "b"))
-    found, tried, root = similar(pairs, docs, fps, least, **how), None, None
+    root, tried, found = fps.select("sig", F.col("sig").alias("root")), None, None
     for k in range(ROUNDS + 1):
-        root = cut(components(found)).withColumnRenamed("node", "sig")
-        now = keys.join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        now = keys.join(root, "sig")
         open_ = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h", "low")
         now = cut(now.join(open_, "h"))
         if k < ROUNDS:  # one of the group's least component, another in each round
@@ -173,11 +173,15 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[D
             rest = now.filter("root <> low").alias("b").join(one.alias("a"), "h").filter(near("a", "b"))
         else:
             rest = now.alias("b").join(now.alias("a"), "h").filter((F.col("a.sig") < F.col("b.sig")) & (F.col("a.root") != F.col("b.root")) & near("a", "b"))
-        rest = rest.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).distinct()
-        rest = cut(rest.join(tried, ["a", "b"], "left_anti") if tried is not None else rest)
-        tried = rest if tried is None else tried.unionByName(rest)
-        found = cut(found.unionByName(similar(rest, docs, fps, least, **how)))
-    return marked.select("doc_id", "sig"), fps, components(found)
+        rest = rest.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"))
+        rest = cut((rest if k else rest.unionByName(pairs)).distinct())
+        new = similar(rest.join(tried, ["a", "b"], "left_anti") if k else rest, docs, fps, least, **how)
+        tried, found = (tried.unionByName(rest), found.unionByName(new)) if k else (rest, new)
+        if not k or new.limit(1).count():
+            found = cut(found)
+            linked = cut(components(found)).withColumnRenamed("node", "sig")
+            root = cut(fps.select("sig").join(linked, "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    return marked.select("doc_id", "sig"), fps, root
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -187,7 +191,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataF
     """
     bounded_batches(docs.sparkSession)
     marked, fps, found = groups(docs, words, least)
-    by_sig = fps.join(cut(found).withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    by_sig = fps.join(found, "sig")
     kept = by_sig.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "sig")).alias("k")).select(F.col("k.least").alias("doc_id"), F.col("k.sig").alias("mark"))
 
     def mark(df, at):

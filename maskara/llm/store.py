@@ -84,7 +84,7 @@ def one_row_each(docs: DataFrame, marked: DataFrame, kept: DataFrame, mark, rows
         return plain
     own, row = free(docs, "_mark"), free(docs, "_row")
     some = mark(docs.alias("d").join(small(again.select("doc_id").distinct(), rows).alias("k"), same("d", "k"), "left_semi"), own)
-    whole = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col("doc_id").alias("_i"), F.col(own).alias("_m"))
+    whole = some.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col("doc_id").alias("_i"), F.coalesce(own, F.lit(0)).alias("_m"))  # coalesce: no filter for nulls goes below the join
     least = whole.groupBy("_i", "_m").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(row))
     chosen = least.alias("d").join(small(again, rows).alias("k"), F.col("d._i").eqNullSafe(F.col("k.doc_id")) & (F.col("d._m") == F.col("k.mark")), "left_semi")
     return plain.unionByName(chosen.select(f"{row}.*"))
