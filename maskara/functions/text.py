@@ -63,8 +63,9 @@ def label_path(image: Column) -> Column:
 
 
 def stable_id(path: Column) -> Column:
-    """The sanitized stem's first 60 characters and ten digits of the path's SHA-1."""
-    return F.concat(F.substring(F.regexp_replace(stem(path), "[^A-Za-z0-9_.-]+", "_"), 1, 60), F.lit("_"), F.substring(F.sha1(path), 1, 10))
+    """The sanitized stem's first 60 characters (``image`` if nothing is left of it) and ten digits of the path's SHA-1."""
+    bare = F.btrim(F.regexp_replace(stem(path), "[^0-9A-Za-z_-]+", "_"), F.lit("_"))
+    return F.concat(F.substring(F.when(bare == "", "image").otherwise(bare), 1, 60), F.lit("_"), F.substring(F.sha1(path), 1, 10))
 
 
 def token(text: Column) -> Column:

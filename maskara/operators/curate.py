@@ -82,10 +82,15 @@ def label_stats(instances: DataFrame, small: float = 0.005, tiny: float = 0.001)
     return instances.groupBy("image").agg(F.count("*").alias("n"), F.coalesce(F.min("area"), F.lit(0.0)).alias("min_area"), F.count_if(F.col("area") < small).alias("small"), F.count_if(F.col("area") < tiny).alias("tiny"), F.count_if("edge").alias("edge"))
 
 
+#: Reasons in order, and what each adds to the repeat.
+REPEAT_RULES = (("dense_instances>=8", 2), ("multi_instances>=5", 1), ("small_instances>=3", 2), ("small_instances>=1", 1), ("tiny_instances>=1", 1), ("edge_instances>=2", 1), ("team128_hard_source", 1))
+
+
 def repeats(stats: DataFrame, hard_source: Column, most: int = 5) -> DataFrame:
     """repeat (1..most) and reasons. Rules add up; ``base`` is the reason of what none raises."""
     n, small, tiny, edge = (F.col(c) for c in ("n", "small", "tiny", "edge"))
-    rules = [(n >= 8, 2, "many"), ((n >= 5) & (n < 8), 1, "several"), (small >= 3, 2, "many_small"), ((small >= 1) & (small < 3), 1, "small"), (tiny >= 1, 1, "tiny"), (edge >= 2, 1, "edge"), (hard_source & ((small >= 1) | (n >= 4)), 1, "hard_source")]
+    when = [n >= 8, (n >= 5) & (n < 8), small >= 3, (small >= 1) & (small < 3), tiny >= 1, edge >= 2, hard_source & ((small >= 1) | (n >= 4))]
+    rules = [(w, plus, name) for w, (name, plus) in zip(when, REPEAT_RULES)]
     total = F.lit(1)
     for when, plus, _ in rules:
         total = total + F.when(when, plus).otherwise(0)
@@ -112,20 +117,56 @@ def large_targets(images: DataFrame, instances: DataFrame, least: float, drop_ed
     return images.join(kept, ["split", "image"], "left"), counters
 
 
+#: What a reviewer is asked to do, by the first rule that holds: two or more unreachable truths; four or more missed of
+#: eight or more; four or more false; two or more missed; else.
+ACTIONS = (
+    "复核不可达 GT：优先确认是否为极小碎片、边缘截断或非抓取目标",
+    "补充同类密集/遮挡场景，并复核漏标或实例边界",
+    "复核误检来源：叶片、藤蔓、阴影、局部纹理或半目标",
+    "复核小目标和遮挡目标是否符合全实例标注口径",
+    "抽检确认标注口径一致",
+)
+#: What is suggested for an instance: unreachable and small; unreachable at the edge; unreachable; tiny; at the edge in a queued
+#: image; narrow in a queued image; else. And the width or height up to which it is narrow.
+SUGGESTIONS = (
+    "优先复核：不可达且极小，可能是碎片/非目标/口径不一致",
+    "优先复核：不可达且贴边，可能是截断目标或边界口径问题",
+    "优先复核：模型无可匹配预测，需确认标注边界或补充同类样本",
+    "抽检：极小实例，确认是否应进入全实例标注",
+    "抽检：错误高发图中的贴边实例",
+    "抽检：错误高发图中的细长/局部实例",
+    "保留观察",
+)
+NARROW = 0.015
+#: Why a truth was missed: its best prediction lacks confidence; it lacks area; else.
+CAUSES = (
+    "漏检来自置信度不足：补充相似样本或考虑局部降低阈值",
+    "漏检来自面积门控过滤：复核目标面积阈值或标注尺寸",
+    "真实漏检/形状不匹配：优先补充同类遮挡、密集或视角样本",
+)
+
+
+def miss_cause(iou: Column, conf: Column, area: Column, match_iou: float, least_conf: float, least_area: float) -> Column:
+    """Why a truth was missed, from its best prediction (0 for none)."""
+    return F.when((iou >= match_iou) & (conf < least_conf), CAUSES[0]).when((iou >= match_iou) & (area < least_area), CAUSES[1]).otherwise(CAUSES[2])
+
+
 def review_queue(images: DataFrame, most: int | None = None) -> DataFrame:
     """image, gt, fp, fn, unreachable -> score, action, in order of score, unreachable, fn, fp (falling), then as given (seq)."""
     fn, fp, un = F.col("fn"), F.col("fp"), F.col("unreachable")
     out = images.withColumn("score", 5 * fn + 2 * fp + 8 * un + F.col("gt"))
-    action = F.when(un > 0, "relabel_or_add_data").when((fn > 0) & (fp > 0), "check_labels").when(fn > 0, "check_missed").when(fp > 0, "check_extra").otherwise("ok")
+    a = ACTIONS
+    action = F.when(un >= 2, a[0]).when((fn >= 4) & (F.col("gt") >= 8), a[1]).when(fp >= 4, a[2]).when(fn >= 2, a[3]).otherwise(a[4])
     ordered = out.withColumn("action", action).orderBy(F.desc("score"), F.desc("unreachable"), F.desc("fn"), F.desc("fp"), "seq")
     return ordered.limit(most) if most else ordered
 
 
 def instance_priority(rows: DataFrame, small: float = 0.005, tiny: float = 0.001) -> DataFrame:
-    """area, edge, reachable (text; only ``False`` is unreachable, a missing row is not), queued -> priority and text."""
+    """area, edge, box_w, box_h, reachable (text; only ``False`` is unreachable, a missing row is not), queued -> priority and suggestion."""
     missed, area = F.coalesce(F.col("reachable") == "False", F.lit(False)), F.col("area")
     score = F.when(missed, 100).otherwise(0) + F.when(area <= tiny, 40).when(area <= small, 20).otherwise(0) + F.when(F.col("edge"), 15).otherwise(0) + F.when(F.col("queued"), 10).otherwise(0)
-    text = F.when(missed & (area <= tiny), "unreachable tiny").when(missed & F.col("edge"), "unreachable at edge").when(missed, "unreachable").when(area <= tiny, "tiny").when(area <= small, "small").when(F.col("edge"), "edge").otherwise("normal")
+    t, narrow = SUGGESTIONS, F.least("box_w", "box_h") <= NARROW
+    text = F.when(missed & (area <= small), t[0]).when(missed & F.col("edge"), t[1]).when(missed, t[2]).when(area <= tiny, t[3]).when(F.col("edge") & F.col("queued"), t[4]).when(narrow & F.col("queued"), t[5]).otherwise(t[6])
     return rows.withColumn("priority", score).withColumn("suggestion", text)
 
 

@@ -88,7 +88,7 @@ def cross_split(files: DataFrame, key: str) -> DataFrame:
     return files.groupBy(key).agg(F.array_sort(F.collect_set("split")).alias("splits"), F.count("*").alias("n")).filter(F.size("splits") > 1)
 
 
-def ready(images: DataFrame, labels: DataFrame, splits=("train", "val")) -> bool:
+def ready(images: DataFrame, labels: DataFrame, splits=("train", "val", "test")) -> bool:
     """Whether each split has an image and a label."""
     has = lambda df: {r["split"] for r in df.select("split").distinct().collect()}
     return set(splits) <= has(images) & has(labels)

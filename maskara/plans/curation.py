@@ -54,8 +54,8 @@ def hard_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REPEATS = f"""{views.INST}, st AS (SELECT image, count(*) AS n, min(area) AS min_area, count(*) FILTER (WHERE area < 0.09) AS small, count(*) FILTER (WHERE area < 0.06) AS tiny, count(*) FILTER (WHERE edge <= 0.02) AS edge FROM inst GROUP BY image),
-ru AS (SELECT *, list_filter([CASE WHEN n >= 8 THEN 'many' END, CASE WHEN n >= 5 AND n < 8 THEN 'several' END, CASE WHEN small >= 3 THEN 'many_small' END, CASE WHEN small >= 1 AND small < 3 THEN 'small' END, CASE WHEN tiny >= 1 THEN 'tiny' END, CASE WHEN edge >= 2 THEN 'edge' END, CASE WHEN image % 4 = 3 AND (small >= 1 OR n >= 4) THEN 'hard_source' END], lambda x: x IS NOT NULL) AS r FROM st),
-rep AS (SELECT *, least(5, 1 + len(r) + list_contains(r, 'many')::INT + list_contains(r, 'many_small')::INT)::INT AS repeat FROM ru)"""
+ru AS (SELECT *, list_filter([CASE WHEN n >= 8 THEN 'dense_instances>=8' END, CASE WHEN n >= 5 AND n < 8 THEN 'multi_instances>=5' END, CASE WHEN small >= 3 THEN 'small_instances>=3' END, CASE WHEN small >= 1 AND small < 3 THEN 'small_instances>=1' END, CASE WHEN tiny >= 1 THEN 'tiny_instances>=1' END, CASE WHEN edge >= 2 THEN 'edge_instances>=2' END, CASE WHEN image % 4 = 3 AND (small >= 1 OR n >= 4) THEN 'team128_hard_source' END], lambda x: x IS NOT NULL) AS r FROM st),
+rep AS (SELECT *, least(5, 1 + len(r) + list_contains(r, 'dense_instances>=8')::INT + list_contains(r, 'small_instances>=3')::INT)::INT AS repeat FROM ru)"""
 HARD_OVERSAMPLE = f"WITH {_REPEATS} SELECT image, n, round(min_area, 6) AS min_area, small, tiny, edge, repeat, array_to_string(CASE WHEN repeat = 1 THEN list_append(r, 'base') ELSE r END, ',') AS reasons FROM rep"
 
 
@@ -117,13 +117,13 @@ CROSS_SPLIT_INTERSECTIONS = f"WITH {views.ASSETS} " + " UNION ALL ".join(
 
 
 def cover_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents against documents of even id: what only one side has."""
-    l, d = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image")), views.table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("image"))
+    """Labelled documents against all documents: what only one side has."""
+    l, d = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image")), views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image"))
     return curate.cover_gaps(l, d)
 
 
-COVER_GAPS = """SELECT image, 'manifest' AS side FROM (SELECT doc_id AS image FROM labels EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0)
-UNION ALL SELECT image, 'directory' FROM (SELECT doc_id AS image FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT doc_id FROM labels)"""
+COVER_GAPS = """SELECT image, 'manifest' AS side FROM (SELECT doc_id AS image FROM labels EXCEPT ALL SELECT doc_id FROM documents)
+UNION ALL SELECT image, 'directory' FROM (SELECT doc_id AS image FROM documents EXCEPT ALL SELECT doc_id FROM labels)"""
 
 
 def scene_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,23 +158,27 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.review_queue(rows, 50).select("image", "gt", "fp", "fn", "unreachable", "score", "action")
 
 
-REVIEW_QUEUE = (
+_QUEUE = (
     evaluation._ERRORS
     + """, q AS (SELECT im.image, (SELECT count(*) FROM truth t WHERE t.image = im.image) AS gt, count(*) FILTER (WHERE type = 'FP') AS fp, count(*) FILTER (WHERE type = 'FN') AS fn, count(*) FILTER (WHERE type = 'FN' AND best_iou < 0.5) AS unreachable FROM (SELECT DISTINCT image FROM inst) im LEFT JOIN err ON err.image = im.image GROUP BY im.image)
-SELECT *, 5 * fn + 2 * fp + 8 * unreachable + gt AS score, CASE WHEN unreachable > 0 THEN 'relabel_or_add_data' WHEN fn > 0 AND fp > 0 THEN 'check_labels' WHEN fn > 0 THEN 'check_missed' WHEN fp > 0 THEN 'check_extra' ELSE 'ok' END AS action FROM q ORDER BY score DESC, unreachable DESC, fn DESC, fp DESC, image LIMIT 50"""
+, queue AS (SELECT *, 5 * fn + 2 * fp + 8 * unreachable + gt AS score FROM q ORDER BY score DESC, unreachable DESC, fn DESC, fp DESC, image LIMIT 50)"""
 )
+_A, _S = (["'" + x + "'" for x in some] for some in (curate.ACTIONS, curate.SUGGESTIONS))
+REVIEW_QUEUE = _QUEUE + f" SELECT *, CASE WHEN unreachable >= 2 THEN {_A[0]} WHEN fn >= 4 AND gt >= 8 THEN {_A[1]} WHEN fp >= 4 THEN {_A[2]} WHEN fn >= 2 THEN {_A[3]} ELSE {_A[4]} END AS action FROM queue"
 
 
 def instance_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = views.preds(spark, sf_dir), views.truths(spark, sf_dir)
     best = pairs.best_per_gt(t, p, pairs.pred_gt(p, t)).select("image", "idx", F.when(F.col("reachable"), "True").otherwise("False").alias("reachable"))
-    rows = t.join(best, ["image", "idx"], "left").withColumn("edge", F.col("edge") <= 0.02).withColumn("queued", F.col("image") % 3 == 0)
+    rows = t.join(best, ["image", "idx"], "left").withColumn("edge", F.col("edge") <= 0.02)
+    queued = F.broadcast(review_queue(spark, sf_dir).select("image", F.lit(True).alias("queued")))  # 50 rows
+    rows = rows.join(queued, "image", "left").withColumn("queued", F.coalesce("queued", F.lit(False))).withColumn("box_w", (F.col("x1") - F.col("x0")) / 40).withColumn("box_h", (F.col("y1") - F.col("y0")) / 40)
     return curate.instance_priority(rows, 0.09, 0.06).select("image", "idx", "priority", "suggestion")
 
 
-INSTANCE_PRIORITY = f"""WITH {evaluation._BEST_GT}, r AS (SELECT t.image, t.idx, t.area, t.edge <= 0.02 AS edge, NOT b.reachable AS missed, t.image % 3 = 0 AS queued FROM truth t JOIN best b ON b.image = t.image AND b.idx = t.idx)
+INSTANCE_PRIORITY = _QUEUE + f""", r AS (SELECT t.image, t.idx, t.area, t.edge <= 0.02 AS edge, coalesce(bg.best_iou, 0.0) < 0.5 AS missed, t.image IN (SELECT image FROM queue) AS queued, least(t.x1 - t.x0, t.y1 - t.y0) / 40.0::DOUBLE <= 0.015 AS narrow FROM truth t LEFT JOIN bg ON bg.image = t.image AND bg.g_idx = t.idx)
 SELECT image, idx, CASE WHEN missed THEN 100 ELSE 0 END + CASE WHEN area <= 0.06 THEN 40 WHEN area <= 0.09 THEN 20 ELSE 0 END + CASE WHEN edge THEN 15 ELSE 0 END + CASE WHEN queued THEN 10 ELSE 0 END AS priority,
-  CASE WHEN missed AND area <= 0.06 THEN 'unreachable tiny' WHEN missed AND edge THEN 'unreachable at edge' WHEN missed THEN 'unreachable' WHEN area <= 0.06 THEN 'tiny' WHEN area <= 0.09 THEN 'small' WHEN edge THEN 'edge' ELSE 'normal' END AS suggestion FROM r"""
+  CASE WHEN missed AND area <= 0.09 THEN {_S[0]} WHEN missed AND edge THEN {_S[1]} WHEN missed THEN {_S[2]} WHEN area <= 0.06 THEN {_S[3]} WHEN edge AND queued THEN {_S[4]} WHEN narrow AND queued THEN {_S[5]} ELSE {_S[6]} END AS suggestion FROM r"""
 
 
 def scheduler_age(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +251,7 @@ def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", text.stable_id(F.col("url")).alias("id"))
 
 
-STABLE_ID = """SELECT page_id, substr(regexp_replace(CASE WHEN b LIKE '_%.%' THEN regexp_replace(b, '(.)\\.[^.]+$', '\\1') ELSE b END, '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 60) || '_' || substr(sha1(url), 1, 10) AS id FROM (SELECT page_id, url, list_last(string_split(url, '/')) AS b FROM pages)"""
+STABLE_ID = """SELECT page_id, substr(coalesce(nullif(trim(regexp_replace(CASE WHEN b LIKE '_%.%' THEN regexp_replace(b, '(.)\\.[^.]+$', '\\1') ELSE b END, '[^0-9A-Za-z_-]+', '_', 'g'), '_'), ''), 'image'), 1, 60) || '_' || substr(sha1(url), 1, 10) AS id FROM (SELECT page_id, url, list_last(string_split(url, '/')) AS b FROM pages)"""
 
 
 def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g
-from ..operators import matching, metrics, pairs
+from ..operators import curate, matching, metrics, pairs
 from . import views
 
 CONF, NMS_IOU, MATCH_IOU = 0.2, 0.3, 0.5
+#: The area gate of the error table's policy: none.
+ERROR_AREA = 0.0
 #: The grid of the flagship query: settings in order; grid_seq breaks ties.
 GRID_CONF, GRID_NMS, GRID_AREA = (0.1, 0.3, 0.5, 0.7), (0.2, 0.3, 0.5), (0.0, 0.1)
 
@@ -194,7 +196,9 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = pairs.best_partner(p.filter(F.col("conf") >= CONF).select("image", "source", "idx"), over, "p_idx", "g_idx", "best")
     fp = chosen.join(met.filter("gt < 0").select("image", "idx"), ["image", "idx"], "left_semi").select("image", "source", F.lit("FP").alias("type"), "idx", "best_idx", "best_iou", F.lit("").alias("cause"))
     missed = pairs.best_per_gt(t, p, over, MATCH_IOU).join(met.filter("gt >= 0").select("image", F.col("gt").alias("idx")), ["image", "idx"], "left_anti")
-    cause = F.when(F.col("reachable") & (F.col("best_conf") < CONF), "low_confidence").when(F.col("reachable"), "taken").otherwise("true_miss")
+    missed = missed.join(p.select("image", F.col("idx").alias("best_idx"), F.col("area").alias("best_area")), ["image", "best_idx"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    cause = curate.miss_cause(F.col("best_iou"), zero("best_conf"), zero("best_area"), MATCH_IOU, CONF, ERROR_AREA)
     return fp.unionByName(missed.select("image", "source", F.lit("FN").alias("type"), "idx", "best_idx", "best_iou", cause.alias("cause")))
 
 
@@ -206,7 +210,7 @@ _ERRORS = GREEDY_MATCH[: GREEDY_MATCH.rindex("SELECT image, idx, gt")] + f""", b
 bg AS (SELECT image, g_idx, arg_max(p_idx, (iou, -p_idx)) AS best_idx, max(iou) AS best_iou FROM pair WHERE iou > 0 GROUP BY image, g_idx),
 err AS (
   SELECT w.image, p.source, 'FP' AS type, w.idx, coalesce(bp.best_idx, -1) AS best_idx, coalesce(bp.best_iou, 0.0) AS best_iou, '' AS cause FROM walk w JOIN pred p ON p.image = w.image AND p.idx = w.idx LEFT JOIN bp ON bp.image = w.image AND bp.p_idx = w.idx WHERE w.gt < 0
-  UNION ALL SELECT t.image, t.source, 'FN', t.idx, coalesce(bg.best_idx, -1), coalesce(bg.best_iou, 0.0), CASE WHEN coalesce(bg.best_iou, 0.0) >= 0.5 THEN CASE WHEN p.conf < {CONF} THEN 'low_confidence' ELSE 'taken' END ELSE 'true_miss' END
+  UNION ALL SELECT t.image, t.source, 'FN', t.idx, coalesce(bg.best_idx, -1), coalesce(bg.best_iou, 0.0), CASE WHEN coalesce(bg.best_iou, 0.0) >= 0.5 AND p.conf < {CONF} THEN '{curate.CAUSES[0]}' WHEN coalesce(bg.best_iou, 0.0) >= 0.5 AND p.area < {ERROR_AREA} THEN '{curate.CAUSES[1]}' ELSE '{curate.CAUSES[2]}' END
   FROM truth t LEFT JOIN bg ON bg.image = t.image AND bg.g_idx = t.idx LEFT JOIN pred p ON p.image = bg.image AND p.idx = bg.best_idx WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.image = t.image AND w.gt = t.idx))"""
 ERROR_TABLE = _ERRORS + " SELECT image, source, type, idx, best_idx, round(best_iou, 6) AS best_iou, cause FROM err"
 

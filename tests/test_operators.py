@@ -145,7 +145,7 @@ def test_curation(spark):
     kept, gone = curate.without_rejected(spark.createDataFrame([("train", "000820_a.jpg"), ("val", "000820_a.jpg"), ("train", "bad.jpg")], "split string, image string"), ["bad"], 816, 845)
     assert kept.count() == 1 and gone.count() == 2
     queue = curate.review_queue(spark.createDataFrame([(1, 2, 1, 0, 0, 1), (2, 1, 0, 1, 1, 2)], "image long, gt int, fp int, fn int, unreachable int, seq int"))
-    assert [(r["image"], r["score"], r["action"]) for r in queue.collect()] == [(2, 14, "relabel_or_add_data"), (1, 4, "check_extra")]
+    assert [(r["image"], r["score"], r["action"]) for r in queue.collect()] == [(2, 14, curate.ACTIONS[4]), (1, 4, curate.ACTIONS[4])]
     crops = spark.createDataFrame([(1, 0, 0.9, 0, 0, 10, 10), (1, 1, 0.8, 2, 2, 12, 12), (1, 2, 0.7, 30, 30, 40, 40)], "image long, idx int, conf double, x0 int, y0 int, x1 int, y1 int")
     assert [r["idx"] for r in matching.spaced_crops(crops, 3).orderBy("idx").collect()] == [0, 2]
     assert validate.next_free(spark, spark.createDataFrame([(1,), (2,), (4,)], "index long")) == 3
@@ -203,3 +203,25 @@ def test_stream(spark, tmp_path):
     got = {r["frame_index"]: (r["runs"], r["age"]) for r in spark.table("scheduled").collect()}
     assert len(got) == 25 and [k for k, v in sorted(got.items()) if v[0]] == [0, 10, 20] and got[17] == (False, 7)
     assert streaming.newest(rows).first()["skipped"] == 24
+
+
+def test_fixed_rules(spark):
+    """Each rule of the review queue, the suggestions, the causes, the repeats and the ids, from rows that only it decides."""
+    from maskara.functions import text
+    from maskara.operators import curate, validate
+
+    rows = [(1, 9, 9, 9, 2), (2, 8, 3, 4, 1), (3, 7, 4, 4, 1), (4, 7, 3, 2, 1), (5, 7, 3, 1, 1)]
+    queue = curate.review_queue(spark.createDataFrame([(*r, r[0]) for r in rows], "image long, gt int, fp int, fn int, unreachable int, seq int"))
+    assert {r["image"]: r["action"] for r in queue.collect()} == dict(zip(range(1, 6), curate.ACTIONS))
+    some = [(0, 0.004, True, 0.5, 0.5, "False", True), (1, 0.5, True, 0.5, 0.5, "False", True), (2, 0.5, False, 0.5, 0.5, "False", True), (3, 0.001, True, 0.01, 0.5, "True", True), (4, 0.5, True, 0.01, 0.5, "True", True), (5, 0.5, False, 0.01, 0.5, "True", True), (6, 0.5, True, 0.01, 0.5, None, False)]
+    out = curate.instance_priority(spark.createDataFrame(some, "i int, area double, edge boolean, box_w double, box_h double, reachable string, queued boolean"))
+    assert {r["i"]: r["suggestion"] for r in out.collect()} == dict(enumerate(curate.SUGGESTIONS))
+    causes = spark.createDataFrame([(0, 0.5, 0.1, 0.0), (1, 0.5, 0.2, 0.01), (2, 0.5, 0.2, 0.02), (2, 0.4, 0.1, 0.0)], "i int, iou double, conf double, area double")
+    assert all(r["c"] == curate.CAUSES[r["i"]] for r in causes.select("i", curate.miss_cause(F.col("iou"), F.col("conf"), F.col("area"), 0.5, 0.2, 0.02).alias("c")).collect())
+    stats = spark.createDataFrame([(0, 8, 3, 1, 2, True), (1, 5, 1, 0, 0, False), (2, 4, 0, 0, 0, True), (3, 4, 0, 0, 1, False)], "image int, n int, small int, tiny int, edge int, hard boolean")
+    got = {r["image"]: (r["repeat"], r["reasons"]) for r in curate.repeats(stats, F.col("hard")).collect()}
+    assert got == {0: (5, "dense_instances>=8,small_instances>=3,tiny_instances>=1,edge_instances>=2,team128_hard_source"), 1: (3, "multi_instances>=5,small_instances>=1"), 2: (2, "team128_hard_source"), 3: (1, "base")}
+    ids = {r["p"]: r["i"][:-11] for r in spark.createDataFrame([("a/..é b.c_.jpg",), ("é.png",), ("x-1_y.z.png",)], "p string").select("p", text.stable_id(F.col("p")).alias("i")).collect()}
+    assert ids == {"a/..é b.c_.jpg": "b_c", "é.png": "image", "x-1_y.z.png": "x-1_y_z"}
+    files = lambda *splits: spark.createDataFrame([(x,) for x in splits], "split string")
+    assert validate.ready(files("train", "val", "test"), files("train", "val", "test")) and not validate.ready(files("train", "val"), files("train", "val", "test"))
