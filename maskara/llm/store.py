@@ -6,7 +6,6 @@ import math
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -42,24 +41,6 @@ def drawn(df: DataFrame, rows: float, total: int, salt: str, key: str) -> DataFr
     return df.filter(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 50)) < max(1, math.ceil(min(1.0, rows / max(total, 1)) * (1 << 50))))
 
 
-def dealing_keys(n: int) -> np.ndarray:
-    """For each of n partitions a 32-bit integer that Spark's hash partitioning into n puts there (Murmur3 with seed 42)."""
-    keys, found, start = np.full(n, -1, dtype=np.int64), 0, 0
-    rotl = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
-    while found < n:
-        k = np.arange(start, start + 4 * n + 64, dtype=np.int64)
-        h = rotl(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
-        h = (rotl(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        place = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
-        some, first = np.unique(place, return_index=True)
-        new = keys[some] < 0
-        keys[some[new]] = k[first[new]]
-        found, start = found + int(new.sum()), start + len(k)
-    return keys.astype(np.int32)
-
-
 def scratch(spark, name: str) -> str:
     """A folder of this run in the shared one, removed when the driver's JVM ends."""
     at = f"{ensure_shared(spark)}/maskara-{name}-{uuid.uuid4().hex}"
