@@ -12,6 +12,11 @@ from .pairs import ranked
 RANKED = "array<struct<rank: int, idx: int, conf: double, area: double, edge: double, near: array<struct<rank: int, iou: double>>, gts: array<struct<iou: double, idx: int>>>>"
 
 
+def truth_lists(pairs: DataFrame) -> DataFrame:
+    """image, idx, gts: the truths each prediction overlaps, by falling IoU."""
+    return pairs.filter("iou > 0").groupBy("image", F.col("p_idx").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("m"), F.col("g_idx").alias("idx")))), lambda x: F.struct((-x["m"]).alias("iou"), x["idx"].alias("idx"))).alias("gts"))
+
+
 def per_image(images: DataFrame, preds: DataFrame, gts: DataFrame, pairs: DataFrame, pred_pairs: DataFrame) -> DataFrame:
     """One row per image of the list: n_gt and preds, in order of rank, each with the earlier-ranked ones it overlaps and
     its truths by falling IoU. Everything a grid of settings needs is computed here once.
@@ -22,16 +27,15 @@ def per_image(images: DataFrame, preds: DataFrame, gts: DataFrame, pairs: DataFr
     rank = order.select("image", F.col("idx").alias("i"), F.col("rank").alias("r"))
     met = pred_pairs.filter("iou > 0").join(rank.select("image", F.col("i").alias("a_idx"), F.col("r").alias("ra")), ["image", "a_idx"]).join(rank.select("image", F.col("i").alias("b_idx"), F.col("r").alias("rb")), ["image", "b_idx"])
     near = met.groupBy("image", F.greatest("ra", "rb").alias("rank")).agg(F.collect_list(F.struct(F.least("ra", "rb").alias("rank"), "iou")).alias("near"))
-    truths = pairs.filter("iou > 0").groupBy("image", F.col("p_idx").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("m"), F.col("g_idx").alias("idx")))), lambda x: F.struct((-x["m"]).alias("iou"), x["idx"].alias("idx"))).alias("gts"))
-    rows = order.join(near, ["image", "rank"], "left").join(truths, ["image", "idx"], "left")
+    rows = order.join(near, ["image", "rank"], "left").join(truth_lists(pairs), ["image", "idx"], "left")
     lists = rows.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "conf", "area", "edge", "near", "gts"))).cast(RANKED).alias("preds"))
     n = gts.groupBy("image").agg(F.count("*").cast("int").alias("n_gt"))
     return images.join(n, "image", "left").join(lists, "image", "left").select(*images.columns, F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("preds", F.array().cast(RANKED)).alias("preds"))
 
 
-def selected(preds: Column, conf, area=0.0, edge=-1.0) -> Column:
+def selected(preds: Column, conf, area=0.0, edge=-1.0, most=float("inf")) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.filter(preds, lambda p: (p["conf"] >= as_col(conf)) & (p["area"] >= as_col(area)) & (p["edge"] >= as_col(edge)))
+    return F.filter(preds, lambda p: (p["conf"] >= as_col(conf)) & (p["area"] >= as_col(area)) & (p["edge"] >= as_col(edge)) & (p["area"] <= as_col(most)))
 
 
 def suppressed(preds: Column, threshold) -> Column:
@@ -80,12 +84,24 @@ def evaluated(rows: DataFrame, grid: DataFrame, match_iou: float = 0.5) -> DataF
     keep = [c for c in rows.columns if c not in ("preds", "n_gt")]
     wide = rows.repartition("image").crossJoin(F.broadcast(grid))
     kept = wide.withColumn("kept", suppressed(selected(F.col("preds"), F.col("conf"), F.col("min_area"), F.col("min_edge")), F.col("nms_iou")))
-    done = kept.withColumn("tp", F.size(F.filter(greedily_matched(F.col("kept"), match_iou), lambda m: m["gt"] >= 0)))
-    return done.select(*keep, *grid.columns, "n_gt", F.size("kept").alias("n_kept"), "tp", (F.size("kept") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
+    return counted(kept, [*keep, *grid.columns], match_iou)
+
+
+def counted(rows: DataFrame, columns: list[str], match_iou: float) -> DataFrame:
+    """The columns, n_gt, n_kept, tp, fp, fn of rows with n_gt and the predictions ``kept``."""
+    done = rows.withColumn("tp", F.size(F.filter(greedily_matched(F.col("kept"), match_iou), lambda m: m["gt"] >= 0)))
+    return done.select(*columns, "n_gt", F.size("kept").alias("n_kept"), "tp", (F.size("kept") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
+
+
+def swept(rows: DataFrame, grid: DataFrame, match_iou: float = 0.5) -> DataFrame:
+    """As ``evaluated``, without suppression, under a grid of conf, min_area and max_area; it holds no setting of min_area over max_area."""
+    keep = [c for c in rows.columns if c not in ("preds", "n_gt")]
+    wide = rows.repartition("image").crossJoin(F.broadcast(grid.filter("min_area <= max_area")))
+    return counted(wide.withColumn("kept", selected(F.col("preds"), F.col("conf"), F.col("min_area"), -1.0, F.col("max_area"))), [*keep, *grid.columns], match_iou)
 
 
-def _augment(adjacent: dict[int, list[int]], start: int, owner: dict[int, int]) -> bool:
-    """Gives start a truth if some chain of reassignments allows it; a walk without recursion."""
+def _augment(adjacent: dict[int, list[int]], start: int, owner: dict[int, int], held: dict[int, int]) -> bool:
+    """``held`` is the reverse of owner. Gives start a truth if some chain of reassignments allows it; a walk without recursion."""
     came: dict[int, int] = {}
     todo = [start]
     while todo:
@@ -97,8 +113,8 @@ def _augment(adjacent: dict[int, list[int]], start: int, owner: dict[int, int])
             if g not in owner:
                 while True:  # along the chain, back to start
                     p = came[g]
-                    before = next((x for x, q in owner.items() if q == p), None)
-                    owner[g] = p
+                    before = held.get(p)
+                    owner[g], held[p] = p, g
                     if p == start:
                         return True
                     g = before
@@ -109,9 +125,10 @@ def _augment(adjacent: dict[int, list[int]], start: int, owner: dict[int, int])
 def maximum_matching(adjacent: dict[int, list[int]], order) -> dict[int, int]:
     """truth -> prediction of a maximum matching, by augmenting paths from each prediction in order."""
     owner: dict[int, int] = {}
+    held: dict[int, int] = {}
     for p in order:
         if p in adjacent:
-            _augment(adjacent, p, owner)
+            _augment(adjacent, p, owner, held)
     return owner
 
 
@@ -140,9 +157,10 @@ def matching_curve(rows: DataFrame, threshold: float) -> DataFrame:
             scores, gain = [], []
             for preds in batch.column("preds").to_pylist():
                 adjacent, owner = _adjacent(preds, threshold), {}
+                held: dict[int, int] = {}
                 for p in preds:  # in order of rank
                     scores.append(p["conf"])
-                    gain.append(int(p["idx"] in adjacent and _augment(adjacent, p["idx"], owner)))
+                    gain.append(int(p["idx"] in adjacent and _augment(adjacent, p["idx"], owner, held)))
             yield pa.RecordBatch.from_pydict({"score": pa.array(scores, pa.float64()), "gain": pa.array(gain, pa.int64())})
 
     from .metrics import running

@@ -145,3 +145,20 @@ def run_status(df: DataFrame) -> DataFrame:
     """complete, partial or failed from counts of successes and errors."""
     done, bad = F.sum("succeeded"), F.sum("errors")
     return df.agg(done.alias("succeeded"), bad.alias("errors"), F.when(bad == 0, "complete").when(done > 0, "partial").otherwise("failed").alias("status"))
+
+
+def worst_first(evaluated: DataFrame) -> DataFrame:
+    """Images by falling fn, fp and truths; ties by image."""
+    return evaluated.orderBy(F.desc("fn"), F.desc("fp"), F.desc("n_gt"), "image")
+
+
+def candidate_summary(labelled: DataFrame, by: list[str]) -> DataFrame:
+    """images, gt, candidates, positives, negatives per group and per all but the last key (null there), from rows of images
+    with n_gt, n_kept and tp."""
+    out = labelled.rollup(*by).agg(F.count("*").alias("images"), *(F.sum(c).cast("long").alias(n) for c, n in (("n_gt", "gt"), ("n_kept", "candidates"), ("tp", "positives"))), F.grouping_id().alias("_level"))
+    return out.filter("_level <= 1").drop("_level").withColumn("negatives", F.col("candidates") - F.col("positives"))
+
+
+def latency_by(df: DataFrame, by: str, value: str) -> DataFrame:
+    """rows, average and peak of a measure per group; nulls take no part."""
+    return df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("average"), F.max(value).alias("peak"))

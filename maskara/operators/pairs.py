@@ -80,3 +80,15 @@ def worst_rank(preds: DataFrame) -> DataFrame:
 
 def top_k(preds: DataFrame, k: int) -> DataFrame:
     return ranked(preds).filter(F.col("rank") <= k)
+
+
+def top_k_then_area(preds: DataFrame, k: int, min_area: float) -> DataFrame:
+    """Of the k most confident predictions of an image, those of area ``min_area`` or more: the area takes part after the limit."""
+    return top_k(preds, k).filter(F.col("area") >= min_area)
+
+
+def top_k_losses(preds: DataFrame, k: int, min_area: float) -> DataFrame:
+    """image, found, truncated (beyond the k), filtered_by_area (within the k, too small), kept."""
+    inside = F.col("rank") <= k
+    out = ranked(preds).groupBy("image").agg(F.count("*").alias("found"), F.count_if(~inside).alias("truncated"), F.count_if(inside & (F.col("area") < min_area)).alias("filtered_by_area"))
+    return out.withColumn("kept", F.col("found") - F.col("truncated") - F.col("filtered_by_area"))

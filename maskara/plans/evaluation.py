@@ -106,7 +106,7 @@ FROM m JOIN pred p ON p.image = m.image AND p.idx = m.other GROUP BY m.image, m.
 
 
 def mask_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nms(views.image_rows(spark, sf_dir), NMS_IOU, CONF)
+    return matching.nms(views.image_rows(spark, sf_dir, CONF), NMS_IOU, CONF)
 
 
 #: Ranked predictions over the confidence floor; earlier ones each overlaps by more than the threshold; recursion over ranks.
@@ -122,7 +122,7 @@ MASK_NMS = f"WITH RECURSIVE {_NMS} SELECT sel.image, sel.idx, sel.conf FROM kept
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.matches(views.image_rows(spark, sf_dir), MATCH_IOU, CONF).select("image", "idx", "gt", F.round("iou", 6).alias("iou"))
+    return matching.matches(views.image_rows(spark, sf_dir, CONF), MATCH_IOU, CONF).select("image", "idx", "gt", F.round("iou", 6).alias("iou"))
 
 
 GREEDY_MATCH = f"""WITH RECURSIVE {views.INST}, sel AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY conf DESC, idx) AS rank FROM pred WHERE conf >= {CONF}),
@@ -142,7 +142,7 @@ def grid(spark: SparkSession) -> DataFrame:
 
 def grid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: parse, overlap joins, suppression and matching under every setting, totals and rates."""
-    done = matching.evaluated(views.image_rows(spark, sf_dir), grid(spark), MATCH_IOU)
+    done = matching.evaluated(views.image_rows(spark, sf_dir, min(GRID_CONF)), grid(spark), MATCH_IOU)
     out = metrics.totals(done, ["grid_seq", "conf", "nms_iou", "min_area"])
     return out.select("grid_seq", "conf", "nms_iou", "min_area", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
 
@@ -165,7 +165,7 @@ GRID_METRICS = f"WITH RECURSIVE {_GRID} SELECT grid_seq, conf, nms_iou, min_area
 
 
 def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = metrics.totals(matching.evaluated(views.image_rows(spark, sf_dir), grid(spark), MATCH_IOU), ["grid_seq", "conf", "nms_iou", "min_area"])
+    done = metrics.totals(matching.evaluated(views.image_rows(spark, sf_dir, min(GRID_CONF)), grid(spark), MATCH_IOU), ["grid_seq", "conf", "nms_iou", "min_area"])
     out = metrics.four_selections(done, 0.2, 0.1)
     return out.select("selection", "grid_seq", "conf", "nms_iou", "min_area", "tp", "fp", "fn")
 
@@ -179,7 +179,7 @@ UNION ALL SELECT * FROM (SELECT 'best_precision', grid_seq, conf, nms_iou, min_a
 
 def source_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = spark.createDataFrame([(0.1, 0.2, 0.0, -1.0)], "conf double, nms_iou double, min_area double, min_edge double")
-    out = metrics.by_source(matching.evaluated(views.image_rows(spark, sf_dir), one, MATCH_IOU))
+    out = metrics.by_source(matching.evaluated(views.image_rows(spark, sf_dir, 0.1), one, MATCH_IOU))
     return out.select("source", "images", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "fp_ppm", "fn_ppm")
 
 
@@ -192,7 +192,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per unmatched prediction (FP) and truth (FN): image, source, type, idx, best partner, cause of a miss."""
     p, t = views.preds(spark, sf_dir), views.truths(spark, sf_dir)
     over = pairs.pred_gt(p, t)
-    met = matching.matches(views.image_rows(spark, sf_dir), MATCH_IOU, CONF)
+    met = matching.matches(views.image_rows(spark, sf_dir, CONF), MATCH_IOU, CONF)
     chosen = pairs.best_partner(p.filter(F.col("conf") >= CONF).select("image", "source", "idx"), over, "p_idx", "g_idx", "best")
     fp = chosen.join(met.filter("gt < 0").select("image", "idx"), ["image", "idx"], "left_semi").select("image", "source", F.lit("FP").alias("type"), "idx", "best_idx", "best_iou", F.lit("").alias("cause"))
     missed = pairs.best_per_gt(t, p, over, MATCH_IOU).join(met.filter("gt >= 0").select("image", F.col("gt").alias("idx")), ["image", "idx"], "left_anti")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, evaluation
+from . import curation, evaluation, sweeps
 
 FLAGSHIP = "grid_metrics"
-MODULES = (evaluation, curation)
+MODULES = (evaluation, curation, sweeps)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

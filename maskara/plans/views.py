@@ -64,13 +64,13 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances(spark, sf_dir).filter("gt")
 
 
-def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """preds and truths of each image as module ``matching`` wants them."""
+def image_rows(spark: SparkSession, sf_dir: str, least: float = 0.0, form=None) -> DataFrame:
+    """preds (those of the least confidence that any setting asks for) and truths of each image as module ``matching``, or another form, wants them."""
     from ..operators import matching, pairs
 
-    p, g = preds(spark, sf_dir), truths(spark, sf_dir)
+    p, g = preds(spark, sf_dir).filter(F.col("conf") >= least), truths(spark, sf_dir)
     images = instances(spark, sf_dir).select("image", "source").distinct()
-    return matching.per_image(images, p, g, pairs.pred_gt(p, g), pairs.pred_pred(p))
+    return (form or matching.per_image)(images, p, g, pairs.pred_gt(p, g), pairs.pred_pred(p))
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,3 +225,34 @@ def test_fixed_rules(spark):
     assert ids == {"a/..é b.c_.jpg": "b_c", "é.png": "image", "x-1_y.z.png": "x-1_y_z"}
     files = lambda *splits: spark.createDataFrame([(x,) for x in splits], "split string")
     assert validate.ready(files("train", "val", "test"), files("train", "val", "test")) and not validate.ready(files("train", "val"), files("train", "val", "test"))
+
+
+def test_consensus_by_hand(spark):
+    """Two models agree on one object; a third prediction stands alone; two seeds of one representative count once."""
+    from maskara.operators import consensus, pairs
+
+    preds = spark.createDataFrame([(1, 0, 0.9, 0.1, "a", 0, 0, 9, 9), (1, 1, 0.8, 0.1, "b", 0, 0, 9, 8), (1, 2, 0.7, 0.1, "a", 30, 30, 39, 39)], "image int, idx int, conf double, area double, model string, x0 int, y0 int, x1 int, y1 int")
+    gts = spark.createDataFrame([(1, 0, 0, 0, 9, 9), (2, 0, 0, 0, 9, 9)], "image int, idx int, x0 int, y0 int, x1 int, y1 int")
+    images = spark.createDataFrame([(1,), (2,), (3,)], "image int")
+    rows = consensus.per_image(images, preds, gts, pairs.pred_gt(preds, gts), pairs.pred_pred(preds))
+    grid = spark.createDataFrame([(0, 0.1, 0.0, 2, 0.5, 0.3), (1, 0.1, 0.0, 1, 0.5, 0.3), (2, 0.1, 0.0, 2, 0.95, 0.3)], "grid_seq int, conf double, min_area double, min_support int, support_iou double, nms_iou double")
+    got = {(r.grid_seq, r.image): (r.tp, r.fp, r.fn) for r in consensus.evaluated(rows, grid).collect()}
+    assert [got[k, 1] for k in range(3)] == [(1, 0, 0), (1, 1, 0), (0, 0, 1)]
+    assert all(got[k, 2] == (0, 0, 1) and got[k, 3] == (0, 0, 0) for k in range(3))
+
+
+def test_top_k_losses_add_up(spark):
+    from maskara.operators import pairs
+
+    preds = spark.createDataFrame([(1, i, 0.5, 0.1 * i) for i in range(5)], "image int, idx int, conf double, area double")
+    assert pairs.top_k_losses(preds, 3, 0.15).first().asDict() == {"image": 1, "found": 5, "truncated": 2, "filtered_by_area": 2, "kept": 1}
+    assert [r.idx for r in pairs.top_k_then_area(preds, 3, 0.15).collect()] == [2]
+
+
+def test_long_chains_of_reassignment():
+    from maskara.operators.matching import maximum_matching
+
+    n = 400
+    chain = {i: [i, i + 1] for i in range(n)} | {n: [0]}
+    got = maximum_matching(chain, [*range(n), n])
+    assert len(got) == n + 1 and sorted(got.values()) == list(range(n + 1)) and all(t in chain[p] for t, p in got.items())
