@@ -272,7 +272,9 @@ def repeated_windows(docs: DataFrame, size: int = SLICE) -> DataFrame:
     some = found.alias("f").join(anchors.alias("a"), _same("f", "a", "th", "start")).select("f.doc_id", "f.th", (F.col("f.start") + F.col("anchor") - F.col("high")).alias("start"), (F.col("high") - F.col("low") + 1).alias("windows"))
     lists = cut(members.groupBy("doc_id", "th", "start").agg(F.collect_list(F.struct("low", "high", "n")).alias("blocks")))
     joined = data.alias("d").join(lists.alias("m"), _same("d", "m", "th", "start")).select("d.doc_id", "d.th", "d.start", "d.anchor", "d.data", "m.blocks")
-    windows = cut(joined.mapInArrow(_windows, f"{ids}, key long, content long, n long"))
+    schema = f"{ids}, key long, content long, n long"
+    joined.mapInArrow(_windows, schema).write.parquet(at := scratch(spark, "windows"))  # packed, where a checkpoint has whole rows
+    windows = spark.read.schema(schema).parquet(at)
     twice = cut(windows.groupBy("key", "content").agg(F.sum("n").alias("n")).filter("n > 1").select("key", "content"))
     single = windows.filter("n = 1").join(twice, ["key", "content"], "left_semi").select("doc_id", "th", "start", F.lit(1).cast("long").alias("windows"))
     return stored.filter("key IS NULL").select(*ranges).unionByName(whole.select(*ranges)).unionByName(some).unionByName(single)
