@@ -3,8 +3,8 @@
 The kernels work on numpy arrays within one row or image, so a mask never leaves its task; the functions on columns
 wrap them for Arrow batches.
 
-A filled polygon holds the pixels inside by the even-odd rule and those of its boundary lines. Where an
-axis-parallel rectangle is given this is exact; slanted boundaries are rounded to the nearest pixel of each step.
+A filled polygon holds the pixels inside by the even-odd rule and those of its boundary lines. A line steps along its longer
+axis from its left end; of two pixels equally near to it, it takes the one on the side of that end.
 """
 
 from __future__ import annotations
@@ -17,31 +17,47 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
 
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of them, how many of it came before), each as often as it counts."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _line_pixels(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x, y of the pixels of the lines from p to q [n, (x, y)], ends included."""
+    turned = (q[:, 0] < p[:, 0])[:, None]
+    start, way = np.where(turned, q, p), np.where(turned, p - q, q - p)
+    size = np.abs(way)
+    long, short = size.max(1), size.min(1)
+    of, k = _each(long + 1)
+    over = -((long[of] - 2 * k * short[of]) // np.maximum(2 * long[of], 1))  # rounded, halves towards the start
+    steep = (size[:, 1] > size[:, 0])[of]
+    return start[of, 0] + np.where(steep, over, k), start[of, 1] + np.sign(way[of, 1]) * np.where(steep, k, over)
+
+
 def filled(points: np.ndarray, height: int, width: int) -> np.ndarray:
     """uint8 mask [height, width] of a polygon of whole pixel points [n, (x, y)]."""
-    out = np.zeros((height, width), dtype=bool)
-    if len(points) == 0:
-        return out.astype(np.uint8)
+    out = np.zeros((height, width + 1), dtype=np.int16)
+    if not len(points):
+        return out[:, :-1].astype(np.uint8)
     p = points.astype(np.int64)
     q = np.roll(p, -1, axis=0)
-    steps = np.maximum(np.abs(q - p).max(1), 1)
-    for a, b, n in zip(p, q, steps.tolist()):  # boundary
-        t = np.linspace(0, 1, n + 1)[:, None]
-        line = np.floor(a + (b - a) * t + 0.5).astype(np.int64)
-        line = line[(line[:, 0] >= 0) & (line[:, 0] < width) & (line[:, 1] >= 0) & (line[:, 1] < height)]
-        out[line[:, 1], line[:, 0]] = True
-    low, high = max(int(p[:, 1].min()), 0), min(int(p[:, 1].max()), height - 1)
-    rows = np.arange(low, high + 1)
-    if len(rows) and len(p) > 2:
+    if len(p) > 2:  # where each row crosses the edges, in pairs
         up = p[:, 1] != q[:, 1]
         a, b = p[up], q[up]
-        crossed = (np.minimum(a[:, 1], b[:, 1])[None] <= rows[:, None]) & (rows[:, None] < np.maximum(a[:, 1], b[:, 1])[None])
-        x = a[:, 0] + (rows[:, None] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-        for r, has, at in zip(rows, crossed, x):
-            ends = np.sort(at[has])
-            for i, j in zip(ends[::2], ends[1::2]):
-                out[r, max(int(np.ceil(i)), 0) : min(int(np.floor(j)), width - 1) + 1] = True
-    return out.astype(np.uint8)
+        of, k = _each(np.abs(b[:, 1] - a[:, 1]))
+        row = np.minimum(a[:, 1], b[:, 1])[of] + k
+        x = a[of, 0] + (row - a[of, 1]) * (b[of, 0] - a[of, 0]) / (b[of, 1] - a[of, 1])
+        order = np.lexsort((x, row))
+        row, first, last = row[order[::2]], np.maximum(np.ceil(x[order[::2]]), 0).astype(np.int64), np.minimum(np.floor(x[order[1::2]]), width - 1).astype(np.int64)
+        ok = (row >= 0) & (row < height) & (first <= last)
+        np.add.at(out, (row[ok], first[ok]), 1)
+        np.add.at(out, (row[ok], last[ok] + 1), -1)
+        np.cumsum(out, axis=1, out=out)
+    x, y = _line_pixels(p, q)
+    ok = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+    out[y[ok], x[ok]] = 1
+    return (out[:, :-1] > 0).astype(np.uint8)
 
 
 def raster(points: np.ndarray, size: int) -> np.ndarray:

@@ -25,6 +25,13 @@ def per_image(images: DataFrame, preds: DataFrame, gts: DataFrame, pairs: DataFr
     return images.join(n, "image", "left").join(lists, "image", "left").select(*images.columns, F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("preds", F.array().cast(PREDS)).alias("preds"))
 
 
+def of_lists(lists: DataFrame, shared) -> DataFrame:
+    """The same from ``matching.gathered`` rows, with overlaps made within the row by ``shared``."""
+    kept = [c for c in lists.columns if c not in ("p", "t")]
+    own = lambda x, i: F.struct((i + 1).alias("rank"), x["idx"].alias("idx"), x["conf"].alias("conf"), x["area"].alias("area"), x["model"].alias("model"), matching.met(x, F.filter(F.col("p"), lambda y: y["idx"] != x["idx"]), shared, "idx").alias("near"), matching.falling(matching.met(x, F.col("t"), shared, "idx")).alias("gts"))
+    return lists.select(*kept, F.size("t").alias("n_gt"), F.transform("p", own).cast(PREDS).alias("preds"))
+
+
 def candidates(preds: Column, min_support, support_iou) -> Column:
     """For each prediction whose members (itself and those at the threshold) come from enough models: its most confident member,
     by falling score and then by seed."""

@@ -151,6 +151,30 @@ def miss_cause(iou: Column, conf: Column, area: Column, match_iou: float, least_
     return F.when((iou >= match_iou) & (conf < least_conf), CAUSES[0]).when((iou >= match_iou) & (area < least_area), CAUSES[1]).otherwise(CAUSES[2])
 
 
+def errors(rows: DataFrame, conf: float, match_iou: float, least_area: float) -> DataFrame:
+    """``matching.of_lists`` rows with all predictions -> image, source, type, idx, best_idx, best_iou, cause: the predictions of that confidence that no
+    truth is matched with (FP) and the truths missed (FN), each with the partner it overlaps most. All within the row."""
+    from . import matching
+
+    made = rows.withColumn("done", matching.greedily_matched(matching.selected(F.col("preds"), conf), match_iou)).withColumn("truths", matching.best_of_truths(F.col("preds"), F.col("truths")))
+    row = lambda kind, idx, best, cause: F.struct(F.lit(kind).alias("type"), idx.alias("idx"), F.coalesce(best["idx"], F.lit(-1)).alias("best_idx"), F.coalesce(best["iou"], F.lit(0.0)).alias("best_iou"), cause.alias("cause"))
+    gts_of = lambda idx: F.get(F.filter("preds", lambda p: p["idx"] == idx), F.lit(0))["gts"]
+    fp = F.transform(F.filter("done", lambda d: d["gt"] < 0), lambda d: row("FP", d["idx"], F.get(gts_of(d["idx"]), F.lit(0)), F.lit("")))
+    taken = F.transform("done", lambda d: d["gt"])
+    zero = lambda b, c: F.coalesce(b[c], F.lit(0.0))
+    fn = F.transform(F.filter("truths", lambda t: ~F.array_contains(taken, t["idx"])), lambda t: row("FN", t["idx"], t["best"], miss_cause(zero(t["best"], "iou"), zero(t["best"], "conf"), zero(t["best"], "area"), match_iou, conf, least_area)))
+    return made.select("image", "source", F.explode(F.concat(fp, fn)).alias("e")).select("image", "source", "e.*")
+
+
+def error_counts(rows: DataFrame, conf: float, match_iou: float) -> DataFrame:
+    """``matching.of_lists`` rows with all predictions -> image, gt, fp, fn, unreachable (truths that no prediction overlaps at the threshold)."""
+    from . import matching
+
+    done = matching.counted(rows.withColumn("kept", matching.selected(F.col("preds"), conf)), ["image", "preds", "truths"], match_iou)
+    lost = F.filter(matching.best_of_truths(F.col("preds"), F.col("truths")), lambda t: F.coalesce(t["best"]["iou"], F.lit(0.0)) < match_iou)
+    return done.select("image", F.col("n_gt").alias("gt"), "fp", "fn", F.size(lost).alias("unreachable"))
+
+
 def review_queue(images: DataFrame, most: int | None = None) -> DataFrame:
     """image, gt, fp, fn, unreachable -> score, action, in order of score, unreachable, fn, fp (falling), then as given (seq)."""
     fn, fp, un = F.col("fn"), F.col("fp"), F.col("unreachable")

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .masks import over_union
 from .pairs import ranked
 
 RANKED = "array<struct<rank: int, idx: int, conf: double, area: double, edge: double, near: array<struct<rank: int, iou: double>>, gts: array<struct<iou: double, idx: int>>>>"
@@ -33,35 +34,84 @@ def per_image(images: DataFrame, preds: DataFrame, gts: DataFrame, pairs: DataFr
     return images.join(n, "image", "left").join(lists, "image", "left").select(*images.columns, F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("preds", F.array().cast(RANKED)).alias("preds"))
 
 
+def gathered(rows: DataFrame, least: float = 0.0, *keep: str) -> DataFrame:
+    """One row per image, by one shuffle of what takes part: its ``keep`` columns, ``p`` (predictions of that confidence or more, in
+    order of rank) and ``t`` (truths by idx).
+
+    rows: image, idx, gt, model, conf, area, edge, shape, and columns that an image's rows share. A prediction without a confidence takes no part.
+    """
+    p = F.when(~F.col("gt") & (F.col("conf") >= least), F.struct((-F.col("conf")).alias("m"), "idx", "conf", "model", "area", "edge", "shape"))
+    t = F.when(F.col("gt"), F.struct("idx", "area", "edge", "shape"))
+    lists = (F.array_sort(F.collect_list(x)) for x in (p, t))
+    return rows.groupBy("image").agg(*(F.min(c).alias(c) for c in keep), *(x.alias(n) for x, n in zip(lists, "pt")))
+
+
+def met(x: Column, others: Column, shared, *names: str) -> Column:
+    """Of an array, the elements that share pixels with x: their names and iou."""
+    found = F.filter(F.transform(others, lambda y: F.struct(*(y[c].alias(c) for c in names), shared(x["shape"], y["shape"]).alias("n"), y["shape"]["n"].alias("of"))), lambda y: y["n"] > 0)
+    return F.transform(found, lambda y: F.struct(*(y[c].alias(c) for c in names), over_union(y["n"], x["shape"]["n"], y["of"]).alias("iou")))
+
+
+def falling(found: Column) -> Column:
+    """(iou, idx) by falling IoU, ties by idx."""
+    order = F.array_sort(F.transform(found, lambda y: F.struct((-y["iou"]).alias("m"), y["idx"].alias("idx"))))
+    return F.transform(order, lambda y: F.struct((-y["m"]).alias("iou"), y["idx"].alias("idx")))
+
+
+def of_lists(lists: DataFrame, shared) -> DataFrame:
+    """``gathered`` rows -> the rows of ``per_image``, and ``truths`` (idx, area, edge, shape); overlaps are made within the row by
+    ``shared``, the pixels that two shapes have in common, so nothing is joined."""
+    ranks = F.transform("p", lambda x, i: F.struct((i + 1).alias("rank"), x["idx"].alias("idx"), x["conf"].alias("conf"), x["area"].alias("area"), x["edge"].alias("edge"), x["shape"].alias("shape")))
+    kept = [c for c in lists.columns if c not in ("p", "t")]
+    ranked_ = lists.select(*kept, "t", ranks.alias("p"))
+    one = lambda x: F.struct(x["rank"].alias("rank"), x["idx"].alias("idx"), x["conf"].alias("conf"), x["area"].alias("area"), x["edge"].alias("edge"), met(x, F.slice(F.col("p"), 1, x["rank"] - 1), shared, "rank").alias("near"), falling(met(x, F.col("t"), shared, "idx")).alias("gts"))
+    return ranked_.select(*kept, F.size("t").alias("n_gt"), F.transform("p", one).cast(RANKED).alias("preds"), F.col("t").alias("truths"))
+
+
+def best_of_truths(preds: Column, truths: Column) -> Column:
+    """Each truth (its fields), with best: (idx, iou, conf, area) of the prediction that overlaps it most, of equals the first; null for none."""
+
+    def best(t):
+        over = F.flatten(F.transform(preds, lambda p: F.transform(F.filter(p["gts"], lambda z: z["idx"] == t["idx"]), lambda z: F.struct((-z["iou"]).alias("m"), p["idx"].alias("idx"), z["iou"].alias("iou"), p["conf"].alias("conf"), p["area"].alias("area")))))
+        return F.array_min(over)
+
+    return F.transform(truths, lambda t: t.withField("best", best(t)))
+
+
 def selected(preds: Column, conf, area=0.0, edge=-1.0, most=float("inf")) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.filter(preds, lambda p: (p["conf"] >= as_col(conf)) & (p["area"] >= as_col(area)) & (p["edge"] >= as_col(edge)) & (p["area"] <= as_col(most)))
 
 
 def suppressed(preds: Column, threshold) -> Column:
-    """What greedy suppression keeps: each prediction unless one kept before it overlaps it by more than the threshold."""
+    """What greedy suppression keeps: each prediction unless one kept before it overlaps it by more than the threshold. The fold carries ranks alone."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
 
     def step(kept, p):
-        hit = F.exists(F.coalesce(p["near"], F.array().cast("array<struct<rank: int, iou: double>>")), lambda z: (z["iou"] > t) & F.array_contains(F.transform(kept, lambda k: k["rank"]), z["rank"]))
-        return F.when(hit, kept).otherwise(F.array_append(kept, p))
+        hit = F.exists(F.coalesce(p["near"], F.array().cast("array<struct<rank: int, iou: double>>")), lambda z: (z["iou"] > t) & F.array_contains(kept, z["rank"]))
+        return F.when(hit, kept).otherwise(F.array_append(kept, p["rank"]))
 
-    return F.aggregate(preds, F.array().cast(RANKED), step)
+    kept = F.aggregate(preds, F.array().cast("array<int>"), step)
+    return F.filter(preds, lambda p: F.array_contains(kept, p["rank"]))
 
 
+#: Columns of a row per image that its settings make counts of.
+IN_ROW = ("preds", "n_gt", "truths")
 TAKEN = "array<struct<idx: int, gt: int, iou: double>>"
 
 
 def greedily_matched(preds: Column, threshold) -> Column:
     """(idx, gt, iou) of each prediction in order: its best truth that none took before it, if it reaches the threshold; else gt -1."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    start = F.struct(F.array().cast(TAKEN).alias("done"), F.array().cast("array<int>").alias("used"))
 
-    def step(done, p):
-        free = F.get(F.filter(F.coalesce(p["gts"], F.array().cast("array<struct<iou: double, idx: int>>")), lambda z: ~F.array_contains(F.transform(done, lambda d: d["gt"]), z["idx"])), F.lit(0))
+    def step(s, p):
+        free = F.get(F.filter(F.coalesce(p["gts"], F.array().cast("array<struct<iou: double, idx: int>>")), lambda z: ~F.array_contains(s["used"], z["idx"])), F.lit(0))
         hit = F.coalesce(free["iou"] >= t, F.lit(False))
-        return F.array_append(done, F.struct(p["idx"].alias("idx"), F.when(hit, free["idx"]).otherwise(F.lit(-1)).alias("gt"), F.when(hit, free["iou"]).otherwise(F.lit(0.0)).alias("iou")))
+        own = F.struct(p["idx"].alias("idx"), F.when(hit, free["idx"]).otherwise(F.lit(-1)).alias("gt"), F.when(hit, free["iou"]).otherwise(F.lit(0.0)).alias("iou"))
+        return F.struct(F.array_append(s["done"], own).alias("done"), F.when(hit, F.array_append(s["used"], free["idx"])).otherwise(s["used"]).alias("used"))
 
-    return F.aggregate(preds, F.array().cast(TAKEN), step)
+    return F.aggregate(preds, start, step, lambda s: s["done"])
 
 
 def nms(rows: DataFrame, threshold: float, conf: float = 0.0, area: float = 0.0) -> DataFrame:
@@ -77,14 +127,14 @@ def matches(rows: DataFrame, threshold: float, conf: float = 0.0, nms_iou: float
 
 
 def evaluated(rows: DataFrame, grid: DataFrame, match_iou: float = 0.5) -> DataFrame:
-    """image columns, grid columns, tp, fp, fn: every image under every setting (conf, nms_iou, min_area, min_edge).
+    """image columns, grid columns, n_selected, n_gt, n_kept, tp, fp, fn: every image under every setting (conf, nms_iou, min_area, min_edge).
 
     The grid is a bounded relation of parameters and is broadcast; images are the rows that grow.
     """
-    keep = [c for c in rows.columns if c not in ("preds", "n_gt")]
+    keep = [c for c in rows.columns if c not in IN_ROW]
     wide = rows.repartition("image").crossJoin(F.broadcast(grid))
-    kept = wide.withColumn("kept", suppressed(selected(F.col("preds"), F.col("conf"), F.col("min_area"), F.col("min_edge")), F.col("nms_iou")))
-    return counted(kept, [*keep, *grid.columns], match_iou)
+    chosen = wide.withColumn("_chosen", selected(F.col("preds"), F.col("conf"), F.col("min_area"), F.col("min_edge"))).withColumn("n_selected", F.size("_chosen"))
+    return counted(chosen.withColumn("kept", suppressed(F.col("_chosen"), F.col("nms_iou"))), [*keep, *grid.columns, "n_selected"], match_iou)
 
 
 def counted(rows: DataFrame, columns: list[str], match_iou: float) -> DataFrame:
@@ -93,9 +143,17 @@ def counted(rows: DataFrame, columns: list[str], match_iou: float) -> DataFrame:
     return done.select(*columns, "n_gt", F.size("kept").alias("n_kept"), "tp", (F.size("kept") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
 
 
+def grid_totals(done: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of evaluated() over images, with gt, selected_predictions and kept_predictions, then rates."""
+    from .metrics import with_rates
+
+    named = {"gt": "n_gt", "selected_predictions": "n_selected", "kept_predictions": "n_kept", "tp": "tp", "fp": "fp", "fn": "fn"}
+    return with_rates(done.groupBy(*by).agg(*(F.sum(c).cast("long").alias(k) for k, c in named.items())))
+
+
 def swept(rows: DataFrame, grid: DataFrame, match_iou: float = 0.5) -> DataFrame:
     """As ``evaluated``, without suppression, under a grid of conf, min_area and max_area; it holds no setting of min_area over max_area."""
-    keep = [c for c in rows.columns if c not in ("preds", "n_gt")]
+    keep = [c for c in rows.columns if c not in IN_ROW]
     wide = rows.repartition("image").crossJoin(F.broadcast(grid.filter("min_area <= max_area")))
     return counted(wide.withColumn("kept", selected(F.col("preds"), F.col("conf"), F.col("min_area"), -1.0, F.col("max_area"))), [*keep, *grid.columns], match_iou)
 

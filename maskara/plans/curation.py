@@ -148,13 +148,7 @@ FUSED_NAMES = f"WITH {views.ASSETS} SELECT image, source || '_' || lpad(n::VARCH
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, t = views.preds(spark, sf_dir), views.truths(spark, sf_dir)
-    one = spark.createDataFrame([(evaluation.CONF, 1.0, 0.0, -1.0)], "conf double, nms_iou double, min_area double, min_edge double")
-    from ..operators import matching
-
-    done = matching.evaluated(views.image_rows(spark, sf_dir), one)
-    un = pairs.best_per_gt(t, p, pairs.pred_gt(p, t)).filter("NOT reachable").groupBy("image").agg(F.count("*").alias("unreachable"))
-    rows = done.join(un, "image", "left").select("image", F.col("n_gt").alias("gt"), "fp", "fn", F.coalesce("unreachable", F.lit(0)).alias("unreachable"), F.col("image").alias("seq"))
+    rows = curate.error_counts(views.image_rows(spark, sf_dir), evaluation.CONF, evaluation.MATCH_IOU).withColumn("seq", F.col("image"))
     return curate.review_queue(rows, 50).select("image", "gt", "fp", "fn", "unreachable", "score", "action")
 
 
@@ -168,11 +162,14 @@ REVIEW_QUEUE = _QUEUE + f" SELECT *, CASE WHEN unreachable >= 2 THEN {_A[0]} WHE
 
 
 def instance_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, t = views.preds(spark, sf_dir), views.truths(spark, sf_dir)
-    best = pairs.best_per_gt(t, p, pairs.pred_gt(p, t)).select("image", "idx", F.when(F.col("reachable"), "True").otherwise("False").alias("reachable"))
-    rows = t.join(best, ["image", "idx"], "left").withColumn("edge", F.col("edge") <= 0.02)
+    from ..operators import matching
+
+    each = views.image_rows(spark, sf_dir).select("image", F.explode(matching.best_of_truths(F.col("preds"), F.col("truths"))).alias("t"))
+    side = lambda lo, hi: (F.col(f"t.shape.{hi}") - F.col(f"t.shape.{lo}")) / 40
+    reachable = F.when(F.coalesce("t.best.iou", F.lit(0.0)) >= evaluation.MATCH_IOU, "True").otherwise("False")
+    rows = each.select("image", "t.idx", "t.area", (F.col("t.edge") <= 0.02).alias("edge"), side("x0", "x1").alias("box_w"), side("y0", "y1").alias("box_h"), reachable.alias("reachable"))
     queued = F.broadcast(review_queue(spark, sf_dir).select("image", F.lit(True).alias("queued")))  # 50 rows
-    rows = rows.join(queued, "image", "left").withColumn("queued", F.coalesce("queued", F.lit(False))).withColumn("box_w", (F.col("x1") - F.col("x0")) / 40).withColumn("box_h", (F.col("y1") - F.col("y0")) / 40)
+    rows = rows.join(queued, "image", "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
     return curate.instance_priority(rows, 0.09, 0.06).select("image", "idx", "priority", "suggestion")
 
 

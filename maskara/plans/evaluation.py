@@ -190,16 +190,7 @@ SELECT source, images, tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 6) AS precision
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per unmatched prediction (FP) and truth (FN): image, source, type, idx, best partner, cause of a miss."""
-    p, t = views.preds(spark, sf_dir), views.truths(spark, sf_dir)
-    over = pairs.pred_gt(p, t)
-    met = matching.matches(views.image_rows(spark, sf_dir, CONF), MATCH_IOU, CONF)
-    chosen = pairs.best_partner(p.filter(F.col("conf") >= CONF).select("image", "source", "idx"), over, "p_idx", "g_idx", "best")
-    fp = chosen.join(met.filter("gt < 0").select("image", "idx"), ["image", "idx"], "left_semi").select("image", "source", F.lit("FP").alias("type"), "idx", "best_idx", "best_iou", F.lit("").alias("cause"))
-    missed = pairs.best_per_gt(t, p, over, MATCH_IOU).join(met.filter("gt >= 0").select("image", F.col("gt").alias("idx")), ["image", "idx"], "left_anti")
-    missed = missed.join(p.select("image", F.col("idx").alias("best_idx"), F.col("area").alias("best_area")), ["image", "best_idx"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    cause = curate.miss_cause(F.col("best_iou"), zero("best_conf"), zero("best_area"), MATCH_IOU, CONF, ERROR_AREA)
-    return fp.unionByName(missed.select("image", "source", F.lit("FN").alias("type"), "idx", "best_idx", "best_iou", cause.alias("cause")))
+    return curate.errors(views.image_rows(spark, sf_dir), CONF, MATCH_IOU, ERROR_AREA)
 
 
 def error_table(spark: SparkSession, sf_dir: str) -> DataFrame:

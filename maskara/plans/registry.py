@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, evaluation, sweeps
+from . import curation, evaluation, masking, sweeps
 
 FLAGSHIP = "grid_metrics"
-MODULES = (evaluation, curation, sweeps)
+MODULES = (evaluation, curation, sweeps, masking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

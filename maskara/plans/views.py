@@ -15,16 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, idx, gt, model, conf, source, area, edge and an integer box of every line item; idx numbers an image's rows."""
-    t = table(spark, sf_dir, "lineitem")
+    t = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image")  # first, so that later steps find its partitioning
     n = F.col("l_quantity").cast("int")
     x0, y0 = (F.col("l_partkey") % 12).cast("int"), (F.col("l_suppkey") % 12).cast("int")
     rows = t.select(
-        F.col("l_orderkey").alias("image"),
-        (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)) - 1).cast("int").alias("idx"),
+        "image",
+        (F.row_number().over(Window.partitionBy("image").orderBy(*ORDER)) - 1).cast("int").alias("idx"),
         (F.col("l_linestatus") == "F").alias("gt"),
         F.col("l_returnflag").alias("model"),
         (((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729) % 1000) / 1000.0).alias("conf"),
-        F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("l_orderkey") % 4 + 1).cast("int")).alias("source"),
+        F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("image") % 4 + 1).cast("int")).alias("source"),
         x0.alias("x0"), y0.alias("y0"), (x0 + 8 + n % 16).alias("x1"), (y0 + 8 + n % 13).alias("y1"),
     )
     area = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) / 1600.0
@@ -65,12 +65,56 @@ def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_rows(spark: SparkSession, sf_dir: str, least: float = 0.0, form=None) -> DataFrame:
-    """preds (those of the least confidence that any setting asks for) and truths of each image as module ``matching``, or another form, wants them."""
-    from ..operators import matching, pairs
+    """Predictions (of the least confidence that any setting asks for) and truths of each image, as module ``matching`` or another form wants them."""
+    from ..operators import masks, matching
 
-    p, g = preds(spark, sf_dir).filter(F.col("conf") >= least), truths(spark, sf_dir)
-    images = instances(spark, sf_dir).select("image", "source").distinct()
-    return (form or matching.per_image)(images, p, g, pairs.pred_gt(p, g), pairs.pred_pred(p))
+    rows = instances(spark, sf_dir).withColumn("shape", masks.box())
+    return (form or matching.of_lists)(matching.gathered(rows, least, "source"), masks.shared_box)
+
+
+#: Pixels of a grid step and the side of the raster that outlines are drawn on.
+STEP = 3
+SIDE = 40 * STEP + 1
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """instances() as polygons: their boxes with corners cut at 45 degrees, each by its own steps, in 0..1."""
+    i = instances(spark, sf_dir).drop("area", "edge")
+    cut = [F.pmod(F.col("image") * (k + 3) + F.col("idx") * (2 * k + 1), F.lit(4)).cast("int") for k in range(4)]
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    ring = [(x0 + cut[0], y0), (x1 - cut[1], y0), (x1, y0 + cut[1]), (x1, y1 - cut[2]), (x1 - cut[2], y1), (x0 + cut[3], y1), (x0, y1 - cut[3]), (x0, y0 + cut[0])]
+    return i.withColumn("points", F.array(*(F.struct((x / 40).alias("x"), (y / 40).alias("y")) for x, y in ring)))
+
+
+def masked(spark: SparkSession, sf_dir: str, least: float = 0.0) -> DataFrame:
+    """outlines() that take part, with their masks."""
+    from ..operators import masks
+
+    return masks.with_masks(outlines(spark, sf_dir).filter(F.col("gt") | (F.col("conf") >= least)), SIDE)
+
+
+def mask_rows(spark: SparkSession, sf_dir: str, least: float = 0.0, form=None) -> DataFrame:
+    """As image_rows(), with overlaps of masks."""
+    from ..operators import masks, matching
+
+    return (form or matching.of_lists)(matching.gathered(masked(spark, sf_dir, least), least, "source"), masks.shared)
+
+
+_CUT = [f"((image * {k + 3} + idx * {2 * k + 1}) % 4)::INT" for k in range(4)]
+#: Rows of pixels of each outline: one span each, as the corners cut are as wide as high.
+MASKS = f"""
+cutted AS (SELECT *, {STEP} * {_CUT[0]} AS c0, {STEP} * {_CUT[1]} AS c1, {STEP} * {_CUT[2]} AS c2, {STEP} * {_CUT[3]} AS c3 FROM inst),
+span AS (SELECT image, idx, y, {STEP} * x0 + greatest(c0 - (y - {STEP} * y0), c3 - ({STEP} * y1 - y), 0) AS a, {STEP} * x1 - greatest(c1 - (y - {STEP} * y0), c2 - ({STEP} * y1 - y), 0) AS b
+  FROM (SELECT *, unnest(range({STEP} * y0, {STEP} * y1 + 1)) AS y FROM cutted)),
+mask AS (SELECT i.* EXCLUDE (area, edge, n), s.n, s.n / {SIDE * SIDE}.0::DOUBLE AS area, least(x0 / 40.0::DOUBLE, y0 / 40.0::DOUBLE, 1 - x1 / 40.0::DOUBLE, 1 - y1 / 40.0::DOUBLE) AS edge FROM inst i JOIN (SELECT image, idx, sum(b - a + 1)::BIGINT AS n FROM span GROUP BY image, idx) s ON s.image = i.image AND s.idx = i.idx),
+both_ AS (SELECT q.image, q.p_idx, q.g_idx, sum(greatest(least(p.b, g.b) - greatest(p.a, g.a) + 1, 0))::BIGINT AS inter FROM (
+    SELECT a.image, a.idx AS p_idx, b.idx AS g_idx FROM inst a JOIN inst b ON b.image = a.image AND (a.idx < b.idx OR b.gt AND NOT a.gt) AND NOT a.gt AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1) q
+  JOIN span p ON p.image = q.image AND p.idx = q.p_idx JOIN span g ON g.image = q.image AND g.idx = q.g_idx AND g.y = p.y GROUP BY q.image, q.p_idx, q.g_idx),
+over_ AS (SELECT o.image, o.p_idx, o.g_idx, o.inter, o.inter::DOUBLE / (p.n + g.n - o.inter) AS iou, g.gt FROM both_ o JOIN mask p ON p.image = o.image AND p.idx = o.p_idx JOIN mask g ON g.image = o.image AND g.idx = o.g_idx WHERE o.inter > 0)"""
+#: The same names as INST has, of masks.
+MASK_INST = INST[: INST.index(", pred AS (")] + "," + MASKS + """,
+pred AS (SELECT * FROM mask WHERE NOT gt), truth AS (SELECT * FROM mask WHERE gt), pair AS (SELECT image, p_idx, g_idx, iou FROM over_ WHERE gt),
+near AS (SELECT image, p_idx AS a_idx, g_idx AS b_idx, iou FROM over_ WHERE NOT gt)"""
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
