@@ -37,6 +37,8 @@ from .store import bounded_batches, cut, free, scratch
 LENGTH = 400
 #: Bytes of an anchor, windows of a block, bytes of texts and windows of a long one that are looked at together.
 ANCHOR, BLOCK, SLICE = LENGTH // 2, 16, 1 << 20
+#: Buckets of text hashes: texts outside those of interest stay where they are, others are shuffled and joined exactly.
+BUCKETS = 1 << 21
 _PLACE = np.uint64((1 << 21) - 1)
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -249,6 +251,15 @@ def _same(a: str, b: str, *names: str):
     return out
 
 
+def _buckets(ids: DataFrame) -> DataFrame:
+    """The buckets that the hashes ``th`` of some texts fall into: BUCKETS rows at most, so they may be broadcast. What is in none of them isn't meant."""
+    return F.broadcast(ids.select(F.pmod("th", F.lit(BUCKETS)).alias("bucket")).distinct())
+
+
+def _among(th: str, buckets: DataFrame):
+    return F.pmod(F.col(th), F.lit(BUCKETS)) == buckets["bucket"]
+
+
 def repeated_windows(docs: DataFrame, size: int = SLICE) -> DataFrame:
     """docs (doc_id, th: a hash of the text, text) -> doc_id, th, start, windows: ranges of windows of LENGTH bytes that are repeated."""
     spark = docs.sparkSession
@@ -263,7 +274,8 @@ def repeated_windows(docs: DataFrame, size: int = SLICE) -> DataFrame:
     ranges = "doc_id", "th", "start", "windows"
     whole, members = _settled(spans, *ranges, "anchor")
     lists = cut(members.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor", "key", "n")).alias("at")))
-    joined = docs.alias("d").join(lists.hint("shuffle_hash").alias("m"), _same("d", "m", "th")).select("d.doc_id", "d.th", F.col("d.text").cast("binary").alias("text"), "m.at")
+    buckets = _buckets(lists)
+    joined = docs.join(buckets, _among("th", buckets), "left_semi").alias("d").join(lists.hint("shuffle_hash").alias("m"), _same("d", "m", "th")).select("d.doc_id", "d.th", F.col("d.text").cast("binary").alias("text"), "m.at")
     data = cut(joined.mapInArrow(units.tidy(_members), f"{ids}, windows long, anchor long, key long, n long, data binary"))
     blocks = cut(data.mapInArrow(_blocks, f"{ids}, low long, high long, key long, content long, n long"))
     anchors = data.select("doc_id", "th", "start", "anchor")
@@ -309,9 +321,13 @@ def remove_repeats(docs: DataFrame, at: str, size: int = SLICE) -> DataFrame:
     body, th = F.coalesce(F.col("text"), F.lit("")), free(docs, "_th")
     found = repeated_windows(docs.select("doc_id", F.xxhash64(body).alias("th"), body.alias("text")), size)
     found = cut(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("r")).select("doc_id", "th", F.col("r.start").alias("s"), F.col("r.windows").alias("w")))
-    marked = docs.withColumn(th, F.xxhash64(body)).alias("d")
-    joined = marked.join(found.hint("shuffle_hash").alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col(f"d.{th}") == F.col("m.th")), "left")
-    return joined.select("d.*", _kept(F.col("d.text").cast("binary"), F.col("m.s"), F.col("m.w")).alias(at)).drop(th)
+    marked, buckets = docs.withColumn(th, F.xxhash64(body)), _buckets(found)
+    whole = marked.join(buckets, _among(th, buckets), "left_anti")
+    n = lambda v: v.cast("long")
+    whole = whole.withColumn(at, F.struct(n(F.octet_length(body)).alias("n_bytes"), n(F.lit(0)).alias("n_removed"), n(F.lit(0)).alias("n_spans"), body.cast("binary").alias("kept"))).drop(th)
+    some = marked.join(buckets, _among(th, buckets), "left_semi").alias("d")
+    joined = some.join(found.hint("shuffle_hash").alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col(f"d.{th}") == F.col("m.th")), "left")
+    return whole.unionByName(joined.select("d.*", _kept(F.col("d.text").cast("binary"), F.col("m.s"), F.col("m.w")).alias(at)).drop(th))
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
