@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import raster
+from .order import cut, numbered
 
 PRIORITY = ("test", "val", "train")
 
@@ -49,90 +50,183 @@ def shared_keys(assets: DataFrame, a: str, b: str, key: str) -> DataFrame:
     return side(a).intersect(side(b))
 
 
-def vectors_of(images: DataFrame, coarse: int = 16, fine: int = 128) -> DataFrame:
-    """split, key, pixels (gray, fine x fine bytes) -> coarse (eight turns of a unit vector) for comparison."""
+#: Sides of the coarse and the full image; rows of a block on each side; width of a cell on each measure; the measures that cells are made of, by their
+#: frequencies.
+COARSE, FINE = 16, 128
+BLOCK_ROWS, CELL = 512, 0.25
+MEASURES = ((0, 1), (1, 1), (0, 2), (1, 2))
 
-    def shrink(batches):
-        step = fine // coarse
-        for batch in batches:
-            out = []
-            for raw in batch.column("pixels").to_pylist():
-                small = np.frombuffer(raw, dtype=np.uint8).reshape(fine, fine).astype(float).reshape(coarse, step, coarse, step).mean((1, 3))
-                out.append([raster.unit(v).tolist() for v in raster.d4(small)])
-            yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("key"), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["split", "key", "turns"])
 
-    return images.select("split", "key", "pixels").mapInArrow(shrink, "split string, key string, turns array<array<double>>")
+def _waves(n: int) -> np.ndarray:
+    """Orthonormal cosines [frequency, place]."""
+    k, x = np.arange(n)[:, None], np.arange(n)[None]
+    return np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n)) * np.cos(np.pi * k * (2 * x + 1) / (2 * n))
+
+
+def turn_places(n: int = COARSE) -> np.ndarray:
+    """[turn, place]: where each place of a turned image comes from, by the order of ``raster.d4``."""
+    return np.stack([v.ravel() for v in raster.d4(np.arange(n * n).reshape(n, n))])
+
 
+def measures(small: np.ndarray) -> np.ndarray:
+    """Of unit images [row, n, n], a length for each pair of frequencies in MEASURES. A turn or a mirror swaps the two frequencies or flips signs, so it
+    leaves them as they are; and as lengths of orthogonal parts they differ by no more than the images do."""
+    waves = _waves(small.shape[1])
+    a = waves @ small @ waves.T
+    return np.stack([np.sqrt(a[:, i, j] ** 2 + (a[:, j, i] ** 2 if i != j else 0)) for i, j in MEASURES], 1)
 
-def perceptual_pairs(images: DataFrame, coarse_at_least: float = 0.995, confirm_at_least: float = 0.995, ssim_at_least: float = 0.96, planes: int = 12, fine: int = 128) -> DataFrame:
-    """split, key, pixels -> near-duplicate pairs of different splits with the turn that fits best.
 
-    Candidates come from signs of random projections of the coarse vectors: of unit vectors with correlation c the angle
-    is acos(c), so at 0.995 each sign differs with a chance of about 3 %. A vector and each turn of another are cut into four bands
-    of three signs; equal bands are a join. Candidates are then measured exactly: coarse correlation, then the same turn's at
-    full size, then structural similarity.
+def classes_of(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """split, key, pixels (gray, FINE x FINE bytes) -> (the image of smallest key of each split and content, with its pixels; split, key and rep, that key, of
+    every image)."""
+    seen = images.withColumn("content", F.sha2("pixels", 256))
+    first = seen.groupBy("split", "content").agg(F.min("key").alias("rep"))
+    members = seen.select("split", "content", "key").join(first, ["split", "content"]).select("split", "key", "rep")
+    return images.join(first.select("split", F.col("rep").alias("key")), ["split", "key"], "left_semi").dropDuplicates(["split", "key"]), members
+
+
+def coarse_vectors(images: DataFrame) -> DataFrame:
+    """split, key, pixels -> split, key, v (the coarse image less its mean, over its length), m (its measures). An image of one shade has no
+    direction and gives no row."""
+
+    def shrink(batches):
+        step = FINE // COARSE
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column("pixels").to_pylist()), dtype=np.uint8).reshape(-1, COARSE, step, COARSE, step)
+            small = raw.mean((2, 4)).reshape(batch.num_rows, -1)
+            small -= small.mean(1, keepdims=True)
+            length = np.linalg.norm(small, axis=1)
+            ok = length > np.finfo(np.float64).eps
+            small = small[ok] / length[ok, None]
+            m = measures(small.reshape(-1, COARSE, COARSE))
+            keep = pa.array(np.flatnonzero(ok))
+            lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (small, m))
+            yield pa.RecordBatch.from_arrays([batch.column("split").take(keep), batch.column("key").take(keep), *lists], names=["split", "key", "v", "m"])
+
+    return images.select("split", "key", "pixels").mapInArrow(shrink, "split string, key string, v array<double>, m array<double>")
+
+
+def coarse_pairs(vectors: DataFrame, at_least: float = 0.995, block: int = BLOCK_ROWS, cell: float = CELL) -> DataFrame:
+    """a_split, a_key, b_split, b_key, turn, coarse of all images of different splits (a's before b's in train, val, test) that fit at that correlation under
+    the best turn of b; of equals the first turn.
+
+    Unit images of correlation c lie sqrt(2 - 2c) apart, and so no measure differs by more. Images of the side a lie in one cell of the
+    measures, those of b in all cells within that distance, so a pair that fits meets in exactly one. A cell is compared in blocks of about
+    ``block`` rows on each side, by products of matrices, each block pair in a task of its own; only what fits leaves it.
     """
-    rows = vectors_of(images)
-    rng = np.random.default_rng(1)
-    basis = [[float(x) for x in v] for v in rng.normal(size=(planes, 256))]
-    width = planes // 4
-
-    def bands(v: Column) -> Column:
-        signs = [(F.aggregate(F.zip_with(v, F.array(*map(F.lit, b)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0).cast("int") for b in basis]
-        return F.array(*(F.concat_ws("", F.lit(str(i)), F.lit(":"), *signs[i * width : (i + 1) * width]) for i in range(4)))
-
-    left = rows.select(F.col("split").alias("a_split"), F.col("key").alias("a_key"), F.element_at("turns", 1).alias("a"))
-    right = rows.select(F.col("split").alias("b_split"), F.col("key").alias("b_key"), F.posexplode("turns").alias("turn", "b"))
-    met = left.withColumn("band", F.explode(bands(F.col("a")))).join(right.withColumn("band", F.explode(bands(F.col("b")))), "band").filter("a_split < b_split").drop("band").dropDuplicates(["a_split", "a_key", "b_split", "b_key", "turn"])
-    coarse = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    best = met.withColumn("coarse", coarse).filter(F.col("coarse") >= coarse_at_least).groupBy("a_split", "a_key", "b_split", "b_key").agg(F.max(F.struct("coarse", (-F.col("turn")).alias("m"))).alias("t"))
+    reach = float(np.sqrt(max(2 - 2 * at_least, 0.0))) + 1e-9
+    place = F.array_position(F.array(*map(F.lit, reversed(PRIORITY))), F.col("split"))
+    rows = vectors.withColumn("side", place).filter("side > 0")
+    at = lambda k, by: F.floor((F.get("m", F.lit(k)) + F.lit(by)) / F.lit(cell)).cast("int")
+    n = len(MEASURES)
+    a = rows.filter(F.col("side") < len(PRIORITY)).withColumn("cell", F.array(*(at(k, 0.0) for k in range(n))))
+    b = rows.filter("side > 1")
+    for k in range(n):
+        b = b.withColumn(f"_c{k}", F.explode(F.sequence(at(k, -reach), at(k, reach))))
+    b = b.withColumn("cell", F.array(*(F.col(f"_c{k}") for k in range(n)))).drop(*(f"_c{k}" for k in range(n)))
+    sizes = lambda x, name: x.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    shape = cut(sizes(a, "na").join(sizes(b, "nb"), "cell"))  # blocks of each cell that has both sides
+
+    def dealt(x: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        part = x.join(shape, "cell").withColumn(i, F.pmod(F.xxhash64("split", "key"), F.col(own)).cast("int"))
+        return part.withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", "i", "j", *(F.col(c).alias(c) for c in ("split", "key", "side", "v")))  # columns of its own, as both sides are of one table
+
+    turns = turn_places()
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["a_split", "a_key", "b_split", "b_key", "turn", "coarse"]
+        if not x.num_rows or not y.num_rows:
+            empty = [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64())]
+            return pa.Table.from_arrays(empty, names=names)
+        u, v = (np.stack(t.column("v").to_numpy()) for t in (x, y))
+        best, turn = np.full((len(u), len(v)), -np.inf), np.zeros((len(u), len(v)), dtype=np.int32)
+        for k, places in enumerate(turns):
+            fit = u @ v[:, places].T
+            better = fit > best
+            best[better], turn[better] = fit[better], k
+        p, q = np.nonzero((best >= at_least) & (x.column("side").to_numpy()[:, None] < y.column("side").to_numpy()[None]))
+        i, j = pa.array(p), pa.array(q)
+        columns = [t.column(c).take(at_).combine_chunks() for t, at_ in ((x, i), (y, j)) for c in ("split", "key")]
+        return pa.Table.from_arrays([*columns, pa.array(turn[p, q]), pa.array(best[p, q])], names=names)
+
+    left, right = (dealt(*z).groupBy("cell", "i", "j") for z in ((a, "na", "nb", "i", "j"), (b, "nb", "na", "j", "i")))
+    return left.cogroup(right).applyInArrow(compare, "a_split string, a_key string, b_split string, b_key string, turn int, coarse double")
+
+
+def confirmed(pairs: DataFrame, images: DataFrame, at_least: float = 0.995, ssim_at_least: float = 0.96) -> DataFrame:
+    """coarse_pairs() with confirm (correlation at full size under the same turn) and ssim, of those that reach both."""
     pixels = lambda p: images.select(F.col("split").alias(f"{p}_split"), F.col("key").alias(f"{p}_key"), F.col("pixels").alias(f"{p}_pixels"))
-    both = best.select("a_split", "a_key", "b_split", "b_key", F.col("t.coarse").alias("coarse"), (-F.col("t.m")).cast("int").alias("turn")).join(pixels("a"), ["a_split", "a_key"]).join(pixels("b"), ["b_split", "b_key"])
+    both = pairs.join(pixels("a"), ["a_split", "a_key"]).join(pixels("b"), ["b_split", "b_key"])
+    names = ["a_split", "a_key", "b_split", "b_key", "turn", "coarse"]
 
     def confirm(batches):
-        names = ["a_split", "a_key", "b_split", "b_key", "coarse", "turn"]
         for batch in batches:
             fit, alike = [], []
             for a, b, t in zip(batch.column("a_pixels").to_pylist(), batch.column("b_pixels").to_pylist(), batch.column("turn").to_pylist()):
-                x = np.frombuffer(a, dtype=np.uint8).reshape(fine, fine)
-                y = raster.d4(np.frombuffer(b, dtype=np.uint8).reshape(fine, fine))[t]
+                x = np.frombuffer(a, dtype=np.uint8).reshape(FINE, FINE)
+                y = raster.d4(np.frombuffer(b, dtype=np.uint8).reshape(FINE, FINE))[t]
                 fit.append(float(raster.unit(x) @ raster.unit(y)))
-                alike.append(raster.ssim(x, y) if fit[-1] >= confirm_at_least else 0.0)
+                alike.append(raster.ssim(x, y) if fit[-1] >= at_least else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fit, pa.float64()), pa.array(alike, pa.float64())], names=[*names, "confirm", "ssim"])
 
-    out = both.select("a_split", "a_key", "b_split", "b_key", "coarse", "turn", "a_pixels", "b_pixels").mapInArrow(confirm, "a_split string, a_key string, b_split string, b_key string, coarse double, turn int, confirm double, ssim double")
-    return out.filter((F.col("confirm") >= confirm_at_least) & (F.col("ssim") >= ssim_at_least))
+    out = both.select(*names, "a_pixels", "b_pixels").mapInArrow(confirm, "a_split string, a_key string, b_split string, b_key string, turn int, coarse double, confirm double, ssim double")
+    return out.filter((F.col("confirm") >= at_least) & (F.col("ssim") >= ssim_at_least))
+
+
+def perceptual_pairs(images: DataFrame, coarse_at_least: float = 0.995, confirm_at_least: float = 0.995, ssim_at_least: float = 0.96) -> DataFrame:
+    """split, key, pixels -> near-duplicate pairs of different splits, with the turn of b that fits best: candidates by the coarse image, all of them, then
+    measured at full size. Copies of one content in a split stand for each other: pairs name the smallest key of each, ``classes_of`` the rest."""
+    first, _ = classes_of(images)
+    first = cut(first)
+    return confirmed(coarse_pairs(coarse_vectors(first), coarse_at_least), first, confirm_at_least, ssim_at_least)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Edges (a, b) of strings -> (node, root), root the smallest node reached: labels spread along edges until none changes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    now = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node").persist()
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of strings -> (node, root), root the smallest node reached: labels spread along edges, and to what their root knows, until none changes."""
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
+    while True:
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
         step = now.join(near, "node").select("node", F.least("root", "seen").alias("root"), (F.col("seen") < F.col("root")).alias("moved"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = step.join(jump, "root", "left").select("node", F.coalesce("above", "root").alias("root"), "moved").persist()
-        if not step.filter("moved").limit(1).count():
-            break
+        step = cut(step.join(jump, "root", "left").select("node", F.coalesce("above", "root").alias("root"), "moved"))
         now = step.select("node", "root")
-    return now
+        if not step.filter("moved").limit(1).count():
+            return now
 
 
-def prioritized(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def prioritized(rows: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """rows (split, key, scene) with removed and group: in each component of pairs the split of highest priority stays, and the others
-    lose the whole scene of each member within their split; group is the number of the component, in order."""
+    lose the whole scene of each member within their split; group is the number of the component, in order.
+
+    Where pairs name one image of each content, members (split, key, rep: ``classes_of``) brings its copies into the component.
+    """
     node = lambda s, k: F.concat_ws("\0", s, k)
     found = components(pairs.select(node("a_split", "a_key").alias("a"), node("b_split", "b_key").alias("b")))
-    names = found.select("root").distinct().withColumn("group", F.format_string("d4_group_%04d", F.row_number().over(Window.orderBy("root"))))
-    members = found.join(names, "root").select(F.substring_index("node", "\0", 1).alias("split"), F.substring_index("node", "\0", -1).alias("key"), "group")
+    names = numbered(found.select("root").distinct(), ["root"], "_n").select("root", F.format_string("d4_group_%04d", F.col("_n") + 1).alias("group"))
+    own = found.join(names, "root").select(F.substring_index("node", "\0", 1).alias("split"), F.substring_index("node", "\0", -1).alias("key"), "group")
+    own = own if members is None else members.join(own.withColumnRenamed("key", "rep"), ["split", "rep"]).select("split", "key", "group")
     rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("split"))
-    losers = members.withColumn("rank", rank).withColumn("best", F.min("rank").over(Window.partitionBy("group"))).filter("rank > best")
+    best = own.groupBy("group").agg(F.min(rank).alias("best"))
+    losers = own.join(best, "group").filter(rank > F.col("best"))
     scenes = losers.join(rows, ["split", "key"]).groupBy("split", "scene").agg(F.min("group").alias("scene_group"))
-    out = rows.join(members, ["split", "key"], "left").join(scenes, ["split", "scene"], "left")
+    out = rows.join(own, ["split", "key"], "left").join(scenes, ["split", "scene"], "left")
     return out.withColumn("removed", F.col("scene_group").isNotNull()).withColumn("group", F.coalesce("group", "scene_group")).drop("scene_group")
 
 
+def check_priority(done: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> None:
+    """Stops where prioritized() rows lose an image of the first split, or keep both sides of a pair."""
+    if done.filter(F.col("removed") & (F.col("split") == PRIORITY[0])).limit(1).count():
+        raise ValueError(f"an image of {PRIORITY[0]} would be removed")
+    kept = done.filter("NOT removed").select("split", "key")
+    kept = kept if members is None else members.join(kept, ["split", "key"], "left_semi").select("split", F.col("rep").alias("key")).distinct()
+    both = pairs
+    for p in "ab":
+        both = both.join(kept.select(F.col("split").alias(f"{p}_split"), F.col("key").alias(f"{p}_key")), [f"{p}_split", f"{p}_key"], "left_semi")
+    if both.limit(1).count():
+        raise ValueError("pairs remain between splits")
+
+
 def duplicate_semantics(assets: DataFrame) -> DataFrame:
     """Hashes whose copies differ in size (dimension_conflict) or in their polygons' signatures (label_conflict)."""
     per = assets.groupBy("sha256").agg(F.count("*").alias("n"), F.count_distinct("width", "height").alias("sizes"), F.count_distinct("polygons").alias("labels")).filter("n > 1")

@@ -34,13 +34,13 @@ def per_image(images: DataFrame, preds: DataFrame, gts: DataFrame, pairs: DataFr
     return images.join(n, "image", "left").join(lists, "image", "left").select(*images.columns, F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("preds", F.array().cast(RANKED)).alias("preds"))
 
 
-def gathered(rows: DataFrame, least: float = 0.0, *keep: str) -> DataFrame:
+def gathered(rows: DataFrame, least: float = 0.0, *keep: str, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per image, by one shuffle of what takes part: its ``keep`` columns, ``p`` (predictions of that confidence or more, in
-    order of rank) and ``t`` (truths by idx).
+    order of rank, with the columns ``also``) and ``t`` (truths by idx).
 
     rows: image, idx, gt, model, conf, area, edge, shape, and columns that an image's rows share. A prediction without a confidence takes no part.
     """
-    p = F.when(~F.col("gt") & (F.col("conf") >= least), F.struct((-F.col("conf")).alias("m"), "idx", "conf", "model", "area", "edge", "shape"))
+    p = F.when(~F.col("gt") & (F.col("conf") >= least), F.struct((-F.col("conf")).alias("m"), "idx", "conf", "model", "area", "edge", "shape", *also))
     t = F.when(F.col("gt"), F.struct("idx", "area", "edge", "shape"))
     lists = (F.array_sort(F.collect_list(x)) for x in (p, t))
     return rows.groupBy("image").agg(*(F.min(c).alias(c) for c in keep), *(x.alias(n) for x, n in zip(lists, "pt")))
@@ -88,7 +88,7 @@ def suppressed(preds: Column, threshold) -> Column:
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
 
     def step(kept, p):
-        hit = F.exists(F.coalesce(p["near"], F.array().cast("array<struct<rank: int, iou: double>>")), lambda z: (z["iou"] > t) & F.array_contains(kept, z["rank"]))
+        hit = F.coalesce(F.exists(p["near"], lambda z: (z["iou"] > t) & F.array_contains(kept, z["rank"])), F.lit(False))
         return F.when(hit, kept).otherwise(F.array_append(kept, p["rank"]))
 
     kept = F.aggregate(preds, F.array().cast("array<int>"), step)
@@ -256,8 +256,10 @@ def coco_hits(preds: Column, threshold: Column, most: int = 100) -> Column:
 
 
 def coco_matches(rows: DataFrame, thresholds: DataFrame, most: int = 100) -> DataFrame:
-    """per_image() rows x thresholds -> threshold, image, conf, hit."""
-    return rows.crossJoin(F.broadcast(thresholds)).select("threshold", "image", F.explode(coco_hits(F.col("preds"), F.col("threshold"), most)).alias("h")).select("threshold", "image", "h.conf", "h.hit")
+    """per_image() rows x thresholds -> threshold, image, rank (from 1), conf, hit. As matching goes by falling confidence, the first k of an
+    image's detections are matched alike whatever comes after them."""
+    hits = rows.crossJoin(F.broadcast(thresholds)).select("threshold", "image", F.posexplode(coco_hits(F.col("preds"), F.col("threshold"), most)).alias("at", "h"))
+    return hits.select("threshold", "image", (F.col("at") + 1).alias("rank"), "h.conf", "h.hit")
 
 
 def packed_iou(a: np.ndarray, b: np.ndarray) -> float:

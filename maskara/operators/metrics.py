@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -94,6 +95,41 @@ def average_precisions(hits: DataFrame, n_gt: int, points: int = 101) -> DataFra
     return parts.groupBy("threshold").agg((F.sum(F.col("best") * F.col("held")) / points).alias("ap"), F.max("recall").alias("ar"))
 
 
+#: Where average precision is taken, and the numbers of detections an image may have for average recall.
+RECALLS = tuple(float(x) for x in np.linspace(0.0, 1.0, 101))
+MOST_DETECTIONS = (1, 10, 100)
+
+
+def reached(recall: Column) -> Column:
+    """How many of RECALLS (the numbers as they are stored, not multiples of 1/100) are at or below it, less one."""
+    at, k = F.array(*map(F.lit, RECALLS)), F.least(F.floor(recall * (len(RECALLS) - 1)).cast("int"), F.lit(len(RECALLS) - 1))
+    return F.when((k < len(RECALLS) - 1) & (F.get(at, k + 1) <= recall), k + 1).when(F.get(at, k) > recall, k - 1).otherwise(k)
+
+
+def coco_summary(hits: DataFrame, n_gt: int, thresholds: tuple[float, ...], buckets: int = 64) -> DataFrame:
+    """threshold, conf, image, rank, hit of each detection -> one row: ap (mean over thresholds), ap50, ap75, ar1, ar10, ar100. All 0 without a truth.
+
+    Detections enter one by one, by falling confidence, then image and rank, so ties keep their order. Running totals are by threshold and range of
+    confidence: what stands in the ranges before is added up first. Of the curve, only the best precision at each of RECALLS goes on.
+    """
+    n = max(n_gt, 1)
+    cuts = sorted(set(hits.agg(F.percentile_approx("conf", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
+    rows = hits.withColumn("_b", sum(((F.col("conf") < c).cast("int") for c in cuts), F.lit(0)))
+    each = rows.groupBy("threshold", "_b").agg(F.count_if("hit").alias("_tp"), F.count("*").alias("_n"))
+    ahead = Window.partitionBy("threshold").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = each.select("threshold", "_b", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("_tp", "_n")))
+    inside = Window.partitionBy("threshold", "_b").orderBy(F.desc("conf"), "image", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    curve = rows.join(F.broadcast(before), ["threshold", "_b"]).withColumn("tp", F.sum(F.col("hit").cast("long")).over(inside) + F.col("_tp")).withColumn("n", F.count("*").over(inside) + F.col("_n"))
+    best = curve.filter("hit").groupBy("threshold", reached(F.col("tp") / n).alias("k")).agg(F.max(F.col("tp") / F.col("n")).alias("precision"))  # a row a recall at most
+    right, before_k = Window.partitionBy("threshold").orderBy("k").rowsBetween(0, Window.unboundedFollowing), F.lag("k").over(Window.partitionBy("threshold").orderBy("k"))
+    parts = best.withColumn("held", F.col("k") - F.coalesce(before_k, F.lit(-1))).withColumn("precision", F.max("precision").over(right))
+    ap = parts.groupBy("threshold").agg((F.sum(F.col("precision") * F.col("held")) / len(RECALLS)).alias("ap"))
+    at = lambda t: F.coalesce(F.max(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap"))), F.lit(0.0))
+    precision = ap.agg((F.coalesce(F.sum("ap"), F.lit(0.0)) / len(thresholds)).alias("ap"), at(0.5).alias("ap50"), at(0.75).alias("ap75"))
+    recall = hits.agg(*((F.count_if(F.col("hit") & (F.col("rank") <= m)) / F.lit(float(n * len(thresholds)))).alias(f"ar{m}") for m in MOST_DETECTIONS))
+    return precision.crossJoin(F.broadcast(recall))  # a row each
+
+
 def nearest_rank(values: Column, share: float) -> Column:
     """Of an array: the value at place min(n - 1, max(0, int(share * n) - 1)) in ascending order; 0 if empty."""
     ordered, n = F.array_sort(values), F.size(values)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sinks import label_line
+from .matching import met, suppressed
 from .metrics import with_rates
+from .order import small
 from .pairs import supported
 
 #: The policy of a source that has none: confidence, suppression IoU and least area.
@@ -19,6 +22,45 @@ def policy_of(rows: DataFrame, policies: DataFrame, default=DEFAULT_POLICY) -> D
     return out
 
 
+#: What an export does with a source that has no policy: confidence, area, support, support IoU, suppression IoU.
+EXPORT_DEFAULT = {"confidence_threshold": 0.4, "min_area_ratio": 0.0004, "min_support": 1, "support_iou_threshold": 0.35, "nms_iou_threshold": 0.3}
+#: Rows of policies that are broadcast; more are joined by source.
+FEW_POLICIES = 100_000
+
+
+def exported(lists: DataFrame, policies: DataFrame | None, shared, models: tuple[str, str], default: dict = EXPORT_DEFAULT) -> DataFrame:
+    """``matching.gathered`` rows (source, p with points) -> image, source, the policy that held, selected_a, selected_b, candidates, kept, kept_a, kept_b,
+    and labels: the text of the image's label file, empty where nothing is kept.
+
+    policies: source and the columns of EXPORT_DEFAULT; a source without a row goes by the default, and None is one policy for all. They
+    are values of the image's row, so thresholds differ from row to row in one plan. Support 2 asks for a candidate of the other model; suppression goes
+    by falling confidence, of equals model A's first.
+    """
+    rows = lists
+    if policies is not None:
+        rows = lists.join(small(policies.select("source", *(F.col(c).alias(f"_{c}") for c in default)), FEW_POLICIES), "source", "left")
+    rows = rows.select("image", "source", "p", *(F.coalesce(F.col(f"_{c}"), F.lit(v)).alias(c) if policies is not None else F.lit(v).alias(c) for c, v in default.items()))
+    place = lambda x: F.when(x["model"] == models[0], 0).otherwise(1)
+    able = F.filter("p", lambda x: x["model"].isin(*models) & (x["shape"]["n"] > 0) & (x["conf"] >= F.col("confidence_threshold")) & (x["area"] >= F.col("min_area_ratio")))
+    ordered = F.array_sort(F.transform(able, lambda x: F.struct(x["m"].alias("m"), place(x).alias("place"), x["idx"].alias("idx"), x["points"].alias("points"), x["shape"].alias("shape"))))
+    rows = rows.withColumn("s", ordered).withColumn("s", F.transform("s", lambda x, i: x.withField("rank", i + 1)))
+    over = lambda x: met(x, F.filter(F.col("s"), lambda y: y["rank"] != x["rank"]), shared, "rank", "place")
+    rows = rows.withColumn("s", F.transform("s", lambda x: F.struct(x["rank"].alias("rank"), x["place"].alias("place"), (-x["m"]).alias("conf"), x["points"].alias("points"), over(x).alias("near"))))
+    t = F.col("support_iou_threshold")
+    other = lambda x: F.exists(x["near"], lambda y: (y["place"] != x["place"]) & (y["iou"] >= t)) | ((t <= 0) & F.exists("s", lambda y: y["place"] != x["place"]))
+    rows = rows.withColumn("c", F.filter("s", lambda x: (F.col("min_support") != 2) | other(x)))
+    rows = rows.withColumn("k", suppressed(F.col("c"), F.col("nms_iou_threshold")))
+    count = lambda c, k: F.size(F.filter(c, lambda x: x["place"] == k))
+    line = lambda x: F.concat(label_line(x["points"], F.lit(0), x["conf"]), F.lit("\n"))
+    return rows.select("image", "source", *default, count("s", 0).alias("selected_a"), count("s", 1).alias("selected_b"), F.size("c").alias("candidates"), F.size("k").alias("kept"), count("k", 0).alias("kept_a"), count("k", 1).alias("kept_b"), F.array_join(F.transform("k", line), "").alias("labels"))
+
+
+def export_summary(manifest: DataFrame) -> DataFrame:
+    """exported() -> a row per source and one (source null, whole true) of all: images, selected, candidates and kept."""
+    sums = ("selected_a", "selected_b", "candidates", "kept", "kept_a", "kept_b")
+    return manifest.rollup("source").agg(F.count("*").alias("images"), *(F.sum(c).alias(c) for c in sums), (F.grouping("source") == 1).alias("whole"))
+
+
 def two_model_candidates(preds: DataFrame, pairs: DataFrame, conf: float, area: float, min_support: int, support_iou: float) -> DataFrame:
     """What suppression then works on: confident and large enough, and with min_support 2 only those that the other
     model supports; seq orders model A's before B's."""

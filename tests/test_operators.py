@@ -161,11 +161,63 @@ def test_perceptual(spark):
     turned, other = np.rot90(base, 1), np.kron(rng.integers(0, 255, (16, 16)), np.ones((8, 8))).astype(np.uint8)
     df = spark.createDataFrame([("test", "a", "sa", bytearray(base.tobytes())), ("train", "b", "sb", bytearray(np.ascontiguousarray(turned).tobytes())), ("train", "c", "sb", bytearray(other.tobytes())), ("val", "d", "sd", bytearray(other.tobytes()))], "split string, key string, scene string, pixels binary")
     found = leakage.perceptual_pairs(df)
-    assert {(r["a_key"], r["b_key"]) for r in found.collect()} == {("a", "b"), ("c", "d")}
+    assert {(r["a_key"], r["b_key"], r["turn"]) for r in found.collect()} == {("b", "a", 2), ("c", "d", 0)}  # train before test: it is the test image that is turned
     out = {r["key"]: r["removed"] for r in leakage.prioritized(df.select("split", "key", "scene"), found).collect()}
     assert out == {"a": False, "b": True, "c": True, "d": False}
 
 
+def test_perceptual_pairs_are_all(spark):
+    """Every pair that a comparison of all images finds, with its turn: planted near copies under all turns, at both sides of the threshold, in dense and
+    sparse cells, in blocks of two; copies of one content stand for each other; images of one shade fit nothing."""
+    from maskara.functions import raster
+
+    rng = np.random.default_rng(3)
+    grow = lambda x: np.kron(np.clip(x, 0, 255).astype(np.uint8), np.ones((8, 8), dtype=np.uint8))
+    base = [rng.integers(0, 256, (16, 16)) for _ in range(6)] + [np.add.outer(np.arange(16), np.arange(16)) * 8 + rng.integers(0, 3, (16, 16)) for _ in range(4)]
+    rows = []
+    for i, b in enumerate(base):
+        for j in range(8):
+            noise = rng.normal(0, rng.choice([0, 3, 6, 9, 12]), (16, 16))
+            rows.append((("train", "val", "test")[j % 3], f"{i:02d}_{j}", grow(raster.d4(b + noise)[(3 * j + i) % 8])))
+    rows += [("val", "copy", rows[0][2]), ("train", "copy", rows[0][2]), ("train", "copy2", rows[0][2]), ("train", "flat", grow(np.full((16, 16), 7))), ("test", "flat", grow(np.full((16, 16), 7)))]
+    df = spark.createDataFrame([(s, k, bytearray(p.tobytes())) for s, k, p in rows], "split string, key string, pixels binary")
+    first, members = leakage.classes_of(df)
+    rep = {(r.split, r.key): r.rep for r in members.collect()}
+    assert len(rep) == len(rows) and rep["train", "copy"] == rep["train", "copy2"] == "00_0" and rep["val", "copy"] == "copy"
+    small = {(s, k): p.reshape(16, 8, 16, 8).mean((1, 3)) for s, k, p in rows if rep[s, k] == k}
+    order = ["train", "val", "test"]
+    want = {}
+    for a in small:
+        for b in small:
+            if order.index(a[0]) < order.index(b[0]):
+                fit = [float(raster.unit(small[a]) @ raster.unit(v)) for v in raster.d4(small[b])]
+                if max(fit) >= 0.995:
+                    want[a, b] = (int(np.argmax(fit)), max(fit))
+    for block in (512, 2):
+        got = {((r.a_split, r.a_key), (r.b_split, r.b_key)): (r.turn, r.coarse) for r in leakage.coarse_pairs(leakage.coarse_vectors(first), block=block).collect()}
+        assert got.keys() == want.keys() and 10 < len(got) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in got)
+    found = leakage.perceptual_pairs(df).persist()
+    assert 0 < found.count() <= len(want)
+    scened = df.select("split", "key", F.substring("key", 1, 2).alias("scene"))
+    done = leakage.prioritized(scened, found, members)
+    leakage.check_priority(done, found, members)
+    with pytest.raises(ValueError, match="remain"):
+        leakage.check_priority(done.withColumn("removed", F.lit(False)), found, members)
+    assert leakage.perceptual_pairs(df.limit(0)).count() == 0
+
+
+def test_components_of_long_chains(spark):
+    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(150)] + [("x", "y")], "a string, b string")
+    assert {r.root for r in leakage.components(edges).collect()} == {"000", "x"}
+
+
+def test_numbers_in_order(spark):
+    from maskara.operators.order import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(13)
+    assert all(r.k == r.n for r in numbered(rows, ["k"], "n").collect()) and numbered(rows.limit(0), ["k"], "n").count() == 0
+
+
 def test_policies(spark):
     grid = policy.grid(spark, conf=[0.5, 0.1, 0.5], nms_iou=[0.3])
     assert [(r["grid_seq"], r["conf"]) for r in grid.orderBy("grid_seq").collect()] == [(0, 0.1), (1, 0.5)]
