@@ -33,8 +33,8 @@ from .vectors import matrix, usable
 THRESHOLD = 0.93
 #: Target recall of the traversal; vectors that codebooks and traversal are fitted on, at most, about.
 RECALL, SAMPLE = 0.995, 8192
-#: Vectors in a cell, about; those in the sample for a centroid, at least; most vectors of a length that meet without an index.
-CELL, SAMPLED, FEW = 64, 16, 2048
+#: Vectors in a cell, about; those in the sample for a centroid, at least; vectors of a length up to which all meet without an index (none).
+CELL, SAMPLED, FEW = 64, 16, 0
 #: Vectors of a block.
 BLOCK = 2048
 
@@ -77,22 +77,18 @@ class MultiIndex:
         a, b = self.rank(unit, self.cells(partner)), self.rank(partner, self.cells(unit))
         self.visits = int(np.quantile(np.minimum(a, b), recall, method="higher")) + 1
 
-    def sums(self, unit: np.ndarray) -> np.ndarray:
-        """[vector, cell] sums of the halves' squared distances."""
-        a, b = _squared(unit[:, : self.half], self.books[0]), _squared(unit[:, self.half :], self.books[1])
-        return (a[:, :, None] + b[:, None, :]).reshape(len(unit), -1)
-
     def cells(self, unit: np.ndarray) -> np.ndarray:
         a, b = _squared(unit[:, : self.half], self.books[0]), _squared(unit[:, self.half :], self.books[1])
         return a.argmin(1) * len(self.books[1]) + b.argmin(1)
 
     def rank(self, unit: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """How many cells come before that one in each vector's traversal."""
-        out = np.zeros(len(unit), dtype=np.int64)
-        for i in range(0, len(unit), 256):
-            s = self.sums(unit[i : i + 256])
-            out[i : i + 256] = (s < s[np.arange(len(s)), cell[i : i + 256]][:, None]).sum(1)
-        return out
+        """How many cells come before that one in each vector's traversal: for each centroid of the first book, those of the second that stay under the
+        cell's sum, counted in its order. Room and time are of a book, not of the grid."""
+        a, b = _squared(unit[:, : self.half], self.books[0]), np.sort(_squared(unit[:, self.half :], self.books[1]), axis=1)
+        own = np.arange(len(unit))
+        second = _squared(unit[:, self.half :], self.books[1])[own, cell % len(self.books[1])]
+        sums = a[own, cell // len(self.books[1])] + second
+        return np.array([np.searchsorted(b[i], sums[i] - a[i], "left").sum() for i in own], dtype=np.int64)
 
     def traversal(self, unit: np.ndarray) -> np.ndarray:
         """[vector, place] the first ``visits`` cells. The grid is walked by rows of the first book in order of distance,
@@ -156,12 +152,10 @@ def _compare(batches, index: MultiIndex | None, threshold: float):
 
     def group(stored, visiting):
         ids, v, again = (np.concatenate([x[k] for x in stored]) for k in range(3))
-        norm = np.linalg.norm(v, axis=1)
         unit = _unit(v)
         out = []
         for qids, qv, qagain, qhome, own in visiting:
-            cos = (qv @ v.T) / (np.linalg.norm(qv, axis=1)[:, None] * norm[None, :])
-            i, j = np.nonzero(cos >= threshold)
+            i, j = np.nonzero(_unit(qv) @ unit.T >= threshold)  # lengths go first: products of long or short vectors leave the range of doubles
             if own:  # both stored in this cell: each pair from one side
                 keep = qids[i] < ids[j]
             else:

@@ -53,3 +53,30 @@ def test_near_copies(spark):
     assert "alone here" in {r["text"] for r in rows if r["doc_id"] is None}
     assert simhash.keep_one(docs).filter("doc_id IS NOT NULL").count() > len(want)
     assert shingles.keep_one(docs.limit(0)).count() == 0
+
+
+def test_links_of_vectors_of_any_size(spark):
+    """Lengths whose squares leave the range of doubles link by their angle, and with nothing else."""
+    import numpy as np
+
+    from maskara.llm import embed_dedup
+
+    a, b = np.array([1.0, 2.0, 3.0]), np.array([-3.0, 1.0, 0.5])
+    rows = [(i, (v * s).tolist(), "l") for i, (v, s) in enumerate((v, s) for v in (a, b) for s in (1e200, 1e200, 1.0, 1e-200, 1e-310))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {i: (4, i // 5 * 5) for i in range(10)}
+
+
+def test_rank_counts_cells(spark):
+    import numpy as np
+
+    from maskara.llm import embed_dedup
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    index = embed_dedup.MultiIndex(x, 6, 0.93, 0.995)
+    unit = embed_dedup._unit(x)
+    cells = rng.integers(0, 36, 200)
+    a, b = (embed_dedup._squared(u, c) for u, c in ((unit[:, :4], index.books[0]), (unit[:, 4:], index.books[1])))
+    sums = (a[:, :, None] + b[:, None, :]).reshape(200, -1)
+    assert np.abs(index.rank(unit, cells) - (sums < sums[np.arange(200), cells][:, None]).sum(1)).max() <= 1  # the cell itself may be on either side by rounding
