@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, evaluation, export, filtering, masking, photos, sweeps
+from . import curation, evaluation, export, filtering, manifests, masking, photos, sweeps
 
 FLAGSHIP = "grid_metrics"
-MODULES = (evaluation, curation, sweeps, masking, photos, filtering, export)
+MODULES = (evaluation, curation, sweeps, masking, photos, filtering, export, manifests)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -73,6 +73,23 @@ def coco(images: DataFrame, instances: DataFrame, category: str) -> DataFrame:
     return a.crossJoin(b).select(F.create_map(F.lit("description"), F.lit("")).alias("info"), F.array(F.struct(F.lit(1).alias("id"), F.lit(category).alias("name"))).alias("categories"), "images", "annotations")
 
 
+def coco_parts(images: DataFrame, annotations: DataFrame, head: dict, path: str) -> None:
+    """A COCO document as text whose part files, one after another, are the document: no task holds more than its range of ids.
+
+    images and annotations: id (1, 2, ... without gaps) and what else their objects hold; head: the document's other fields.
+    """
+    spark = images.sparkSession
+
+    def objects(rows: DataFrame, section: int) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), "id", F.concat(F.when(F.col("id") == 1, "").otherwise(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value"))
+
+    text = json.dumps(head, ensure_ascii=False)[:-1]
+    marks = [(0, text + (", " if head else "") + '"images": ['), (2, '], "annotations": ['), (4, "]}")]
+    frame = spark.createDataFrame([(k, 0, v) for k, v in marks], "section int, id long, value string")
+    rows = frame.unionByName(objects(images, 1)).unionByName(objects(annotations, 3))
+    rows.repartitionByRange("section", "id").sortWithinPartitions("section", "id").select("value").write.mode("overwrite").text(path)
+
+
 def coco_counts(doc: DataFrame) -> DataFrame:
     """What a written document holds when it is read again."""
     return doc.select(F.size("images").cast("long").alias("n_images"), F.size("annotations").cast("long").alias("n_annotations"))
