@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order import cut
+
 
 def ratio(a: Column, b: Column) -> Column:
     """0 where the denominator is."""
@@ -140,7 +142,7 @@ def nearest_rank(values: Column, share: float) -> Column:
 def nearest_rank_of(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """The same over a column of any size, by range partitioning: a rank is found by counts of partitions, and only the
     partition that holds it is looked into."""
-    ordered = df.filter(F.col(value).isNotNull()).select(value).repartitionByRange(value).sortWithinPartitions(value).withColumn("_at", F.monotonically_increasing_id())
+    ordered = cut(df.filter(F.col(value).isNotNull()).select(value).repartitionByRange(value).sortWithinPartitions(value)).withColumn("_at", F.monotonically_increasing_id())  # kept: places and counts are of one order
     here, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = sorted((r["p"], r["count"]) for r in ordered.groupBy(here.alias("p")).count().collect())  # a row a partition
     n = sum(c for _, c in counts)
@@ -189,10 +191,10 @@ def worst_first(evaluated: DataFrame) -> DataFrame:
 
 
 def candidate_summary(labelled: DataFrame, by: list[str]) -> DataFrame:
-    """images, gt, candidates, positives, negatives per group and per all but the last key (null there), from rows of images
-    with n_gt, n_kept and tp."""
+    """images, gt, candidates, positives, negatives per group and per all but the last key (null there, with ``whole`` true, as a key may be null
+    itself), from rows of images with n_gt, n_kept and tp."""
     out = labelled.rollup(*by).agg(F.count("*").alias("images"), *(F.sum(c).cast("long").alias(n) for c, n in (("n_gt", "gt"), ("n_kept", "candidates"), ("tp", "positives"))), F.grouping_id().alias("_level"))
-    return out.filter("_level <= 1").drop("_level").withColumn("negatives", F.col("candidates") - F.col("positives"))
+    return out.filter("_level <= 1").withColumn("whole", F.col("_level") == 1).drop("_level").withColumn("negatives", F.col("candidates") - F.col("positives"))
 
 
 def latency_by(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import polygon_area, self_intersects
+from .order import cut
 
 ISSUES = "split string, image string, label string, line int, severity string, code string, message string"
 
@@ -136,9 +137,10 @@ def pick_device(devices: DataFrame, serial: str | None) -> dict:
     return found[0].asDict()
 
 
-def next_free(spark: SparkSession, taken: DataFrame, most: int = 1000) -> int:
-    """The first index from 1 that none of the taken ones (index) has."""
-    return spark.range(1, most + 1).select(F.col("id").alias("index")).join(taken.select("index").distinct(), "index", "left_anti").agg(F.min("index")).first()[0]
+def next_free(spark: SparkSession, taken: DataFrame) -> int:
+    """The first index from 1 that none of the taken ones (index) has: of n different ones over 0, it is n + 1 at most."""
+    own = cut(taken.select("index").filter("index > 0").distinct())
+    return spark.range(1, own.count() + 2).select(F.col("id").alias("index")).join(own, "index", "left_anti").agg(F.min("index")).first()[0]
 
 
 def inside(root: str, path: str) -> str:

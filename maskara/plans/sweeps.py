@@ -100,7 +100,7 @@ WORST_IMAGES = f"WITH RECURSIVE {_AT_CONF} SELECT image, source, n_gt, tp, n_kep
 def candidate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(F.col("image") % 10 == 8, "val").when(F.col("image") % 10 == 9, "test").otherwise("train")
     out = metrics.candidate_summary(_at_conf(spark, sf_dir).withColumn("split", split), ["split", "source"])
-    return out.select("split", F.coalesce("source", F.lit("*")).alias("source"), "images", "gt", "candidates", "positives", "negatives")
+    return out.select("split", F.when(F.col("whole"), "*").otherwise(F.col("source")).alias("source"), "images", "gt", "candidates", "positives", "negatives")
 
 
 CANDIDATE_SUMMARY = f"""WITH RECURSIVE {_AT_CONF}, s AS (SELECT *, CASE image % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM img)

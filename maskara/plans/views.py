@@ -136,12 +136,11 @@ xy AS (
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame_index, track_id, ts, event_type, value. The index counts events by time, as one stream's frames are numbered."""
+    from ..operators.order import numbered
+
     t = table(spark, sf_dir, "events")
-    order = t.select("event_id", "ts", "user_id", "event_type", "value").repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("_at", F.monotonically_increasing_id())
-    here, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = order.groupBy(here.alias("p")).agg(F.count("*").alias("n"))
-    before = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row a partition
-    return order.withColumn("p", here).withColumn("inside", inside).join(F.broadcast(before), "p").select((F.col("before") + F.col("inside")).alias("frame_index"), F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    rows = numbered(t.select("event_id", "ts", "user_id", "event_type", "value"), ["ts", "event_id"], "frame_index")
+    return rows.select("frame_index", F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
 
 FRAMES = "frames AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS frame_index, user_id AS track_id, ts, event_type, value FROM events)"

@@ -149,6 +149,7 @@ def test_curation(spark):
     crops = spark.createDataFrame([(1, 0, 0.9, 0, 0, 10, 10), (1, 1, 0.8, 2, 2, 12, 12), (1, 2, 0.7, 30, 30, 40, 40)], "image long, idx int, conf double, x0 int, y0 int, x1 int, y1 int")
     assert [r["idx"] for r in matching.spaced_crops(crops, 3).orderBy("idx").collect()] == [0, 2]
     assert validate.next_free(spark, spark.createDataFrame([(1,), (2,), (4,)], "index long")) == 3
+    assert validate.next_free(spark, spark.range(1, 1501).unionByName(spark.range(1, 10)).select(F.col("id").alias("index"))) == 1501 and validate.next_free(spark, spark.range(0).select(F.col("id").alias("index"))) == 1
     with pytest.raises(LookupError, match="ambiguous"):
         validate.pick_device(spark.createDataFrame([("a",), ("b",)], "serial string"), None)
     with pytest.raises(ValueError):
@@ -211,6 +212,12 @@ def test_components_of_long_chains(spark):
     assert {r.root for r in leakage.components(edges).collect()} == {"000", "x"}
 
 
+def test_summary_tells_no_source_from_all(spark):
+    rows = spark.createDataFrame([("train", None, 1, 2, 1), ("train", "a", 1, 1, 0)], "split string, source string, n_gt int, n_kept int, tp int")
+    got = {(r.split, r.source, r.whole): (r.images, r.candidates, r.negatives) for r in metrics.candidate_summary(rows, ["split", "source"]).collect()}
+    assert got == {("train", None, True): (2, 3, 2), ("train", None, False): (1, 2, 1), ("train", "a", False): (1, 1, 1)}
+
+
 def test_numbers_in_order(spark):
     from maskara.operators.order import numbered
 
