@@ -104,9 +104,13 @@ def outer_box(b: Column, width: Column, height: Column) -> Column:
 
 
 def square_crop(b: Column, width: Column, height: Column, expand: float, least: int, most: int) -> Column:
-    """A square around a pixel box, ``expand`` times its longer side, within least..most and the image; null if under least."""
-    side = F.least(F.greatest(F.rint(F.greatest(b["x1"] - b["x0"] + 1, b["y1"] - b["y0"] + 1) * expand).cast("int"), F.lit(least)), F.lit(most), width, height)
-    low = lambda a, z, n: F.greatest(F.lit(0), F.least(n - side, F.rint((b[a] + b[z] + 1) / 2 - side / 2).cast("int")))
+    """A square around a pixel box, ``expand`` times its longer side (half to even), within least..most, or the image's shorter side where it doesn't
+    fit; moved into the image. Its centre and half are whole pixels, rounded down. Null if under least."""
+    longer = F.greatest(b["x1"] - b["x0"] + 1, b["y1"] - b["y0"] + 1, F.lit(1))
+    side = F.greatest(F.lit(least), F.least(F.lit(most), F.rint(longer * expand).cast("int")))
+    side = F.when((side > width) | (side > height), F.least(width, height)).otherwise(side).cast("int")
+    half = lambda v: F.floor(v / 2).cast("int")
+    low = lambda a, z, n: F.greatest(F.lit(0), F.least(n - side, half(b[a] + b[z]) - half(side)))
     x, y = low("x0", "x1", width), low("y0", "y1", height)
     return F.when(side >= least, F.struct(x.alias("x0"), y.alias("y0"), (x + side).alias("x1"), (y + side).alias("y1")))
 

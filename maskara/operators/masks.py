@@ -83,6 +83,22 @@ def shared(a: Column, b: Column) -> Column:
     return F.when(meet, F.aggregate(F.sequence(first, last), F.lit(0), lambda s, k: s + bits(k))).otherwise(0)
 
 
+def within(m: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Pixels of a mask in x0 <= x < x1 and y0 <= y < y1."""
+    top = F.greatest(m["y0"], y0)
+    rows = F.least(m["y1"] + 1, y1) - top
+    first, last = F.greatest(F.shiftright(m["x0"], 6), F.shiftright(x0, 6)), F.least(F.shiftright(m["x1"], 6), F.shiftright(x1 - 1, 6))
+    ones = F.lit(-1).cast("long")
+
+    def bits(k: Column) -> Column:
+        low, high = F.greatest(x0 - k * WORD, F.lit(0)), F.least(x1 - k * WORD, F.lit(WORD))
+        word = F.call_function("shiftleft", ones, low).bitwiseAND(F.call_function("shiftrightunsigned", ones, WORD - high))
+        return F.aggregate(F.slice(F.get(m["strips"], k - F.shiftright(m["x0"], 6)), top - m["y0"] + 1, rows), F.lit(0), lambda s, v: s + F.bit_count(v.bitwiseAND(word)))
+
+    meet = (m["n"] > 0) & (x0 < x1) & (rows > 0) & (first <= last)
+    return F.when(meet, F.aggregate(F.sequence(first, last), F.lit(0), lambda s, k: s + bits(k))).otherwise(0)
+
+
 def shared_box(a: Column, b: Column) -> Column:
     """The same of boxes of whole pixels, structs x0, y0, x1, y1."""
     side = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]) + 1, F.lit(0))

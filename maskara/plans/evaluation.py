@@ -49,7 +49,7 @@ WITH {views.POLY}, b AS (SELECT image, min(px) AS x0, min(py) AS y0, max(px) AS
 o AS (SELECT image, round_even(x0 * 640, 0)::BIGINT AS r_x0, round_even(y0 * 480, 0)::BIGINT AS r_y0, round_even(x1 * 640, 0)::BIGINT AS r_x1, round_even(y1 * 480, 0)::BIGINT AS r_y1,
   floor(x0 * 640)::BIGINT AS o_x0, floor(y0 * 480)::BIGINT AS o_y0, ceil(x1 * 640)::BIGINT AS o_x1, ceil(y1 * 480)::BIGINT AS o_y1 FROM b),
 c AS (SELECT *, least(greatest(round_even(greatest(o_x1 - o_x0 + 1, o_y1 - o_y0 + 1) * 1.4::DOUBLE, 0)::BIGINT, 64), 400, 641, 481) AS side FROM o),
-d AS (SELECT *, CASE WHEN side >= 64 THEN greatest(0, least(641 - side, round_even((o_x0 + o_x1 + 1) / 2.0::DOUBLE - side / 2.0::DOUBLE, 0)::BIGINT)) END AS s_x0, CASE WHEN side >= 64 THEN greatest(0, least(481 - side, round_even((o_y0 + o_y1 + 1) / 2.0::DOUBLE - side / 2.0::DOUBLE, 0)::BIGINT)) END AS s_y0 FROM c)
+d AS (SELECT *, CASE WHEN side >= 64 THEN greatest(0, least(641 - side, (o_x0 + o_x1) // 2 - side // 2)) END AS s_x0, CASE WHEN side >= 64 THEN greatest(0, least(481 - side, (o_y0 + o_y1) // 2 - side // 2)) END AS s_y0 FROM c)
 SELECT image, r_x0, r_y0, r_x1, r_y1, o_x0, o_y0, o_x1, o_y1, s_x0, s_y0, s_x0 + side AS s_x1, s_y0 + side AS s_y1,
   greatest(0, floor(o_x0 - (o_x1 - o_x0) * 0.25::DOUBLE)::BIGINT) AS m_x0, greatest(0, floor(o_y0 - (o_y1 - o_y0) * 0.25::DOUBLE)::BIGINT) AS m_y0,
   least(641, ceil(o_x1 + (o_x1 - o_x0) * 0.25::DOUBLE + 1)::BIGINT) AS m_x1, least(481, ceil(o_y1 + (o_y1 - o_y0) * 0.25::DOUBLE + 1)::BIGINT) AS m_y1 FROM d

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import masks, matching, metrics
+from ..operators import masks, matching, metrics, mining
 from . import evaluation, views
 
 CONF, NMS_IOU, MATCH_IOU = evaluation.CONF, evaluation.NMS_IOU, evaluation.MATCH_IOU
@@ -65,6 +65,18 @@ MASK_GRID_BEST = f"WITH RECURSIVE {_SQL} " + " UNION ALL ".join(
     f"SELECT * FROM (SELECT '{k}' AS selection, grid_seq, {', '.join(GRID)}, tp, fp, fn FROM full_ WHERE {where} ORDER BY {', '.join(f'{x} DESC' for x in by.split(', '))}, grid_seq LIMIT 1)" for k, (where, by) in _BEST.items()
 )
 
+#: Limits of an image and of all; SQL has no fold over crops, a test holds it against the loop.
+MINED = {"least_conf": 0.2, "low": 0.02, "high": 0.12, "max_iou": 0.1, "expand": 1.4, "least": 24, "most": 96, "max_share": 0.3, "per_image": 2}
+MOST_MINED = 2000
+
+
+def hard_negative_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops around confident predictions that no truth explains, in the order of images up to the total."""
+    rows = views.masked(spark, sf_dir, MINED["least_conf"]).withColumn("width", F.lit(views.SIDE)).withColumn("height", F.lit(views.SIDE)).withColumn("split", F.lit("train")).withColumn("place", F.col("image"))
+    found, _ = mining.mined(mining.crops_of(rows, **MINED, size=views.SIDE), MOST_MINED)
+    return found.select("name", "image", "idx", "conf", F.round("area", 6).alias("area"), F.round("best_iou", 6).alias("best_iou"), F.round("overlap", 6).alias("overlap"), "x0", "y0", "x1", "y1")
+
+
 _WITH_SQL = {"mask_iou_pairs": (mask_iou_pairs, MASK_IOU_PAIRS), "mask_nms_raster": (mask_nms_raster, MASK_NMS_RASTER), "mask_match_raster": (mask_match_raster, MASK_MATCH_RASTER), "mask_grid": (mask_grid, MASK_GRID), "mask_grid_best": (mask_grid_best, MASK_GRID_BEST)}
-QUERIES = {k: f for k, (f, _) in _WITH_SQL.items()}
+QUERIES = {k: f for k, (f, _) in _WITH_SQL.items()} | {"hard_negative_crops": hard_negative_crops}
 ORACLES = {k: s for k, (_, s) in _WITH_SQL.items()}
