@@ -20,7 +20,7 @@ def _share(crop: Column, truths: Column, width: Column, height: Column, size: in
     return F.when(own <= 0, 1.0).otherwise(most / own)
 
 
-def crops_of(rows: DataFrame, least_conf: float, low: float, high: float, max_iou: float, expand: float, least: int, most: int, max_share: float, per_image: int, size: int = masks.SIZE) -> DataFrame:
+def crops_of(rows: DataFrame, least_conf: float, low: float, high: float, max_iou: float, expand: float, least: int, most: int, max_share: float, per_image: int, size: int = masks.SIZE, shared=masks.shared) -> DataFrame:
     """rows (image, idx, gt, model, conf, area, edge, shape, points, width, height, split, place: the order of images) -> a row per image: candidates,
     matched (those that overlap a truth by more than max_iou), refused (crops that truths fill too much) and crops.
 
@@ -28,9 +28,9 @@ def crops_of(rows: DataFrame, least_conf: float, low: float, high: float, max_io
     lies in one taken before, or truths fill more than max_share of it; after ``per_image`` crops no more are looked at. A crop knows how many were
     refused before it.
     """
-    lists = matching.gathered(rows, least_conf, "width", "height", "split", "place", also=("points",))
+    lists = matching.gathered(rows, least_conf, "width", "height", "split", "place", also=("points",), strips=True)
     able = lists.withColumn("c", F.filter("p", lambda p: p["area"].between(low, high)))
-    best = lambda x: F.coalesce(F.array_max(F.transform(matching.met(x, F.col("t"), masks.shared), lambda y: y["iou"])), F.lit(0.0))
+    best = lambda x: F.coalesce(F.array_max(F.transform(matching.met(x, F.col("t"), shared), lambda y: y["iou"])), F.lit(0.0))
     able = able.withColumn("c", F.transform("c", lambda x: F.struct(x["idx"].alias("idx"), x["conf"].alias("conf"), x["area"].alias("area"), best(x).alias("best"), x["points"].alias("points"))))
     free = F.filter("c", lambda x: x["best"] <= max_iou)
     box = lambda x: g.square_crop(g.outer_box(g.bounds(x["points"]), F.col("width"), F.col("height")), F.col("width"), F.col("height"), expand, least, most)

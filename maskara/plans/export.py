@@ -16,7 +16,7 @@ POLICIES = [("alpha", 0.3, 0.05, 1, 0.35, 0.2), ("beta", 0.1, 0.0, 2, 0.2, 0.5),
 def source_policy_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame(POLICIES, "source string, confidence_threshold double, min_area_ratio double, min_support int, support_iou_threshold double, nms_iou_threshold double")
     lists = matching.gathered(views.masked(spark, sf_dir), 0.0, "source", also=("points",))
-    out = policy.exported(lists, table, masks.shared, MODELS)
+    out = policy.exported(lists, table, masks.looked_up, MODELS)
     return out.select("image", "source", "selected_a", "selected_b", "candidates", "kept", "kept_a", "kept_b", "confidence_threshold", "min_support", "labels")
 
 

@@ -14,7 +14,7 @@ FLOORS = (0.2, 0.1)
 
 
 def mask_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = masks.pairs_of(matching.gathered(views.masked(spark, sf_dir)))
+    out = masks.pairs_of(matching.gathered(views.masked(spark, sf_dir)), masks.looked_up)
     return out.select("image", "p_idx", "g_idx", F.col("inter").cast("long").alias("inter"), F.round("iou", 6).alias("iou"))
 
 
@@ -73,7 +73,7 @@ MOST_MINED = 2000
 def hard_negative_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops around confident predictions that no truth explains, in the order of images up to the total."""
     rows = views.masked(spark, sf_dir, MINED["least_conf"]).withColumn("width", F.lit(views.SIDE)).withColumn("height", F.lit(views.SIDE)).withColumn("split", F.lit("train")).withColumn("place", F.col("image"))
-    found, _ = mining.mined(mining.crops_of(rows, **MINED, size=views.SIDE), MOST_MINED)
+    found, _ = mining.mined(mining.crops_of(rows, **MINED, size=views.SIDE, shared=masks.looked_up), MOST_MINED)
     return found.select("name", "image", "idx", "conf", F.round("area", 6).alias("area"), F.round("best_iou", 6).alias("best_iou"), F.round("overlap", 6).alias("overlap"), "x0", "y0", "x1", "y1")
 
 

@@ -149,3 +149,43 @@ def test_one_scan_and_one_exchange(spark):
             assert plan.count("FileScan") == 1 and "MergeJoin" not in plan and "HashJoin" not in plan and plan.count("Exchange hashpartitioning") <= most, plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_many_masks_at_once():
+    """filled_words() against filled(), of polygons of all kinds in one call."""
+    rng = np.random.default_rng(5)
+    polygons = [rng.integers(0, size, (n, 2)) for size in (3, 40, 200) for n in (0, 1, 2, 3, 4, 7, 20) for _ in range(8)]
+    boxes, starts, words, n = raster.filled_words(np.concatenate(polygons), np.array([len(p) for p in polygons]))
+    for i, p in enumerate(polygons):
+        box, want = masks.pack(p)
+        assert (*boxes[i].tolist(), n[i]) == box
+        assert (words[starts[i] : starts[i + 1]].reshape(-1, max(len(want), 1)).T == want).all() if len(p) else starts[i] == starts[i + 1]
+    assert len(raster.filled_words(np.zeros((0, 2)), np.zeros(3, dtype=int))[2]) == 0
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_masks_drawn_by_image(spark, scene, monkeypatch, few):
+    """Masks that are drawn after their image is together share what masks compared in the plan share, whatever a task takes at once."""
+    if few:
+        monkeypatch.setattr(masks, "AT_ONCE", 3)
+    _, df = scene
+    sides = [matching.gathered(masks.with_masks(df, SIZE)), matching.gathered(masks.with_outlines(df, SIZE), strips=True)]
+    pairs = [sorted(masks.pairs_of(x, f).collect()) for x, f in zip(sides, (masks.shared, masks.looked_up))]
+    assert pairs[0] == pairs[1] and pairs[0]
+    rows = [sorted(matching.of_lists(x, f).select("image", "n_gt", "preds").collect()) for x, f in zip(sides, (masks.shared, masks.looked_up))]
+    assert rows[0] == rows[1]
+    kept = [sorted(x.select("image", F.explode("t").alias("t")).select("image", "t.idx", "t.area", "t.edge", "t.shape.n", "t.shape.strips").collect()) for x in sides]
+    assert kept[0] == kept[1]
+    assert "strips" not in matching.gathered(masks.with_outlines(df, SIZE)).schema["p"].simpleString()
+
+
+def test_overlaps_in_small_parts(monkeypatch):
+    """What is looked at at once changes nothing."""
+    rng = np.random.default_rng(6)
+    polygons = [rng.integers(0, 150, (int(rng.integers(1, 9)), 2)) for _ in range(60)]
+    drawn_ = raster.filled_words(np.concatenate(polygons), np.array([len(p) for p in polygons]))[:3]
+    n_p, n_t = np.array([5, 0, 20, 0, 1]), np.array([4, 3, 25, 0, 2])
+    want = masks._laps(n_p, n_t, *drawn_)
+    for name in ("PAIRS_AT_ONCE", "WORDS_AT_ONCE"):
+        monkeypatch.setattr(masks, name, 7)
+    assert all((a == b).all() for a, b in zip(want, masks._laps(n_p, n_t, *drawn_))) and len(want[0])
