@@ -53,8 +53,7 @@ STEPS = evaluation.COCO_STEPS
 def coco_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AP over all thresholds, at 0.5 and 0.75, and AR with 1, 10 and 100 detections, of masks."""
     rows = cut(views.mask_rows(spark, sf_dir).select("image", "n_gt", "preds"))
-    steps = spark.createDataFrame([(t,) for t in STEPS], "threshold double")
-    out = metrics.coco_summary(cut(matching.coco_matches(rows, steps)), rows.agg(F.sum("n_gt")).first()[0] or 0, STEPS)
+    out = metrics.coco_summary_of(cut(matching.coco_hits_of(rows, STEPS)), rows.agg(F.sum("n_gt")).first()[0] or 0, STEPS)
     return out.select(*(F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap75", "ar1", "ar10", "ar100")))
 
 

@@ -189,3 +189,13 @@ def test_overlaps_in_small_parts(monkeypatch):
     for name in ("PAIRS_AT_ONCE", "WORDS_AT_ONCE"):
         monkeypatch.setattr(masks, name, 7)
     assert all((a == b).all() for a, b in zip(want, masks._laps(n_p, n_t, *drawn_))) and len(want[0])
+
+
+def test_hits_at_all_thresholds(spark, scene):
+    """A row a detection says what a row a detection and threshold says; images without predictions give none."""
+    rows = matching.of_lists(matching.gathered(masks.with_masks(scene[1], SIZE)), masks.shared).persist()
+    steps = (0.05, 0.3, 0.75)
+    long = matching.coco_matches(rows, spark.createDataFrame([(t,) for t in steps], "threshold double")).collect()
+    wide = matching.coco_hits_of(rows, steps).collect()
+    assert {(t, r.image, r["rank"], r.conf, h) for r in wide for t, h in zip(steps, r.hits)} == {(r.threshold, r.image, r["rank"], r.conf, r.hit) for r in long}
+    assert len(wide) * len(steps) == len(long) > 0
