@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import raster
-from .order import cut, numbered
+from .order import cut, numbered, small
 
 PRIORITY = ("test", "val", "train")
 
@@ -50,11 +52,12 @@ def shared_keys(assets: DataFrame, a: str, b: str, key: str) -> DataFrame:
     return side(a).intersect(side(b))
 
 
-#: Sides of the coarse and the full image; rows of a block on each side; width of a cell on each measure; the measures that cells are made of, by their
-#: frequencies.
+#: Sides of the coarse and the full image; rows of a block on each side, and of a tile of it that is compared at a time; width of a cell on each measure;
+#: the measures that cells are made of, by their frequencies; images that are broadcast by name.
 COARSE, FINE = 16, 128
-BLOCK_ROWS, CELL = 512, 0.25
+BLOCK_ROWS, TILE_ROWS, CELL = 8192, 256, 0.25
 MEASURES = ((0, 1), (1, 1), (0, 2), (1, 2))
+BROADCAST_IMAGES = 500_000
 
 
 def _waves(n: int) -> np.ndarray:
@@ -68,42 +71,65 @@ def turn_places(n: int = COARSE) -> np.ndarray:
     return np.stack([v.ravel() for v in raster.d4(np.arange(n * n).reshape(n, n))])
 
 
-def measures(small: np.ndarray) -> np.ndarray:
-    """Of unit images [row, n, n], a length for each pair of frequencies in MEASURES. A turn or a mirror swaps the two frequencies or flips signs, so it
-    leaves them as they are; and as lengths of orthogonal parts they differ by no more than the images do."""
+def lengths(small: np.ndarray) -> np.ndarray:
+    """Of images [row, n, n], a length for each pair of frequencies (the smaller first). A turn or a mirror swaps the two frequencies or flips signs, so it
+    leaves them as they are; and as lengths of orthogonal parts, their inner product is at least that of the images, under any turn."""
     waves = _waves(small.shape[1])
-    a = waves @ small @ waves.T
-    return np.stack([np.sqrt(a[:, i, j] ** 2 + (a[:, j, i] ** 2 if i != j else 0)) for i, j in MEASURES], 1)
+    a = (waves @ small @ waves.T) ** 2
+    i, j = np.triu_indices(small.shape[1])
+    return np.sqrt(a[:, i, j] + np.where(i != j, a[:, j, i], 0))
 
 
-def classes_of(images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """split, key, pixels (gray, FINE x FINE bytes) -> (the image of smallest key of each split and content, with its pixels; split, key and rep, that key, of
-    every image)."""
-    seen = images.withColumn("content", F.sha2("pixels", 256))
-    first = seen.groupBy("split", "content").agg(F.min("key").alias("rep"))
-    members = seen.select("split", "content", "key").join(first, ["split", "content"]).select("split", "key", "rep")
-    return images.join(first.select("split", F.col("rep").alias("key")), ["split", "key"], "left_semi").dropDuplicates(["split", "key"]), members
+def measures(small: np.ndarray) -> np.ndarray:
+    """The lengths of unit images [row, n, n] for the pairs of frequencies in MEASURES; they differ by no more than the images do."""
+    i, j = np.triu_indices(small.shape[1])
+    places = [np.flatnonzero((i == min(m)) & (j == max(m)))[0] for m in MEASURES]
+    return lengths(small)[:, places]
 
 
-def coarse_vectors(images: DataFrame) -> DataFrame:
-    """split, key, pixels -> split, key, v (the coarse image less its mean, over its length), m (its measures). An image of one shade has no
-    direction and gives no row."""
+def _units(sums: list[bytes]) -> np.ndarray:
+    """Sums of the blocks of images -> [row, place], each less its mean, over its length; nan for one of one shade."""
+    small = np.frombuffer(b"".join(sums), dtype="<u2").reshape(-1, COARSE * COARSE) / (FINE // COARSE) ** 2
+    small -= small.mean(1, keepdims=True)
+    length = np.linalg.norm(small, axis=1)
+    return small / np.where(length > np.finfo(np.float64).eps, length, np.nan)[:, None]
+
 
-    def shrink(batches):
+def sketched(images: DataFrame) -> DataFrame:
+    """split, key, pixels (gray, FINE x FINE bytes) -> split, key, content (SHA-256 of the pixels), v (the coarse image: sums of blocks of pixels, in 2 bytes
+    each), m (its measures). An image of one shade has no direction: v and m are null. Later steps need no pixels until pairs are confirmed."""
+
+    def sketch(batches):
         step = FINE // COARSE
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("pixels").to_pylist()), dtype=np.uint8).reshape(-1, COARSE, step, COARSE, step)
-            small = raw.mean((2, 4)).reshape(batch.num_rows, -1)
-            small -= small.mean(1, keepdims=True)
-            length = np.linalg.norm(small, axis=1)
-            ok = length > np.finfo(np.float64).eps
-            small = small[ok] / length[ok, None]
+            pixels = batch.column("pixels").to_pylist()
+            raw = np.frombuffer(b"".join(pixels), dtype=np.uint8).reshape(-1, COARSE, step, COARSE, step)
+            sums = [x.tobytes() for x in raw.sum((2, 4), dtype="<u2").reshape(len(pixels), -1)]
+            small = _units(sums)
+            ok = ~np.isnan(small[:, 0])
             m = measures(small.reshape(-1, COARSE, COARSE))
-            keep = pa.array(np.flatnonzero(ok))
-            lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (small, m))
-            yield pa.RecordBatch.from_arrays([batch.column("split").take(keep), batch.column("key").take(keep), *lists], names=["split", "key", "v", "m"])
+            columns = [pa.array([hashlib.sha256(x).digest() for x in pixels], pa.binary()), pa.array(sums, pa.binary(), mask=~ok), pa.array([x if y else None for x, y in zip(m, ok)], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("key"), *columns], names=["split", "key", "content", "v", "m"])
+
+    return images.select("split", "key", "pixels").mapInArrow(sketch, "split string, key string, content binary, v binary, m array<double>")
 
-    return images.select("split", "key", "pixels").mapInArrow(shrink, "split string, key string, v array<double>, m array<double>")
+
+def members_of(seen: DataFrame) -> DataFrame:
+    """split, key, content of every image -> split, key and rep, the smallest key of that content in that split."""
+    first = seen.groupBy("split", "content").agg(F.min("key").alias("rep"))
+    return seen.select("split", "content", "key").join(first, ["split", "content"]).select("split", "key", "rep")
+
+
+def classes_of(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """split, key, pixels (gray, FINE x FINE bytes) -> (the image of smallest key of each split and content, with its pixels; split, key and rep, that key, of
+    every image)."""
+    members = members_of(images.select("split", "key", F.sha2("pixels", 256).alias("content")))
+    return images.join(members.select("split", F.col("rep").alias("key")), ["split", "key"], "left_semi").dropDuplicates(["split", "key"]), members
+
+
+def coarse_vectors(images: DataFrame) -> DataFrame:
+    """split, key, v, m of ``sketched`` images that are not of one shade."""
+    return sketched(images).filter("v IS NOT NULL").select("split", "key", "v", "m")
 
 
 def coarse_pairs(vectors: DataFrame, at_least: float = 0.995, block: int = BLOCK_ROWS, cell: float = CELL) -> DataFrame:
@@ -112,49 +138,65 @@ def coarse_pairs(vectors: DataFrame, at_least: float = 0.995, block: int = BLOCK
 
     Unit images of correlation c lie sqrt(2 - 2c) apart, and so no measure differs by more. Images of the side a lie in one cell of the
     measures, those of b in all cells within that distance, so a pair that fits meets in exactly one. A cell is compared in blocks of about
-    ``block`` rows on each side, by products of matrices, each block pair in a task of its own; only what fits leaves it.
+    ``block`` rows on each side, each block pair in a task of its own: first by products of ``lengths``, which are at least the correlation
+    under any turn, then, where these reach it, turn by turn; only what fits leaves it. A coarse image goes to each block pair of its
+    block, in half a KB.
     """
     reach = float(np.sqrt(max(2 - 2 * at_least, 0.0))) + 1e-9
     place = F.array_position(F.array(*map(F.lit, reversed(PRIORITY))), F.col("split"))
     rows = vectors.withColumn("side", place).filter("side > 0")
     at = lambda k, by: F.floor((F.get("m", F.lit(k)) + F.lit(by)) / F.lit(cell)).cast("int")
     n = len(MEASURES)
-    a = rows.filter(F.col("side") < len(PRIORITY)).withColumn("cell", F.array(*(at(k, 0.0) for k in range(n))))
+    a = rows.filter(F.col("side") < len(PRIORITY)).withColumn("cell", F.array(*(at(k, 0.0) for k in range(n)))).drop("m")
     b = rows.filter("side > 1")
     for k in range(n):
         b = b.withColumn(f"_c{k}", F.explode(F.sequence(at(k, -reach), at(k, reach))))
-    b = b.withColumn("cell", F.array(*(F.col(f"_c{k}") for k in range(n)))).drop(*(f"_c{k}" for k in range(n)))
+    b = b.withColumn("cell", F.array(*(F.col(f"_c{k}") for k in range(n)))).drop("m", *(f"_c{k}" for k in range(n)))
     sizes = lambda x, name: x.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     shape = cut(sizes(a, "na").join(sizes(b, "nb"), "cell"))  # blocks of each cell that has both sides
 
     def dealt(x: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
-        part = x.join(shape, "cell").withColumn(i, F.pmod(F.xxhash64("split", "key"), F.col(own)).cast("int"))
+        part = x.join(small(shape, BROADCAST_IMAGES), "cell").withColumn(i, F.pmod(F.xxhash64("split", "key"), F.col(own)).cast("int"))
         return part.withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", "i", "j", *(F.col(c).alias(c) for c in ("split", "key", "side", "v")))  # columns of its own, as both sides are of one table
 
     turns = turn_places()
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         names = ["a_split", "a_key", "b_split", "b_key", "turn", "coarse"]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64())
         if not x.num_rows or not y.num_rows:
-            empty = [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64())]
-            return pa.Table.from_arrays(empty, names=names)
-        u, v = (np.stack(t.column("v").to_numpy()) for t in (x, y))
-        best, turn = np.full((len(u), len(v)), -np.inf), np.zeros((len(u), len(v)), dtype=np.int32)
-        for k, places in enumerate(turns):
-            fit = u @ v[:, places].T
-            better = fit > best
-            best[better], turn[better] = fit[better], k
-        p, q = np.nonzero((best >= at_least) & (x.column("side").to_numpy()[:, None] < y.column("side").to_numpy()[None]))
-        i, j = pa.array(p), pa.array(q)
-        columns = [t.column(c).take(at_).combine_chunks() for t, at_ in ((x, i), (y, j)) for c in ("split", "key")]
-        return pa.Table.from_arrays([*columns, pa.array(turn[p, q]), pa.array(best[p, q])], names=names)
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+        u, v = (_units(t.column("v").to_pylist()) for t in (x, y))
+        side_u, side_v = (t.column("side").to_numpy() for t in (x, y))
+        rough_u, rough_v = (lengths(t.reshape(-1, COARSE, COARSE)).astype(np.float32) for t in (u, v))
+        found = []
+        for start in range(0, len(u), TILE_ROWS):
+            p, q = np.nonzero(rough_u[start : start + TILE_ROWS] @ rough_v.T >= at_least - 1e-4)  # more than single precision is out by
+            p += start
+            p, q = (z[side_u[p] < side_v[q]] for z in (p, q))
+            for at_ in range(0, len(p), BLOCK_ROWS):
+                i, j = p[at_ : at_ + BLOCK_ROWS], q[at_ : at_ + BLOCK_ROWS]
+                one, other = u[i], v[j]
+                best, turn = np.full(len(i), -np.inf), np.zeros(len(i), dtype=np.int32)
+                for k, places in enumerate(turns):
+                    fit = np.einsum("rp,rp->r", one, other[:, places])
+                    better = fit > best
+                    best[better], turn[better] = fit[better], k
+                fits = best >= at_least
+                found.append((i[fits], j[fits], turn[fits], best[fits]))
+        p, q, turn, best = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 4
+        columns = [t.column(c).take(pa.array(at_)).combine_chunks() for t, at_ in ((x, p), (y, q)) for c in ("split", "key")]
+        return pa.Table.from_arrays([*columns, pa.array(turn, pa.int32()), pa.array(best, pa.float64())], names=names)
 
     left, right = (dealt(*z).groupBy("cell", "i", "j") for z in ((a, "na", "nb", "i", "j"), (b, "nb", "na", "j", "i")))
     return left.cogroup(right).applyInArrow(compare, "a_split string, a_key string, b_split string, b_key string, turn int, coarse double")
 
 
 def confirmed(pairs: DataFrame, images: DataFrame, at_least: float = 0.995, ssim_at_least: float = 0.96) -> DataFrame:
-    """coarse_pairs() with confirm (correlation at full size under the same turn) and ssim, of those that reach both."""
+    """coarse_pairs() with confirm (correlation at full size under the same turn) and ssim, of those that reach both. Pairs must be cheap to read twice;
+    only the images that they name are shuffled."""
+    named = cut(pairs.select(F.col("a_split").alias("split"), F.col("a_key").alias("key")).union(pairs.select("b_split", "b_key")).distinct())
+    images = images.select("split", "key", "pixels").join(small(named, BROADCAST_IMAGES), ["split", "key"], "left_semi").dropDuplicates(["split", "key"])
     pixels = lambda p: images.select(F.col("split").alias(f"{p}_split"), F.col("key").alias(f"{p}_key"), F.col("pixels").alias(f"{p}_pixels"))
     both = pairs.join(pixels("a"), ["a_split", "a_key"]).join(pixels("b"), ["b_split", "b_key"])
     names = ["a_split", "a_key", "b_split", "b_key", "turn", "coarse"]
@@ -173,12 +215,13 @@ def confirmed(pairs: DataFrame, images: DataFrame, at_least: float = 0.995, ssim
     return out.filter((F.col("confirm") >= at_least) & (F.col("ssim") >= ssim_at_least))
 
 
-def perceptual_pairs(images: DataFrame, coarse_at_least: float = 0.995, confirm_at_least: float = 0.995, ssim_at_least: float = 0.96) -> DataFrame:
+def perceptual_pairs(images: DataFrame, coarse_at_least: float = 0.995, confirm_at_least: float = 0.995, ssim_at_least: float = 0.96, seen: DataFrame | None = None) -> DataFrame:
     """split, key, pixels -> near-duplicate pairs of different splits, with the turn of b that fits best: candidates by the coarse image, all of them, then
-    measured at full size. Copies of one content in a split stand for each other: pairs name the smallest key of each, ``classes_of`` the rest."""
-    first, _ = classes_of(images)
-    first = cut(first)
-    return confirmed(coarse_pairs(coarse_vectors(first), coarse_at_least), first, confirm_at_least, ssim_at_least)
+    measured at full size. Copies of one content in a split stand for each other: pairs name the smallest key of each, ``members_of`` the rest.
+    seen: ``sketched`` images, where these are kept already."""
+    seen = cut(sketched(images)) if seen is None else seen
+    first = seen.groupBy("split", "content").agg(F.min(F.struct("key", "v", "m")).alias("r")).select("split", "r.*").filter("v IS NOT NULL").dropDuplicates(["split", "key"])
+    return confirmed(cut(coarse_pairs(cut(first), coarse_at_least)), images, confirm_at_least, ssim_at_least)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -16,13 +16,17 @@ N = leakage.COARSE
 TURNS = leakage.turn_places()
 
 
-def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """split, key (a name), scene, pixels of an image of each document: half of each byte of the text's SHA-256, over and over, with a grain of 0 to 2
-    and a turn that the id gives. Copies of a text are near copies, turned, in one split or in several."""
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, key (a name), scene, h (SHA-256 of the text), m (a number that the id gives) of each document."""
     t = views.table(spark, sf_dir, "documents")
     split = F.when(F.col("doc_id") % 10 == 8, "val").when(F.col("doc_id") % 10 == 9, "test").otherwise("train")
     key = F.format_string("Shot_%06d.rf.%02d.jpg", F.floor(F.col("doc_id") / 3), F.col("doc_id") % 3)
-    rows = t.select(split.alias("split"), key.alias("key"), text.scene_key(F.col("source"), key).alias("scene"), F.unhex(F.sha2("text", 256)).alias("h"), (F.col("doc_id") % 24).cast("int").alias("m"))
+    return t.select(split.alias("split"), key.alias("key"), text.scene_key(F.col("source"), key).alias("scene"), F.unhex(F.sha2("text", 256)).alias("h"), (F.col("doc_id") % 24).cast("int").alias("m"))
+
+
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, key (a name), scene, pixels of an image of each document: half of each byte of the text's SHA-256, over and over, with a grain of 0 to 2
+    and a turn that the id gives. Copies of a text are near copies, turned, in one split or in several."""
     grow = leakage.FINE // N
 
     def draw(batches):
@@ -33,7 +37,7 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
             pixels = [np.kron(x, np.ones((grow, grow), dtype=np.uint8)).tobytes() for x in small]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("split", "key", "scene")), pa.array(pixels, pa.binary())], names=["split", "key", "scene", "pixels"])
 
-    return rows.mapInArrow(draw, "split string, key string, scene string, pixels binary")
+    return shots(spark, sf_dir).mapInArrow(draw, "split string, key string, scene string, pixels binary")
 
 
 #: All pairs of classes; the images are as sharp at full size, so what fits at the coarse one fits there.
@@ -61,8 +65,9 @@ PERCEPTUAL_PAIRS = f"WITH {_PAIRS} SELECT a_split, a_key, b_split, b_key, turn,
 def perceptual_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image with its group, and whether it goes."""
     images = photos(spark, sf_dir)
-    pairs, (_, members) = cut(leakage.perceptual_pairs(images)), leakage.classes_of(images)
-    done = leakage.prioritized(images.select("split", "key", "scene"), pairs, members)
+    seen = cut(leakage.sketched(images))
+    pairs = cut(leakage.perceptual_pairs(images, seen=seen))
+    done = leakage.prioritized(shots(spark, sf_dir).select("split", "key", "scene"), pairs, leakage.members_of(seen))
     return done.select("split", "key", "scene", "removed", F.coalesce("group", F.lit("")).alias("group"))
 
 

@@ -315,3 +315,17 @@ def test_long_chains_of_reassignment():
     chain = {i: [i, i + 1] for i in range(n)} | {n: [0]}
     got = maximum_matching(chain, [*range(n), n])
     assert len(got) == n + 1 and sorted(got.values()) == list(range(n + 1)) and all(t in chain[p] for t, p in got.items())
+
+
+def test_perceptual_pairs_shuffle_no_pixels(spark):
+    """Images that no pair names go through no shuffle with their pixels: what is written is far less than the images."""
+    rng = np.random.default_rng(5)
+    rows = [(("train", "val", "test")[i % 3], f"{i:03d}", bytearray(rng.integers(0, 256, 128 * 128, dtype=np.uint8).tobytes())) for i in range(300)]
+    rows.append(("test", "copy", rows[0][2]))
+    df = spark.createDataFrame(rows, "split string, key string, pixels binary").localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+    before = written()
+    assert [(r.a_key, r.b_key, r.turn) for r in leakage.perceptual_pairs(df).collect()] == [("000", "copy", 0)]
+    assert written() - before < 300 * 128 * 128 / 2
+    assert all(len(r.v) == 512 for r in leakage.coarse_vectors(df).select("v").collect())
