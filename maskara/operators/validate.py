@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import polygon_area, self_intersects
-from .order import cut
+from .order import cut, each_of
 
 ISSUES = "split string, image string, label string, line int, severity string, code string, message string"
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """lines with _words, _xy, _n (whole points), _points, _distinct and _area: each is made once and read by many rules."""
-    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
+    words = F.array_remove(F.split(F.trim("text"), r"\s+"), "")
     out = lines.withColumn("_words", words)
     out = out.withColumn("_xy", F.transform(F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), lambda x: x.try_cast("double")))
     out = out.withColumn("_n", F.floor(F.size("_xy") / 2).cast("int"))
@@ -45,7 +45,7 @@ def line_codes(class_id: int = 0, tiny: float = 1e-6) -> Column:
 
 def check_lines(lines: DataFrame, class_id: int = 0) -> DataFrame:
     """lines with severity and code, a row per issue."""
-    found = parsed_lines(lines).select(*lines.columns, F.explode(line_codes(class_id)).alias("_c"))
+    found = each_of(parsed_lines(lines).select(*lines.columns, F.explode_outer(line_codes(class_id)).alias("_c")), "_c")
     return found.withColumn("severity", F.substring_index("_c", ":", 1)).withColumn("code", F.substring_index("_c", ":", -1)).drop("_c")
 
 
@@ -78,6 +78,15 @@ def split_totals(images: DataFrame, instances: DataFrame, issues: DataFrame) ->
     return rows.rollup("split").agg(F.sum("i").alias("images"), F.sum("n").alias("instances"), F.sum("e").alias("errors"), F.sum("w").alias("warnings")).withColumn("split", F.coalesce("split", F.lit("total")))
 
 
+def line_totals(lines: DataFrame, class_id: int = 0) -> DataFrame:
+    """As split_totals() of label lines (split, stem, text), in one pass over them: each line is parsed once, and gives counts of its image, not rows."""
+    codes = parsed_lines(lines).select("split", "stem", line_codes(class_id).alias("_c"))
+    of = lambda severity: F.sum(F.coalesce(F.size(F.filter("_c", lambda c: F.startswith(c, F.lit(f"{severity}:")))), F.lit(0))).alias(severity)
+    images = codes.groupBy("split", "stem").agg(F.count("*").alias("instances"), of("error"), of("warning"))
+    out = images.rollup("split").agg(F.count("*").alias("images"), F.sum("instances").alias("instances"), F.sum("error").alias("errors"), F.sum("warning").alias("warnings"))
+    return out.withColumn("split", F.coalesce("split", F.lit("total")))
+
+
 def audit_codes(points: Column, box: Column, parsed: Column) -> Column:
     """The first failure of a detection or polygon label; null if it is sound."""
     outside = F.exists(points, lambda p: (p["x"] < 0) | (p["x"] > 1) | (p["y"] < 0) | (p["y"] > 1))

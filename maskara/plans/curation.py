@@ -33,8 +33,7 @@ ISSUE_COUNTS = f"WITH {_ISSUES} SELECT c AS issue, count(*) AS n FROM issue GROU
 
 
 def split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = views.label_lines(spark, sf_dir).withColumnRenamed("source", "split")
-    return validate.split_totals(lines.select("split", "stem").distinct(), lines, validate.check_lines(lines))
+    return validate.line_totals(views.label_lines(spark, sf_dir).withColumnRenamed("source", "split"))
 
 
 SPLIT_TOTALS = f"""WITH {_ISSUES}, r AS (

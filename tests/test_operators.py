@@ -329,3 +329,17 @@ def test_perceptual_pairs_shuffle_no_pixels(spark):
     assert [(r.a_key, r.b_key, r.turn) for r in leakage.perceptual_pairs(df).collect()] == [("000", "copy", 0)]
     assert written() - before < 300 * 128 * 128 / 2
     assert all(len(r.v) == 512 for r in leakage.coarse_vectors(df).select("v").collect())
+
+
+def test_totals_of_lines_in_one_pass(spark):
+    """Counts of label lines equal those of their issues row by row, with the lines read and ordered once."""
+    from maskara.plans import curation
+
+    ring = "0.1 0.1 0.4 0.1 0.4 0.4"
+    texts = [f"0 {ring}", f"3 {ring} 0.5 1.5", "", "  ", None, "0 0.1", f"a {ring}", "0 0.1 0.1 0.1001 0.1 0.1 0.1001", f"0\t{ring} ", "3 2 2 2 2 2 2"]
+    lines = spark.createDataFrame([("ab"[i % 2] if i < 8 else None, i // 2, i, t) for i, t in enumerate(texts)], "split string, stem int, line int, text string")
+    want = validate.split_totals(lines.select("split", "stem").distinct(), lines, validate.check_lines(lines))
+    assert sorted(map(str, validate.line_totals(lines).collect())) == sorted(map(str, want.collect()))
+    assert validate.line_totals(lines.limit(0)).count() == 0
+    plan = curation.split_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "format_string" not in plan
