@@ -29,6 +29,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -221,7 +222,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                 binary = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(at), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(shard), doc_ids, ties, binary], schema=schema)
 
-    @tidy
+    @partial(tidy, keeps=False)
     def files(batches):
         schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("file", pa.binary())])
         shard, part, doc_ids, sizes, data, held = None, 0, [], [], [], 0
@@ -261,7 +262,7 @@ def read(spark, folder: str) -> DataFrame:
 def documents(files: DataFrame) -> DataFrame:
     """read()'s rows -> doc_id, start, n_tokens, ids_crc32."""
 
-    @tidy
+    @partial(tidy, keeps=False)
     def rows(batches):
         for batch in batches:
             for start, data in zip(batch.column("start").to_pylist(), batch.column("file")):

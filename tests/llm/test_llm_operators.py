@@ -380,3 +380,13 @@ def test_licenses_brute_force(spark, monkeypatch):
     for chunk in (5_000, 4):
         monkeypatch.setattr(license_scan, "CHUNK", chunk)
         assert {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in license_scan.with_license(docs, templates=given).collect()} == want
+
+
+def test_later_stages_let_go_of_what_a_worker_kept(monkeypatch):
+    """A stage that keeps nothing starts without what a stage before it, of the same operator, kept; another finds it again."""
+    monkeypatch.setattr(units, "_KEPT", {})
+    owner = __name__.rpartition(".")[2]
+    units.kept(owner, 1, list)
+    seen = lambda batches: iter([len(units._KEPT)])
+    assert list(units.tidy(seen)([])) == [1]
+    assert list(units.tidy(seen, keeps=False)([])) == [0]
