@@ -11,6 +11,8 @@ from .order import cut, numbered, small
 #: Names of the splits that come out; IoU at which masks of equal images count as equal; class and category of instances.
 DERIVED = {"train": "train_clean", "val": "val_clean", "test": "test_frozen"}
 SAME_IOU = 0.99
+#: Images that are broadcast by number.
+BROADCAST_IMAGES = 1_000_000
 CLASS_ID, CATEGORY_ID = 0, 1
 #: Splits (or others by which ids start anew) that are broadcast.
 FEW = 10_000
@@ -75,23 +77,35 @@ def instance_manifest(ids: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(images: DataFrame, instances: DataFrame, least: float = SAME_IOU) -> DataFrame:
-    """images (image, sha256, width, height, place: their order) and instances (image, idx, shape: masks on one raster) -> a row per content that several
+    """images (image, sha256, width, height, place: their order) and instances (image, idx, shape: masks on one raster, or points: polygons,
+    drawn here only of images that have a copy) -> a row per content that several
     images have: sha256, n, kind and min_iou.
 
     kind: dimension_conflict (sizes differ); exact_raster (the same masks); equivalent_raster (the masks of each image match those of the first one to one at
     ``least``; min_iou is the lowest IoU of those pairs); else label_conflict. min_iou is 1 but for equivalent_raster.
     """
     several = images.groupBy("sha256").agg(F.count("*").alias("n"), F.count_distinct("width", "height").alias("sizes"), F.min_by("image", "place").alias("first")).filter("n > 1")
-    lists = instances.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("idx", "shape"))).alias("own"))
-    empty = F.array().cast(lists.schema["own"].dataType)
-    rows = images.join(several, "sha256").join(lists, "image", "left").select("sha256", "image", "n", "sizes", "first", F.coalesce("own", empty).alias("own"))
-    signature = F.sha2(F.to_json(F.array_sort(F.transform("own", lambda x: F.sha2(F.to_json(x["shape"]), 256)))), 256)
-    rows = cut(rows.withColumn("signature", signature))
+    held = cut(images.join(several, "sha256").select("sha256", "image", "n", "sizes", "first"))
+
+    # masks of copies of one size only, as hashes; masks themselves go on of images that are compared
+    def of(images_: DataFrame) -> DataFrame:
+        chosen = instances.join(small(images_, BROADCAST_IMAGES), "image", "left_semi")
+        return chosen if "shape" in instances.columns else chosen.select("image", "idx", masks.packed(F.col("points")).alias("shape"))
+
+    digests = of(held.filter("sizes = 1").select("image")).select("image", F.sha2(F.to_json("shape"), 256).alias("d"))
+    signatures = digests.groupBy("image").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("d"))), 256).alias("signature"))
+    rows = cut(held.join(signatures, "image", "left").withColumn("signature", F.coalesce("signature", F.lit(""))))
     kinds = rows.groupBy("sha256", "n", "sizes").agg(F.count_distinct("signature").alias("signatures"))
-    open_ = kinds.filter("sizes = 1 AND signatures > 1").select("sha256")
-    first = rows.filter("image = first").select("sha256", F.col("own").alias("base"), F.col("signature").alias("base_signature")).join(open_, "sha256", "left_semi")
+    left = rows.join(kinds.filter("sizes = 1 AND signatures > 1").select("sha256"), "sha256", "left_semi")
     # against the first; copies with its masks match it anyway, and of others with equal masks one is looked at, so a content of many copies is few rows
-    others = rows.dropDuplicates(["sha256", "signature"]).join(first, "sha256").filter("signature <> base_signature")
+    first = left.filter("image = first").select("sha256", F.col("image").alias("_first"), F.col("signature").alias("base_signature"))
+    others = left.groupBy("sha256", "signature").agg(F.min("image").alias("_other")).join(first, "sha256").filter("signature <> base_signature")
+    others = cut(others.select("sha256", "_first", "_other"))
+    compared = others.select(F.col("_first").alias("image")).union(others.select("_other")).distinct()
+    lists = of(compared).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("idx", "shape"))).alias("own"))
+    empty = F.array().cast(lists.schema["own"].dataType)
+    others = others.join(lists.select(F.col("image").alias("_first"), F.col("own").alias("base")), "_first", "left").join(lists.select(F.col("image").alias("_other"), "own"), "_other", "left")
+    others = others.select("sha256", F.coalesce("base", empty).alias("base"), F.coalesce("own", empty).alias("own"))
     near = F.transform("base", lambda x: F.struct(x["idx"].alias("idx"), matching.falling(F.filter(matching.met(x, F.col("own"), masks.shared, "idx"), lambda y: y["iou"] >= least)).alias("gts")))
     pairs = others.select("sha256", F.size("base").alias("n_base"), F.size("own").alias("n_own"), near.alias("near"))
 

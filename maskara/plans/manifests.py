@@ -55,7 +55,7 @@ def duplicate_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda q: (F.lit(384 * (q % 2)) + byte(1 + q) % 20 + moved, F.lit(384 * (q // 2)) + byte(5 + q) % 20, 330 + byte(9 + q) % 20, 330 + byte(13 + q) % 20)
     ring = lambda x, y, w, h: F.array(*(F.struct((a / SIDE).alias("x"), (b / SIDE).alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))))
     boxes = F.slice(F.array(*(F.struct(F.lit(q).alias("idx"), ring(*corner(q)).alias("points")) for q in range(3))), 1, byte(0) % 3 + 1)
-    rows = t.select("image", F.explode(boxes).alias("b")).select("image", "b.idx", masks.packed(F.col("b.points")).alias("shape"))
+    rows = t.select("image", F.explode(boxes).alias("b")).select("image", "b.idx", "b.points")
     return manifest.duplicate_groups(images, rows).select("sha256", "n", "kind", F.round("min_iou", 6).alias("min_iou"))
 
 

@@ -82,3 +82,20 @@ def test_coco_in_parts(spark, tmp_path):
     first = json.loads("".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "x").glob("part-*"))))
     assert first["images"][0] == {"id": 1, "file_name": "001.jpg", "width": None} and first["annotations"][1] == {"id": 2, "image_id": 1, "bbox": [0.5, 1.0], "extra": {"source": 'a "b"'}}
     assert len(list((tmp_path / "x").glob("part-*"))) > 1
+
+
+def test_duplicate_groups_shuffle_few_masks(spark):
+    """Masks are shuffled of images that are compared only: not of images without a copy, nor of copies with equal masks or of other sizes."""
+    rng = np.random.default_rng(4)
+    words = lambda: [[int(x) for x in rng.integers(-(2**62), 2**62, 100)]]
+    images = [(i, f"{i}", 640, 640, i) for i in range(200)] + [(1000 + i, f"{i}", 640, 640 + i % 2, 1000 + i) for i in range(100)]
+    own = {i: words() for i in range(200)}
+    shapes = [(i, 0, (0, 0, 63, 99, 3200, own[i % 1000])) for i, *_ in images]
+    frame = spark.createDataFrame(images, "image long, sha256 string, width int, height int, place long")
+    rows = spark.createDataFrame(shapes, "image long, idx int, shape struct<x0: int, y0: int, x1: int, y1: int, n: int, strips: array<array<bigint>>>").localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+    before = written()
+    got = manifest.duplicate_groups(frame, rows).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == {"exact_raster": 50, "dimension_conflict": 50}
+    assert written() - before < 300 * 100 * 8 / 3
