@@ -311,7 +311,7 @@ def source_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import matching
 
     grid = spark.createDataFrame([(i, c, n, 0.0, -1.0) for i, (c, n) in enumerate((c, n) for c in evaluation.GRID_CONF for n in (0.3, 0.5))], "grid_seq int, conf double, nms_iou double, min_area double, min_edge double")
-    per = metrics.totals(matching.evaluated(views.image_rows(spark, sf_dir), grid), ["source", "grid_seq"]).select("source", "grid_seq", "tp", "fp", "fn").persist()
+    per = matching.evaluated_totals(views.image_rows(spark, sf_dir), grid, ["source", "grid_seq"]).select("source", "grid_seq", "tp", "fp", "fn").persist()
     n = per.filter("grid_seq = 0").agg(F.sum(F.col("tp") + F.col("fn"))).first()[0] or 0
     return policy.source_policies(per, n).select("tp", "fp", "fn", "path", F.round("f1", 6).alias("f1"))
 

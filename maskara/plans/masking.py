@@ -40,7 +40,7 @@ MASK_MATCH_RASTER = _of_masks(evaluation.GREEDY_MATCH)
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(c, n, a, e) for c in GRID["conf"] for n in GRID["nms_iou"] for a in GRID["min_area"] for e in GRID["min_edge"]]
     grid = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "grid_seq int, conf double, nms_iou double, min_area double, min_edge double")
-    return matching.grid_totals(matching.evaluated(views.mask_rows(spark, sf_dir, min(GRID["conf"])), grid, MATCH_IOU), ["grid_seq", *GRID])
+    return matching.grid_totals(matching.evaluated_totals(views.mask_rows(spark, sf_dir, min(GRID["conf"])), grid, ["grid_seq", *GRID], MATCH_IOU), ["grid_seq", *GRID])
 
 
 def mask_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
