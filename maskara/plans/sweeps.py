@@ -53,8 +53,7 @@ SELECT grid_seq, min_area, max_area, conf, tp, fp, fn, round(precision, 6) AS pr
 def consensus_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(c, a, k, s, n) for c in AGREE_CONF for a in AGREE_AREA for k in AGREE_SUPPORT if k <= MODELS for s in AGREE_IOU for n in AGREE_NMS]
     grid = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "grid_seq int, conf double, min_area double, min_support int, support_iou double, nms_iou double")
-    done = consensus.evaluated(views.image_rows(spark, sf_dir, min(AGREE_CONF), consensus.of_lists), grid, MATCH_IOU)
-    out = metrics.totals(done, ["grid_seq", "conf", "min_area", "min_support", "support_iou", "nms_iou"])
+    out = metrics.with_rates(consensus.evaluated_totals(views.image_rows(spark, sf_dir, min(AGREE_CONF), consensus.of_lists), grid, ["grid_seq", "conf", "min_area", "min_support", "support_iou", "nms_iou"], MATCH_IOU))
     return out.select("grid_seq", "conf", "min_area", "min_support", "support_iou", "nms_iou", *_counts(out))
 
 
