@@ -86,3 +86,33 @@ def test_no_row_for_an_image_and_a_setting(spark):
 
     plan = evaluation.grid_metrics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [_word") > plan.index("Join") and "Join Cross" not in plan
+
+
+def test_one_shuffle_of_given_columns_and_no_sort_again(spark):
+    """An image's rows are shuffled once, as they are read, and put into arrays in the order they have; features need no join of boxes."""
+    from maskara.plans import curation, evaluation
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for query in (evaluation.error_table, curation.feature_table, evaluation.max_cardinality_match):
+            plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan parquet") == 1 and "ObjectHashAggregate" not in plan and "Join" not in plan
+            assert "x0#" not in plan[plan.index("Exchange hashpartitioning") :]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_matching_curve_between_batches(spark):
+    """Images that share a batch, images without predictions, truths in all batches: against the maximum matching of each prefix."""
+    rng = random.Random(5)
+    images = [_image(rng) for _ in range(40)]
+    rows = spark.createDataFrame([(k, m, [(i + 1, idx[i], conf[i], area[i], 0.0, None, over[i] or None) for i in range(n)]) for k, (n, m, idx, conf, area, _, _, over) in enumerate(images)], f"image int, n_gt int, preds {PREDS}").repartition(3)
+    got = {r.score: (r.tp, r.fp, r.fn) for r in matching.matching_curve(rows, MATCH).collect()}
+    n_gt = sum(x[1] for x in images)
+    for score in (0.1, 0.3, 0.5, 0.7):
+        tp = n = 0
+        for size, _, _, conf, _, _, _, over in images:
+            some = [i for i in range(size) if conf[i] >= score]
+            adjacent = {i: [t for v, t in over[i] if v >= MATCH] for i in some}
+            tp, n = tp + len(matching.maximum_matching(adjacent, some)), n + len(some)
+        assert got[score] == (tp, n - tp, n_gt - tp)
