@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
-from ..operators import curate, features, frames, leakage, metrics, pairs, policy, validate
+from ..operators import curate, features, frames, leakage, matching, metrics, policy, validate
 from . import evaluation, views
 
 
@@ -147,7 +147,7 @@ FUSED_NAMES = f"WITH {views.ASSETS} SELECT image, source || '_' || lpad(n::VARCH
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = curate.error_counts(views.image_rows(spark, sf_dir), evaluation.CONF, evaluation.MATCH_IOU).withColumn("seq", F.col("image"))
+    rows = curate.error_counts(views.image_rows(spark, sf_dir, form=matching.with_truths), evaluation.CONF, evaluation.MATCH_IOU).withColumn("seq", F.col("image"))
     return curate.review_queue(rows, 50).select("image", "gt", "fp", "fn", "unreachable", "score", "action")
 
 
@@ -161,9 +161,7 @@ REVIEW_QUEUE = _QUEUE + f" SELECT *, CASE WHEN unreachable >= 2 THEN {_A[0]} WHE
 
 
 def instance_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import matching
-
-    each = views.image_rows(spark, sf_dir).select("image", F.explode(matching.best_of_truths(F.col("preds"), F.col("truths"))).alias("t"))
+    each = views.image_rows(spark, sf_dir, form=matching.with_truths).select("image", F.explode(matching.best_of_truths(F.col("preds"), F.col("truths"))).alias("t"))
     side = lambda lo, hi: (F.col(f"t.shape.{hi}") - F.col(f"t.shape.{lo}")) / 40
     reachable = F.when(F.coalesce("t.best.iou", F.lit(0.0)) >= evaluation.MATCH_IOU, "True").otherwise("False")
     rows = each.select("image", "t.idx", "t.area", (F.col("t.edge") <= 0.02).alias("edge"), side("x0", "x1").alias("box_w"), side("y0", "y1").alias("box_h"), reachable.alias("reachable"))
@@ -271,8 +269,7 @@ FEATURES = ["conf", "conf_rank", "rank_share", "over_mean", "under_top", "cx", "
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.preds(spark, sf_dir)
-    out = features.one_hot(features.box_features(p, pairs.pred_pred(p)), ("alpha", "beta", "gamma", "unknown"))
+    out = features.one_hot(features.box_features_of(views.instances(spark, sf_dir)), ("alpha", "beta", "gamma", "unknown"))
     return out.select("image", "idx", *(F.round(c, 6).alias(c) for c in (*FEATURES, "n", "at_edge")), "source_alpha", "source_beta", "source_gamma", "source_unknown")
 
 
@@ -285,8 +282,7 @@ FEATURE_TABLE = f"WITH {_FEATURES} SELECT image, idx, {', '.join(f'round({c}, 6)
 
 
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.preds(spark, sf_dir)
-    rows = features.box_features(p, pairs.pred_pred(p)).select("image", "idx", *FEATURES)
+    rows = features.box_features_of(views.instances(spark, sf_dir)).select("image", "idx", *FEATURES)
     scale = features.scaling(rows.filter("image % 5 <> 0"), FEATURES)
     return features.standardized(rows, scale, FEATURES).select("image", "idx", *(F.round(c, 4).alias(c) for c in FEATURES))
 
@@ -308,8 +304,6 @@ SELECT part, tp, fp, path FROM (SELECT *, min(fp) OVER (PARTITION BY part ORDER
 
 def source_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every total that one setting per source can reach and none beats."""
-    from ..operators import matching
-
     grid = spark.createDataFrame([(i, c, n, 0.0, -1.0) for i, (c, n) in enumerate((c, n) for c in evaluation.GRID_CONF for n in (0.3, 0.5))], "grid_seq int, conf double, nms_iou double, min_area double, min_edge double")
     per = matching.evaluated_totals(views.image_rows(spark, sf_dir), grid, ["source", "grid_seq"]).select("source", "grid_seq", "tp", "fp", "fn").persist()
     n = per.filter("grid_seq = 0").agg(F.sum(F.col("tp") + F.col("fn"))).first()[0] or 0
