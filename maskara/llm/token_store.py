@@ -47,6 +47,9 @@ SLICE_BYTES = 1_500_000
 KEPT_UNITS = 1_200_000
 #: Every so many ones the position is stored.
 SAMPLE = 256
+#: The table of files is written as it is (its bits hardly compress) and in pages and row groups of a few files: a page has 100 rows at least otherwise, 100 MB, and the
+#: codec keeps buffers of that size outside the heap, in each writing and each reading task.
+PAGES = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4", "parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 #: Rows up to which the table of files is broadcast.
 BROADCAST_FILES = 100_000
 
@@ -245,7 +248,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
     encoded = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(encode, "shard int, doc_id long, tie long, ids binary")
     dealt = encoded.repartition(max(shards + null_shards, 1), "shard").sortWithinPartitions("shard", "doc_id", "tie", "ids")
-    dealt.select("shard", "doc_id", "ids").mapInArrow(files, "shard int, part int, n_tokens long, file binary").write.mode("overwrite").parquet(folder)
+    dealt.select("shard", "doc_id", "ids").mapInArrow(files, "shard int, part int, n_tokens long, file binary").write.mode("overwrite").options(**PAGES).parquet(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
