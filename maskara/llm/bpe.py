@@ -33,7 +33,7 @@ from .units import Cut, Places, by_bytes, gathered, tidy
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 16_000_000
 #: Bytes of text cut at a time.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 #: Rows in an output batch.
 BATCH = 2000
 #: Documents for each bucket of distinct units, and most buckets; distinct units of a bucket held at a time.
