@@ -31,13 +31,15 @@ from .store import bounded_batches
 from .units import Cut, Places, by_bytes, gathered, tidy
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Bytes of text cut at a time.
-SLICE_BYTES = 500_000
+SLICE_BYTES = 250_000
 #: Rows in an output batch.
 BATCH = 2000
 #: Documents for each bucket of distinct units, and most buckets; distinct units of a bucket held at a time.
 BUCKET_DOCS, MOST_BUCKETS, KEPT_UNITS = 2500, 65_536, 1_000_000
+#: Numbers packed or unpacked at a time.
+PACKED = 250_000
 #: Level of compression of what is shuffled and kept.
 LEVEL = 3
 #: A block may hold repeats far apart: the window covers all of it.
@@ -126,10 +128,11 @@ def _whole(data: bytes) -> bytes:
 
 def _packed(a: np.ndarray) -> bytes:
     """Numbers below 2**32: how many bytes each needs, then their lowest bytes, their second ones and so on, compressed."""
-    a = np.asarray(a).astype(np.uint32)
-    n = ((a >= 1 << 8).astype(np.uint8) + (a >= 1 << 16) + (a >= 1 << 24)).astype(np.uint8)
-    planes = [((a[n >= k] >> np.uint32(8 * k)) & 255).astype(np.uint8).tobytes() for k in range(4)]
-    return np.uint64(len(a)).tobytes() + _squeezed(n.tobytes() + b"".join(planes))
+    a = np.asarray(a).astype(np.uint32, copy=False)
+    parts = [a[i : i + PACKED] for i in range(0, len(a), PACKED)]
+    n = [(x >= 1 << 8).astype(np.uint8) + (x >= 1 << 16) + (x >= 1 << 24) for x in parts]
+    planes = [(x[m >= k] >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4) for x, m in zip(parts, n)]  # the cast keeps the lowest byte
+    return np.uint64(len(a)).tobytes() + _squeezed(b"".join([*(m.tobytes() for m in n), *planes]))
 
 
 def _unpacked(b: bytes) -> np.ndarray:
@@ -137,10 +140,10 @@ def _unpacked(b: bytes) -> np.ndarray:
     n, at = raw[:size], size
     out = np.zeros(size, dtype=np.uint32)
     for k in range(4):
-        has = n >= k
-        count = int(has.sum())
-        out[has] |= raw[at : at + count].astype(np.uint32) << np.uint32(8 * k)
-        at += count
+        for i in range(0, size, PACKED):
+            has = np.flatnonzero(n[i : i + PACKED] >= k)
+            out[i + has] |= raw[at : at + len(has)].astype(np.uint32) << np.uint32(8 * k)
+            at += len(has)
     return out
 
 
@@ -172,23 +175,28 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     def whole():
         nonlocal block, held, table, rows
-        codes = np.concatenate([r[2] for r in rows])
+        codes = np.concatenate([r.pop() for r in rows])
         lengths, hashes = np.concatenate(table.lengths), np.concatenate(table.hashes)
-        order = np.argsort(-np.bincount(codes, minlength=len(lengths)), kind="stable")
+        count = np.zeros(len(lengths), dtype=np.int64)
+        for i in range(0, len(codes), PACKED):
+            count += np.bincount(codes[i : i + PACKED], minlength=len(lengths))
+        order = np.argsort(-count, kind="stable")
         place = np.empty(len(lengths), dtype=np.uint32)
         place[order] = np.arange(len(lengths))
         data, lengths = gathered(order, lengths, np.concatenate(table.bytes))
-        data = data.tobytes()
+        table, data = _Table(), data.tobytes()
+        for i in range(0, len(codes), PACKED):
+            codes[i : i + PACKED] = place[codes[i : i + PACKED]]
         stamp = zlib.crc32(lengths.tobytes(), zlib.crc32(data, len(codes)))
-        out = (task << 32) + block, stamp, (Cut.end_to_end(data, lengths), hashes[order]), pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), place[codes]
-        block, held, table, rows = block + 1, 0, _Table(), []
+        out = (task << 32) + block, stamp, (Cut.end_to_end(data, lengths), hashes[order]), pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), codes
+        block, held, rows = block + 1, 0, []
         return out
 
     for batch in batches:
         for part in by_bytes(batch, "text", SLICE_BYTES):
             task = part.column("part")[0].as_py()
             cut = Cut.of(part.column("text"))
-            rows.append((pa.array(part.column("doc_id").to_pylist(), pa.int64()), np.diff(cut.offsets), table.codes(cut)))  # a copy, not a view of the batch
+            rows.append([pa.array(part.column("doc_id").to_pylist(), pa.int64()), np.diff(cut.offsets), table.codes(cut)])  # a copy, not a view of the batch
             held += part.column("text").nbytes
             if held >= BLOCK_BYTES:
                 yield whole()
@@ -206,6 +214,7 @@ def _split_units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             for f, v in zip(out, (block, stamp, int(bucket[at[0]]), _packed(np.diff(at, prepend=0)), _packed(units.ends[at] - units.starts[at]), _squeezed(units.bytes_of(at).tobytes()))):
                 out[f].append(v)
+        del units, hashes, _, bucket, order  # a block's, before the next one is read
         yield pa.RecordBatch.from_pydict(out, schema=UNITS)
 
 
@@ -214,7 +223,9 @@ def _split_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block its documents, as places of units."""
     for block, stamp, _, doc_ids, sizes, codes in _blocks(batches):
         doc_ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
-        yield pa.RecordBatch.from_pydict({"block": [block], "stamp": [stamp], "doc_ids": doc_ids, "sizes": [_packed(sizes)], "codes": [_packed(codes)]}, schema=TEXTS)
+        out = {"block": [block], "stamp": [stamp], "doc_ids": doc_ids, "sizes": [_packed(sizes)], "codes": [_packed(codes)]}
+        del _, doc_ids, sizes, codes  # a block's, before the next one is read
+        yield pa.RecordBatch.from_pydict(out, schema=TEXTS)
 
 
 @tidy
@@ -265,8 +276,10 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise RuntimeError(UNSTABLE)
             flat, each = gathered(by_place, lengths, data)
             ids = np.unique(data).astype(np.int32)
+            parts = places = lengths = data = by_place = None
             yield pa.RecordBatch.from_pydict({"block": np.full(len(ids), now), "id": ids, **{f.name: pa.nulls(len(ids), f.type) for f in list(TABLE)[2:]}}, schema=TABLE)
             yield pa.RecordBatch.from_pydict({"block": [now], "id": [None], "lengths": [_packed(each)], "data": [_packed(flat)], "doc_ids": [row["doc_ids"]], "sizes": [row["sizes"]], "codes": [row["codes"]]}, schema=TABLE)
+            parts, flat, each = [], None, None
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -312,7 +325,7 @@ def _rows(row: dict, size: np.ndarray, data: np.ndarray, pieces: dict) -> Iterat
     ids = row["doc_ids"]
     at = 0
     while at < len(ids):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + 500_000)))
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + 100_000)))
         low, high = int(ends[at] - n[at]), int(ends[to - 1])
         got, each = gathered(codes[low:high], size, data)
         per = np.add.reduceat(np.append(each, 0), np.minimum(ends[at:to] - n[at:to] - low, len(each))) if high > low else np.zeros(to - at, dtype=np.int64)

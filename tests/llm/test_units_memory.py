@@ -36,3 +36,22 @@ def test_file_table_in_small_pages(spark, tmp_path):
     assert sum(m.num_rows for m in parts) > 0
     assert {m.row_group(g).column(c).compression for m in parts for g in range(m.num_row_groups) for c in range(m.num_columns)} == {"UNCOMPRESSED"}
     assert token_store.documents(token_store.read(spark, at)).count() == 50
+
+
+def test_numbers_are_packed_in_parts():
+    """A block's places of units are packed and unpacked without a second copy of them all."""
+    from maskara.llm import bpe
+
+    rng = np.random.default_rng(2)
+    numbers = (rng.integers(0, 1 << 32, 2_000_000, dtype=np.uint64) >> rng.integers(0, 33, 2_000_000, dtype=np.uint64)).astype(np.uint32)
+    tracemalloc.start()
+    data = bpe._packed(numbers)
+    packing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    got = bpe._unpacked(data)
+    unpacking = tracemalloc.get_traced_memory()[1] - len(data)
+    tracemalloc.stop()
+    assert (got == numbers).all()
+    assert packing < 3 * numbers.nbytes and unpacking < 3 * numbers.nbytes
+    for few in ([], [0], [255, 256, 65_535, 65_536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1]):
+        assert bpe._unpacked(bpe._packed(np.array(few, dtype=np.int64))).tolist() == few
