@@ -179,3 +179,18 @@ def test_queries(spark):
         df = op(spark, SF)
         want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_planted_passages(spark):
+    """Passages in two documents go where they have LENGTH bytes, shorter ones stay, however many words they have; so do documents without one."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(n))
+    passages = {i: words(51 + 3 * i) for i in range(20)}
+    rows = [(2 * i + k, f"{words(150)} {p} {words(150)}") for i, p in passages.items() for k in (0, 1)] + [(1000 + i, words(300)) for i in range(20)]
+    removed = dict(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "out").select("doc_id", "out.n_removed").collect())
+    assert removed == _removed(rows) and len({v > 0 for v in removed.values()}) == 2 and all(removed[1000 + i] == 0 for i in range(20))
+
+
+def _removed(rows):
+    seen = Counter(t[i : i + repeats.LENGTH] for _, t in rows for i in range(len(t) - repeats.LENGTH + 1))
+    return {d: len({j for i in range(len(t) - repeats.LENGTH + 1) if seen[t[i : i + repeats.LENGTH]] > 1 for j in range(i, i + repeats.LENGTH)}) for d, t in rows}
