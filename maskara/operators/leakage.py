@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,13 @@ def shared_keys(assets: DataFrame, a: str, b: str, key: str) -> DataFrame:
     return side(a).intersect(side(b))
 
 
-#: Sides of the coarse and the full image; rows of a block on each side, and of a tile of it that is compared at a time; width of a cell on each measure;
-#: the measures that cells are made of, by their frequencies; images that are broadcast by name.
+#: Sides of the coarse and the full image; rows of a block on each side, and of a tile of it that is compared at a time; images that are broadcast by name.
 COARSE, FINE = 16, 128
-BLOCK_ROWS, TILE_ROWS, CELL = 8192, 256, 0.25
-MEASURES = ((0, 1), (1, 1), (0, 2), (1, 2))
+BLOCK_ROWS, TILE_ROWS = 8192, 256
 BROADCAST_IMAGES = 500_000
+#: Images that the axes of places are fitted on, axes, pivots, and pivots next to an image that rule out others; what rounding moves two places apart at most.
+FIT_ROWS, AXES, PIVOTS, NEXT, SLACK = 4096, 32, 512, 8, 3e-3
+PAIR = ("a_split", "a_key", "b_split", "b_key")
 
 
 def _waves(n: int) -> np.ndarray:
@@ -80,13 +82,6 @@ def lengths(small: np.ndarray) -> np.ndarray:
     return np.sqrt(a[:, i, j] + np.where(i != j, a[:, j, i], 0))
 
 
-def measures(small: np.ndarray) -> np.ndarray:
-    """The lengths of unit images [row, n, n] for the pairs of frequencies in MEASURES; they differ by no more than the images do."""
-    i, j = np.triu_indices(small.shape[1])
-    places = [np.flatnonzero((i == min(m)) & (j == max(m)))[0] for m in MEASURES]
-    return lengths(small)[:, places]
-
-
 def _units(sums: list[bytes]) -> np.ndarray:
     """Sums of the blocks of images -> [row, place], each less its mean, over its length; nan for one of one shade."""
     small = np.frombuffer(b"".join(sums), dtype="<u2").reshape(-1, COARSE * COARSE) / (FINE // COARSE) ** 2
@@ -97,21 +92,21 @@ def _units(sums: list[bytes]) -> np.ndarray:
 
 def sketched(images: DataFrame) -> DataFrame:
     """split, key, pixels (gray, FINE x FINE bytes) -> split, key, content (SHA-256 of the pixels), v (the coarse image: sums of blocks of pixels, in 2 bytes
-    each), m (its measures). An image of one shade has no direction: v and m are null. Later steps need no pixels until pairs are confirmed."""
+    each). An image of one shade has no direction: v is null. Later steps need no pixels until pairs are confirmed."""
 
     def sketch(batches):
         step = FINE // COARSE
-        for batch in batches:
-            pixels = batch.column("pixels").to_pylist()
-            raw = np.frombuffer(b"".join(pixels), dtype=np.uint8).reshape(-1, COARSE, step, COARSE, step)
-            sums = [x.tobytes() for x in raw.sum((2, 4), dtype="<u2").reshape(len(pixels), -1)]
-            small = _units(sums)
-            ok = ~np.isnan(small[:, 0])
-            m = measures(small.reshape(-1, COARSE, COARSE))
-            columns = [pa.array([hashlib.sha256(x).digest() for x in pixels], pa.binary()), pa.array(sums, pa.binary(), mask=~ok), pa.array([x if y else None for x, y in zip(m, ok)], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("key"), *columns], names=["split", "key", "content", "v", "m"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE_ROWS):
+                batch = whole.slice(at, TILE_ROWS)
+                pixels = batch.column("pixels").to_pylist()
+                raw = np.frombuffer(b"".join(pixels), dtype=np.uint8).reshape(-1, COARSE, step, FINE)
+                raw = raw.sum(2, dtype="<u2").reshape(-1, COARSE, COARSE, step).sum(3, dtype="<u2")
+                sums = [x.tobytes() for x in raw]
+                columns = [pa.array([hashlib.sha256(x).digest() for x in pixels], pa.binary()), pa.array(sums, pa.binary(), mask=np.isnan(_units(sums)[:, 0]))]
+                yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("key"), *columns], names=["split", "key", "content", "v"])
 
-    return images.select("split", "key", "pixels").mapInArrow(sketch, "split string, key string, content binary, v binary, m array<double>")
+    return images.select("split", "key", "pixels").mapInArrow(sketch, "split string, key string, content binary, v binary")
 
 
 def members_of(seen: DataFrame) -> DataFrame:
@@ -128,78 +123,155 @@ def classes_of(images: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def coarse_vectors(images: DataFrame) -> DataFrame:
-    """split, key, v, m of ``sketched`` images that are not of one shade."""
-    return sketched(images).filter("v IS NOT NULL").select("split", "key", "v", "m")
-
-
-def coarse_pairs(vectors: DataFrame, at_least: float = 0.995, block: int = BLOCK_ROWS, cell: float = CELL) -> DataFrame:
-    """a_split, a_key, b_split, b_key, turn, coarse of all images of different splits (a's before b's in train, val, test) that fit at that correlation under
-    the best turn of b; of equals the first turn.
-
-    Unit images of correlation c lie sqrt(2 - 2c) apart, and so no measure differs by more. Images of the side a lie in one cell of the
-    measures, those of b in all cells within that distance, so a pair that fits meets in exactly one. A cell is compared in blocks of about
-    ``block`` rows on each side, each block pair in a task of its own: first by products of ``lengths``, which are at least the correlation
-    under any turn, then, where these reach it, turn by turn; only what fits leaves it. A coarse image goes to each block pair of its
-    block, in half a KB.
+    """split, key, v of ``sketched`` images that are not of one shade."""
+    return sketched(images).filter("v IS NOT NULL").select("split", "key", "v")
+
+
+def _shapes(sums: list[bytes]) -> np.ndarray:
+    return lengths(_units(sums).reshape(-1, COARSE, COARSE))
+
+
+class Places(NamedTuple):
+    """Axes of lengths from their mean, fitted on a bounded sample, and pivots among the places that they give. Whatever the sample, places lie no further
+    apart than the images under any turn: axes are orthonormal, and the last coordinate is the length of what they leave."""
+
+    mean: np.ndarray
+    axes: np.ndarray
+    pivots: np.ndarray
+    apart: np.ndarray
+
+    def of(self, sums: list[bytes]) -> np.ndarray:
+        off = _shapes(sums) - self.mean
+        y = off @ self.axes
+        return np.column_stack([y, np.sqrt(np.maximum((off**2).sum(1) - (y**2).sum(1), 0))]).astype("<f2")
+
+    def cells(self, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each place, and [place, pivot]: whether that pivot may be the nearest of a place within reach. Such a place is at most reach
+        beyond the plane midway to any other pivot; a few pivots next to the place are tried."""
+        d = (y**2).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * y @ self.pivots.T
+        may, rows = np.ones(d.shape, dtype=bool), np.arange(len(d))
+        order = np.argpartition(d, min(NEXT, d.shape[1]) - 1, axis=1)[:, :NEXT]
+        for k in order.T:
+            may &= d - d[rows, k][:, None] <= 2 * reach * self.apart[k] + 1e-9
+        return d.argmin(1), may
+
+
+def fitted(vectors: DataFrame, pivots: int = PIVOTS) -> Places | None:
+    """Places fitted on FIT_ROWS of the coarse images v, those of the smallest hashes; None where there is none."""
+    sums = [bytes(r["v"]) for r in vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(FIT_ROWS).collect()]
+    if not sums:
+        return None
+    x = _shapes(sums)
+    mean = x.mean(0)
+    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, ::-1][:, :AXES]
+    y = Places(mean, axes, np.zeros((0, 0)), np.zeros((0, 0))).of(list(dict.fromkeys(sums))).astype(np.float64)
+    y = y[: max(1, min(pivots, len(y) // 8))]
+    return Places(mean, axes, y, np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)))
+
+
+def near_pairs(vectors: DataFrame, at_least: float = 0.995, block: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """a_split, a_key, b_split, b_key: all pairs of images of different splits whose places lie within the distance of that correlation, so all that fit at it and
+    few others. vectors: split, key, v, and content where copies in a split are to stand for each other (by the smallest key).
+
+    Unit images of correlation c lie sqrt(2 - 2c) apart, and places no further. An image of the side a goes to the cell of its nearest pivot, one of b to the
+    cells of all pivots that may be the nearest of a place within that distance, so a pair meets in exactly one. A cell is compared in blocks of
+    about ``block`` rows on each side, each block pair in a task of its own. A place takes 66 bytes; coarse images stay where they are.
     """
-    reach = float(np.sqrt(max(2 - 2 * at_least, 0.0))) + 1e-9
-    place = F.array_position(F.array(*map(F.lit, reversed(PRIORITY))), F.col("split"))
-    rows = vectors.withColumn("side", place).filter("side > 0")
-    at = lambda k, by: F.floor((F.get("m", F.lit(k)) + F.lit(by)) / F.lit(cell)).cast("int")
-    n = len(MEASURES)
-    a = rows.filter(F.col("side") < len(PRIORITY)).withColumn("cell", F.array(*(at(k, 0.0) for k in range(n)))).drop("m")
-    b = rows.filter("side > 1")
-    for k in range(n):
-        b = b.withColumn(f"_c{k}", F.explode(F.sequence(at(k, -reach), at(k, reach))))
-    b = b.withColumn("cell", F.array(*(F.col(f"_c{k}") for k in range(n)))).drop("m", *(f"_c{k}" for k in range(n)))
+    schema = ", ".join(f"{c} string" for c in PAIR)
+    places = fitted(vectors, pivots)
+    if places is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    reach = float(np.sqrt(max(2 - 2 * at_least, 0.0))) + SLACK
+    own = [c for c in vectors.columns if c in ("split", "key", "content")]
+
+    def placed(batches):
+        for batch in batches:
+            y = places.of(batch.column("v").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array([r.tobytes() for r in y], pa.binary())], names=[*own, "y"])
+
+    def celled(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                home, may = places.cells(_read(batch.column("y")), reach)
+                may &= (batch.column("side").to_numpy() > 1)[:, None]
+                cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(may.sum(1))), pa.int32()), pa.array(np.nonzero(may)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), cells], names=[*batch.schema.names, "home", "cells"])
+
+    rows = vectors.select(*own, "v").mapInArrow(placed, ", ".join(f"{c} {'binary' if c == 'content' else 'string'}" for c in own) + ", y binary")
+    if "content" in own:
+        rows = rows.groupBy("split", "content").agg(F.min("key").alias("key"), F.first("y").alias("y"))
+    place = F.array_position(F.array(*map(F.lit, reversed(PRIORITY))), F.col("split")).cast("int")
+    rows = rows.select("split", "key", place.alias("side"), "y").filter("side > 0")
+    rows = cut(rows.mapInArrow(celled, "split string, key string, side int, y binary, home int, cells array<int>"))
+    a = rows.filter(F.col("side") < len(PRIORITY)).select("split", "key", "side", "y", F.col("home").alias("cell"))
+    b = rows.select("split", "key", "side", "y", F.explode("cells").alias("cell"))
     sizes = lambda x, name: x.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     shape = cut(sizes(a, "na").join(sizes(b, "nb"), "cell"))  # blocks of each cell that has both sides
 
     def dealt(x: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
-        part = x.join(small(shape, BROADCAST_IMAGES), "cell").withColumn(i, F.pmod(F.xxhash64("split", "key"), F.col(own)).cast("int"))
-        return part.withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", "i", "j", *(F.col(c).alias(c) for c in ("split", "key", "side", "v")))  # columns of its own, as both sides are of one table
-
-    turns = turn_places()
+        part = x.join(F.broadcast(shape), "cell").withColumn(i, F.pmod(F.xxhash64("split", "key"), F.col(own)).cast("int"))  # a row a pivot at most
+        return part.withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", "i", "j", *(F.col(c).alias(c) for c in ("split", "key", "side", "y")))  # columns of its own, as both sides are of one table
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        names = ["a_split", "a_key", "b_split", "b_key", "turn", "coarse"]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64())
         if not x.num_rows or not y.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
-        u, v = (_units(t.column("v").to_pylist()) for t in (x, y))
+            return pa.Table.from_arrays([pa.array([], pa.string())] * len(PAIR), names=list(PAIR))
+        u, v = (_read(t.column("y")).astype(np.float32) for t in (x, y))
         side_u, side_v = (t.column("side").to_numpy() for t in (x, y))
-        rough_u, rough_v = (lengths(t.reshape(-1, COARSE, COARSE)).astype(np.float32) for t in (u, v))
-        found = []
+        found, long = [], (v**2).sum(1)
         for start in range(0, len(u), TILE_ROWS):
-            p, q = np.nonzero(rough_u[start : start + TILE_ROWS] @ rough_v.T >= at_least - 1e-4)  # more than single precision is out by
-            p += start
-            p, q = (z[side_u[p] < side_v[q]] for z in (p, q))
-            for at_ in range(0, len(p), BLOCK_ROWS):
-                i, j = p[at_ : at_ + BLOCK_ROWS], q[at_ : at_ + BLOCK_ROWS]
-                one, other = u[i], v[j]
-                best, turn = np.full(len(i), -np.inf), np.zeros(len(i), dtype=np.int32)
-                for k, places in enumerate(turns):
-                    fit = np.einsum("rp,rp->r", one, other[:, places])
-                    better = fit > best
-                    best[better], turn[better] = fit[better], k
-                fits = best >= at_least
-                found.append((i[fits], j[fits], turn[fits], best[fits]))
-        p, q, turn, best = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 4
+            tile = u[start : start + TILE_ROWS]
+            p, q = np.nonzero((tile**2).sum(1)[:, None] + long - 2 * tile @ v.T <= reach**2 + 1e-4)  # more than single precision is out by
+            ok = side_u[p + start] < side_v[q]
+            found.append((p[ok] + start, q[ok]))
+        p, q = (np.concatenate(z) for z in zip(*found))
         columns = [t.column(c).take(pa.array(at_)).combine_chunks() for t, at_ in ((x, p), (y, q)) for c in ("split", "key")]
-        return pa.Table.from_arrays([*columns, pa.array(turn, pa.int32()), pa.array(best, pa.float64())], names=names)
+        return pa.Table.from_arrays(columns, names=list(PAIR))
 
     left, right = (dealt(*z).groupBy("cell", "i", "j") for z in ((a, "na", "nb", "i", "j"), (b, "nb", "na", "j", "i")))
-    return left.cogroup(right).applyInArrow(compare, "a_split string, a_key string, b_split string, b_key string, turn int, coarse double")
+    return left.cogroup(right).applyInArrow(compare, schema)
+
+
+def _read(y: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(y.to_pylist()), dtype="<f2").reshape(len(y), -1).astype(np.float64)
+
+
+def coarse_pairs(vectors: DataFrame, at_least: float = 0.995, block: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """a_split, a_key, b_split, b_key, turn, coarse of all images of different splits (a's before b's in train, val, test) that fit at that correlation under
+    the best turn of b; of equals the first turn. Only coarse images that ``near_pairs`` names are shuffled. vectors must be cheap to read twice."""
+    near = cut(near_pairs(vectors, at_least, block, pivots).distinct())  # two images of one name would name a pair twice
+    turns = turn_places()
+
+    def fit(batches):
+        for batch in batches:
+            u, v = (_units(batch.column(c).to_pylist()) for c in ("a_v", "b_v"))
+            best, turn = np.full(len(u), -np.inf), np.zeros(len(u), dtype=np.int32)
+            for k, places in enumerate(turns):
+                now = np.einsum("rp,rp->r", u, v[:, places])
+                better = now > best
+                best[better], turn[better] = now[better], k
+            made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAIR), pa.array(turn, pa.int32()), pa.array(best, pa.float64())], names=[*PAIR, "turn", "coarse"])
+            yield made.filter(pa.array(best >= at_least))
+
+    both = _joined(near, vectors.select("split", "key", "v"))
+    return both.select(*PAIR, "a_v", "b_v").mapInArrow(fit, ", ".join(f"{c} string" for c in PAIR) + ", turn int, coarse double")
+
+
+def _joined(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """pairs with the third column of images for a and for b; only images that they name are shuffled. Pairs must be cheap to read twice."""
+    what = images.columns[2]
+    named = cut(pairs.select(F.col("a_split").alias("split"), F.col("a_key").alias("key")).union(pairs.select("b_split", "b_key")).distinct())
+    images = images.join(small(named, BROADCAST_IMAGES), ["split", "key"], "left_semi").dropDuplicates(["split", "key"])
+    for p in "ab":
+        pairs = pairs.join(images.select(F.col("split").alias(f"{p}_split"), F.col("key").alias(f"{p}_key"), F.col(what).alias(f"{p}_{what}")), [f"{p}_split", f"{p}_key"])
+    return pairs
 
 
 def confirmed(pairs: DataFrame, images: DataFrame, at_least: float = 0.995, ssim_at_least: float = 0.96) -> DataFrame:
     """coarse_pairs() with confirm (correlation at full size under the same turn) and ssim, of those that reach both. Pairs must be cheap to read twice;
     only the images that they name are shuffled."""
-    named = cut(pairs.select(F.col("a_split").alias("split"), F.col("a_key").alias("key")).union(pairs.select("b_split", "b_key")).distinct())
-    images = images.select("split", "key", "pixels").join(small(named, BROADCAST_IMAGES), ["split", "key"], "left_semi").dropDuplicates(["split", "key"])
-    pixels = lambda p: images.select(F.col("split").alias(f"{p}_split"), F.col("key").alias(f"{p}_key"), F.col("pixels").alias(f"{p}_pixels"))
-    both = pairs.join(pixels("a"), ["a_split", "a_key"]).join(pixels("b"), ["b_split", "b_key"])
-    names = ["a_split", "a_key", "b_split", "b_key", "turn", "coarse"]
+    both = _joined(pairs, images.select("split", "key", "pixels"))
+    names = [*PAIR, "turn", "coarse"]
 
     def confirm(batches):
         for batch in batches:
@@ -220,8 +292,7 @@ def perceptual_pairs(images: DataFrame, coarse_at_least: float = 0.995, confirm_
     measured at full size. Copies of one content in a split stand for each other: pairs name the smallest key of each, ``members_of`` the rest.
     seen: ``sketched`` images, where these are kept already."""
     seen = cut(sketched(images)) if seen is None else seen
-    first = seen.groupBy("split", "content").agg(F.min(F.struct("key", "v", "m")).alias("r")).select("split", "r.*").filter("v IS NOT NULL").dropDuplicates(["split", "key"])
-    return confirmed(cut(coarse_pairs(cut(first), coarse_at_least)), images, confirm_at_least, ssim_at_least)
+    return confirmed(cut(coarse_pairs(seen.filter("v IS NOT NULL"), coarse_at_least)), images, confirm_at_least, ssim_at_least)
 
 
 def components(edges: DataFrame) -> DataFrame:

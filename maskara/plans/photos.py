@@ -30,12 +30,14 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     grow = leakage.FINE // N
 
     def draw(batches):
-        for batch in batches:
-            m = batch.column("m").to_numpy()
-            base = np.tile(np.frombuffer(b"".join(batch.column("h").to_pylist()), dtype=np.uint8).reshape(-1, 32) // 2, (1, N * N // 32)) + (m[:, None] + np.arange(N * N)) % 3
-            small = np.take_along_axis(base, TURNS[m % 8], axis=1).astype(np.uint8).reshape(-1, N, N)
-            pixels = [np.kron(x, np.ones((grow, grow), dtype=np.uint8)).tobytes() for x in small]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("split", "key", "scene")), pa.array(pixels, pa.binary())], names=["split", "key", "scene", "pixels"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, leakage.TILE_ROWS):
+                batch = whole.slice(at, leakage.TILE_ROWS)
+                m = batch.column("m").to_numpy()
+                base = np.tile(np.frombuffer(b"".join(batch.column("h").to_pylist()), dtype=np.uint8).reshape(-1, 32) // 2, (1, N * N // 32)) + (m[:, None] + np.arange(N * N)) % 3
+                small = np.take_along_axis(base, TURNS[m % 8], axis=1).astype(np.uint8).reshape(-1, N, N)
+                pixels = [x.tobytes() for x in small.repeat(grow, 1).repeat(grow, 2)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("split", "key", "scene")), pa.array(pixels, pa.binary())], names=["split", "key", "scene", "pixels"])
 
     return shots(spark, sf_dir).mapInArrow(draw, "split string, key string, scene string, pixels binary")
 

@@ -331,6 +331,42 @@ def test_perceptual_pairs_shuffle_no_pixels(spark):
     assert all(len(r.v) == 512 for r in leakage.coarse_vectors(df).select("v").collect())
 
 
+def test_perceptual_pairs_shuffle_grows_with_images(spark):
+    """Four times the images, of which none fit, in blocks of 32: what is shuffled grows by about four, as images meet only those that lie near."""
+    rng = np.random.default_rng(6)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+    took = []
+    for n in (300, 1200):
+        rows = [(("train", "val", "test")[i % 3], f"{i:04d}", bytearray(np.kron(np.tile(rng.integers(0, 128, (2, 16)), (8, 1)), np.ones((8, 8))).astype(np.uint8).tobytes())) for i in range(n)]
+        vectors = leakage.coarse_vectors(spark.createDataFrame(rows, "split string, key string, pixels binary")).localCheckpoint()
+        before = written()
+        assert leakage.coarse_pairs(vectors, block=32).count() == 0
+        took.append(written() - before)
+    assert took[1] < 6 * took[0]
+
+
+def test_places_lose_no_pair(spark):
+    """Places lie no further apart than images under any turn, and an image goes to the cell of every place within reach."""
+    from maskara.functions import raster
+
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 128, (16, 16)) for _ in range(60)] + [np.tile(rng.integers(0, 128, (2, 16)), (8, 1)) for _ in range(60)] + [np.add.outer(np.arange(16), np.arange(16)) * 3 + rng.integers(0, 9, (16, 16)) for _ in range(60)]
+    near = [raster.d4(np.clip(x + rng.normal(0, rng.choice([0, 1, 3]), (16, 16)), 0, 127).round())[i % 8] for i, x in enumerate(base)]
+    sums = [(np.asarray(x) * 64).astype("<u2").tobytes() for x in base + near]
+    df = spark.createDataFrame([(bytearray(s),) for s in sums], "v binary")
+    places = leakage.fitted(df, 40)
+    unit = leakage._units(sums)
+    apart = np.sqrt(np.maximum(2 - 2 * np.max([unit @ unit[:, turn].T for turn in leakage.turn_places()], axis=0), 0))
+    y = places.of(sums).astype(np.float64)
+    between = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2))
+    assert len(places.pivots) == 40 and (between <= apart + leakage.SLACK).all()
+    for reach in (0.03, 0.103, 0.4):
+        home, may = places.cells(y, reach)
+        assert all(may[j, home[i]] for i, j in zip(*np.nonzero(between <= reach)))
+    assert not places.cells(y, 0.103)[1].all()
+
+
 def test_totals_of_lines_in_one_pass(spark):
     """Counts of label lines equal those of their issues row by row, with the lines read and ordered once."""
     from maskara.plans import curation
