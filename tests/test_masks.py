@@ -163,6 +163,26 @@ def test_many_masks_at_once():
     assert len(raster.filled_words(np.zeros((0, 2)), np.zeros(3, dtype=int))[2]) == 0
 
 
+def test_convex_masks_are_runs_of_rows():
+    """Rows of convex polygons as runs, and what they share, against masks of words; polygons that are not convex are told apart."""
+    rng = np.random.default_rng(8)
+    turn = [np.sort(rng.random(n)) * 2 * np.pi for n in (1, 2, 3, 5, 9) for _ in range(60)]
+    polygons = [np.rint(40 + rng.choice([2, 9, 40]) * np.stack([np.cos(t), np.sin(t)], 1)).astype(int)[:: rng.choice([1, -1])] for t in turn]
+    polygons = [np.repeat(p, rng.integers(1, 3, len(p)), axis=0) for p in polygons]  # points given twice
+    kept = [p for p in polygons if raster.all_convex(p, np.array([len(p)]))]
+    assert len(kept) > 200
+    points, counts = np.concatenate([*kept, np.zeros((0, 2), dtype=int)]), np.array([*map(len, kept), 0])
+    assert raster.all_convex(points, counts)
+    words, runs = raster.filled_words(points, counts), raster.convex_rows(points, counts)
+    assert (words[0] == runs[0]).all() and (words[-1] == runs[-1]).all()
+    a, b = (rng.integers(0, len(counts), 2000) for _ in range(2))
+    want = masks._common(a, b, *words[:3])
+    assert want.any() and (masks._common_rows(a, b, *runs[:4]) == want).all()
+    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    bent = [[*square, (2, 2)], [(0, 0), (8, 0), (4, 0), (4, 4), (0, 4)], square * 2, [(0, 0), (4, 4), (4, 0), (0, 4)], [(0, 0), (4, 0), (4, 0), (1, 1), (1, 1), (0, 4)]]
+    assert raster.all_convex(np.array(square), np.array([4])) and not any(raster.all_convex(np.array(p), np.array([len(p)])) for p in bent)
+
+
 @pytest.mark.parametrize("few", [False, True])
 def test_masks_drawn_by_image(spark, scene, monkeypatch, few):
     """Masks that are drawn after their image is together share what masks compared in the plan share, whatever a task takes at once."""
